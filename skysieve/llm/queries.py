@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysieve.llm import bpe, history, sample, splits
+from skysieve.llm import bpe, history, langid, packing, sample, splits
 from skysieve.plans.core_queries import usable_sql
 from skysieve.plans.tables import table
 
@@ -33,7 +33,26 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_sample": p2_sample, "p4_found": p4_found, "p4_split": p4_split, "p6_ids": p6_ids}
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "language_codes"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).filter("relabelled").select("doc_id", "line_no", "lang_code")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _languages(spark, sf_dir).drop("relabelled")
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_sample": p2_sample, "p4_found": p4_found, "p4_split": p4_split, "p6_ids": p6_ids, "p7_pack": p7_pack,
+    "p8_found": p8_found, "p8_languages": p8_languages,
+}
 
 _EVENT = f"""
     CASE WHEN regexp_matches(lower({usable_sql('event_id')}), '^(ext[-_ ]?)?[0-9a-f]{{24}}$')
