@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from skysieve.functions.keys import finite_or_null, message_key, with_pair_key
 from skysieve.llm.forest import spanning_forest
-from skysieve.session import cut, scratch_path
+from skysieve.session import cut, scratch_path, stored
 
 #: Readings that two reports of one message must agree on where both have them.
 READINGS = (
@@ -26,16 +27,24 @@ CREATION_S, TCA_S, READING = 60.0, 5.0, 1e-3
 #: tells positions on that axis apart.
 PIVOTS = {"d_a": (-8.0e9, 1.9e9), "d_b": (1.9e9, -8.0e9)}
 
-#: Slack for sums of doubles.
-EDGE = 1 + 1e-6
+#: Slack for sums of doubles and for readings kept as 32-bit floats (7 digits).
+EDGE = 1 + 1e-3
+
+#: Width of the ranges of the first pivot distance on which histories are joined. Wider ones repeat fewer rows at their borders
+#: and compare more; a pair of objects has few messages in a quarter of an hour.
+RANGE = 16
 
 SCHEMAS = {
     "identifiers": "message_key string, first_no bigint, first_batch int",
-    "pivots": "pair_key string, first_no bigint, first_batch int, creation_s double, tca_s double, d_a double, d_b double, " + ", ".join(f"{r} double" for r in READINGS),
+    "pivots": "pair_key string, first_no bigint, first_batch int, creation_s double, tca_s double, d_a double, d_b double, readings array<float>",
     "links": "record_no bigint, collection_batch int, to_no bigint, to_batch int",
 }
 
 
+def _batch_no() -> Column:
+    return F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("collection_batch")
+
+
 def _pivot_distance(pivot: tuple[float, float]) -> Column:
     return F.greatest(F.abs(F.col("creation_s") - pivot[0]) / CREATION_S, F.abs(F.col("tca_s") - pivot[1]) / TCA_S)
 
@@ -44,8 +53,8 @@ def true_distance(a: str, b: str) -> Column:
     """The distance of two messages on one pair of objects: the greatest of their scaled differences in creation, closest
     approach and each reading present in both."""
     parts = [F.abs(F.col(f"{a}.creation_s") - F.col(f"{b}.creation_s")) / CREATION_S, F.abs(F.col(f"{a}.tca_s") - F.col(f"{b}.tca_s")) / TCA_S]
-    for r in READINGS:
-        x, y = F.col(f"{a}.{r}"), F.col(f"{b}.{r}")
+    for i in range(len(READINGS)):
+        x, y = F.get(F.col(f"{a}.readings"), F.lit(i)).cast("double"), F.get(F.col(f"{b}.readings"), F.lit(i)).cast("double")
         parts.append(F.when(x.isNull() | y.isNull() | (x == y), 0.0).otherwise(F.abs(x - y) / (READING * F.greatest(F.abs(x), F.abs(y)))))
     return F.greatest(*parts)
 
@@ -56,7 +65,7 @@ class MessageHistory:
     files that follow the range of the first distance) and links (record that repeats another).
 
     `accept` compares a delivery of one or more batches with itself and with the history; of the pivot table it reads only
-    the files whose distances lie within 1 of the delivery's range, by the triangle inequality: messages within distance 1
+    the pages whose distances lie within 1 of the delivery's range, by the triangle inequality: messages within distance 1
     of each other differ by at most 1 in their distance to any pivot. Exact copies are collapsed before the join, so a
     message with a third of all records meets the join as one row.
 
@@ -75,76 +84,76 @@ class MessageHistory:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    @staticmethod
+    def _columns(name: str) -> list[str]:
+        return [f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields]
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T._parse_datatype_string(SCHEMAS[name])).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(T._parse_datatype_string(SCHEMAS[name])).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*(f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields)).write.mode("append").parquet(f"{self.path}/{name}")
-
-    def _prepared(self, batch: DataFrame) -> DataFrame:
-        micros = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string"))) / 1e6
-        rows = with_pair_key(batch, self.aliases)
-        rows = rows.select(
-            "record_no", F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("collection_batch"), message_key(F.col("source_message_id")).alias("message_key"),
-            "pair_key", micros("creation_date").alias("creation_s"), micros("tca").alias("tca_s"), *(finite_or_null(F.col(r)).alias(r) for r in READINGS),
-        ).filter(F.col("record_no").isNotNull())
-        located = F.col("pair_key").isNotNull() & F.col("creation_s").isNotNull() & F.col("tca_s").isNotNull()
-        content = (*READINGS, "creation_s", "tca_s")
+        rows.select(*self._columns(name)).write.mode("append").parquet(f"{self.path}/{name}")
+
+    def _located(self, batch: DataFrame) -> DataFrame:
+        """Records of identified pairs whose times can be read, with two independent hashes of their content."""
+        seconds = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string"))) / 1e6
         return (
-            rows.withColumn("pair_key", F.when(located, F.col("pair_key")))
-            .withColumn("h1", F.xxhash64("pair_key", *content)).withColumn("h2", F.xxhash64(F.lit(17), *reversed(content), "pair_key"))
-            .filter(F.col("message_key").isNotNull() | F.col("pair_key").isNotNull())
+            with_pair_key(batch, self.aliases)
+            .select(
+                "record_no", _batch_no(), "pair_key", seconds("creation_date").alias("creation_s"), seconds("tca").alias("tca_s"),
+                F.array(*(finite_or_null(F.col(r)).cast("float") for r in READINGS)).alias("readings"),
+            )
+            .filter(F.col("record_no").isNotNull() & F.col("pair_key").isNotNull() & F.col("creation_s").isNotNull() & F.col("tca_s").isNotNull())
+            .withColumn("h1", F.xxhash64("pair_key", "creation_s", "tca_s", "readings")).withColumn("h2", F.xxhash64(F.lit(17), "readings", "tca_s", "creation_s", "pair_key"))
         )
 
-    def _identifier_links(self, new: DataFrame) -> DataFrame:
-        fresh = (
-            new.filter(F.col("message_key").isNotNull()).groupBy("message_key")
-            .agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
-        )
+    def _identifier_links(self, batch: DataFrame) -> DataFrame:
+        new = batch.select("record_no", _batch_no(), message_key(F.col("source_message_id")).alias("message_key")).filter(F.col("message_key").isNotNull() & F.col("record_no").isNotNull())
+        fresh = new.groupBy("message_key").agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
         known = self.read("identifiers").select("message_key", F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
-        fresh = cut(fresh.join(known, "message_key", "left"))
+        if known.isEmpty():
+            fresh = fresh.withColumn("known_no", F.lit(None).cast("bigint")).withColumn("known_batch", F.lit(None).cast("int"))
+        else:
+            fresh = fresh.join(known, "message_key", "left")
+        fresh = stored(fresh, "fresh-identifiers")
         self._append("identifiers", fresh.filter("known_no is null"))
         target = fresh.filter("known_no is not null or last_no <> first_no").select(
             "message_key", F.coalesce("known_no", "first_no").alias("to_no"), F.coalesce("known_batch", "first_batch").alias("to_batch")
         )
-        return new.select("record_no", "collection_batch", "message_key").join(target, "message_key").drop("message_key")
-
-    def _content_links(self, new: DataFrame) -> DataFrame:
-        key = ["pair_key", "h1", "h2"]
-        located = new.filter(F.col("pair_key").isNotNull())
-        payload = F.struct("record_no", F.col("collection_batch").alias("batch"), "creation_s", "tca_s", *READINGS)
-        contents = cut(
-            located.groupBy(*key).agg(F.min(payload).alias("p"), F.max("record_no").alias("last_no"))
-            .select(*key, F.col("p.record_no").alias("first_no"), F.col("p.batch").alias("first_batch"), "last_no", "p.creation_s", "p.tca_s", *(f"p.{r}" for r in READINGS))
+        return new.join(target, "message_key").drop("message_key")
+
+    def _content_links(self, batch: DataFrame) -> DataFrame:
+        """Links to the first record of the same content, and from each new content to those within distance 1."""
+        rows = self._located(batch)
+        firsts = rows.groupBy("h1", "h2").agg(F.min("record_no").alias("to_no"), F.min("collection_batch").alias("to_batch"))
+        placed = rows.join(firsts, ["h1", "h2"])
+        generation = f"{self.path}/pivots/generation={uuid.uuid4().hex[:12]}"
+        contents = stored(
+            placed.filter("record_no = to_no").dropDuplicates(["h1", "h2"]).select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "readings")
             .withColumns({name: _pivot_distance(pivot) for name, pivot in PIVOTS.items()})
+            .select(*self._columns("pivots")).sortWithinPartitions("d_a"),
+            "pivots", path=generation,
         )
-        copies = contents.filter("last_no <> first_no").select(*key, F.col("first_no").alias("to_no"), F.col("first_batch").alias("to_batch"))
-        same = located.select("record_no", "collection_batch", *key).join(copies, key).drop(*key)
+        same = placed.filter("record_no <> to_no").select("record_no", "collection_batch", "to_no", "to_batch")
         reach = contents.agg(F.min("d_a"), F.max("d_a")).first()
         if reach[0] is None:
             return same
-        columns = [f.name for f in T._parse_datatype_string(SCHEMAS["pivots"]).fields]
-        old = self.read("pivots").filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE))
-        index = old.unionByName(contents.select(*columns)).withColumn("bucket", F.floor(F.col("d_a") / 2))
-        probe = contents.select(*columns).withColumn(
-            "bucket", F.explode(F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / 2), F.floor((F.col("d_a") + EDGE) / 2))))
-        )
-        a, b = probe.alias("a"), index.alias("b")
+        # The new contents are in the table by now, so one read sees them and the history within reach.
+        index = self.read("pivots").filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE)).withColumn("range", F.floor(F.col("d_a") / RANGE))
+        ranges = F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / RANGE), F.floor((F.col("d_a") + EDGE) / RANGE)))
+        a, b = contents.withColumn("range", F.explode(ranges)).alias("a"), index.alias("b")
         near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= EDGE for p in PIVOTS])
         pairs = (
-            a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("b.first_no") < F.col("a.first_no")) & near)
+            a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.range") == F.col("b.range")) & (F.col("b.first_no") < F.col("a.first_no")) & near)
             .filter(true_distance("a", "b") <= EDGE)
             .select(F.col("a.first_no").alias("record_no"), F.col("a.first_batch").alias("collection_batch"), F.col("b.first_no").alias("to_no"), F.col("b.first_batch").alias("to_batch"))
         )
-        found = cut(same.unionByName(pairs))
-        self._append("pivots", contents.repartitionByRange("d_a"))
-        return found
+        return same.unionByName(pairs)
 
     def accept(self, batch: DataFrame) -> None:
         """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history.
         Deliveries must come in order of record_no."""
-        new = cut(self._prepared(batch))
-        links = self._identifier_links(new).unionByName(self._content_links(new)).filter("record_no <> to_no").distinct()
+        links = self._identifier_links(batch).unionByName(self._content_links(batch)).filter("record_no <> to_no")
         self._append("links", links)
 
     def repeats(self) -> DataFrame:
