@@ -45,9 +45,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage with a table in the shared folder, which survives lost executors. In loops this also
+    keeps plans small: a checkpointed Dataset would hand the constraints of its whole past on to the optimizer."""
+    return stored(df, "cut")
 
 
 def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
