@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import finite_or_null, usable, with_designator
+from skysieve.session import cut
 
 #: What no pair of objects in orbit round the Earth can exceed: metres of separation across the sphere in which the
 #: Earth holds satellites (radius 1.5e9 m), m/s of closing speed at twice the escape velocity, and the determinant of a
@@ -47,21 +48,20 @@ def _weighted_median(counts: DataFrame, keys: list[str], value: str, out: str) -
     )
 
 
-def source_profile(cells: DataFrame, source: str, bins_per_unit: int = 1000, season_weight: float = 500.0, tail_share: float = 0.05, risk: float = 1e-7, multiple: float = 8.0) -> DataFrame:
+def source_profile(cells: DataFrame, source: str, bins_per_unit: int = 500, season_weight: float = 500.0, tail_share: float = 0.05, risk: float = 1e-7, multiple: float = 8.0) -> DataFrame:
     """Per source and field: centre, season offsets, spread (both robust) and the tail cutoff in spreads.
 
-    All statistics cover all readings. They come from one histogram of the natural logarithm (1/bins_per_unit wide),
-    which map tasks combine before the shuffle; so a source with a third of all readings is no hot group. Season medians
+    All statistics cover all readings. They come from one histogram of the natural logarithm (1/bins_per_unit wide, a bin
+    stands at the mean of its readings), which map tasks combine before the shuffle; so a source with a third of all readings is no hot group. Season medians
     are drawn towards the source's own median by season_weight readings. The spread is the median absolute
     deviation of the seasonal residuals times 1.4826. A generalised Pareto tail is fitted by moments to the residuals
     beyond the (1 - tail_share) quantile and within `multiple` spreads (what lies outside is what the cutoff is to find),
     and cut where it leaves the probability `risk` for a reading. A cutoff beyond `multiple` spreads counts as `multiple`,
     so that no reading at that distance escapes."""
     keys = [source, "field_name"]
-    hist = (
-        cells.withColumn("b", F.floor(F.log("x") * bins_per_unit).cast("long"))
-        .groupBy(*keys, "season", "b").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("v", (F.col("b") + 0.5) / bins_per_unit)
+    hist = cut(
+        cells.withColumn("l", F.log("x")).groupBy(*keys, "season", F.floor(F.col("l") * bins_per_unit).alias("b"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("l").alias("s")).select(*keys, "season", F.round(F.col("s") / F.col("n"), 7).alias("v"), "n")
     )
     centre = _weighted_median(hist, keys, "v", "centre")
     seasons = (
@@ -122,19 +122,21 @@ def spike_cells(readings: DataFrame, source: str, fields: tuple[str, ...] = FIEL
     return bad.unionByName(far.select(row_id, "field_name"))
 
 
-def _blocks(messages: DataFrame, group: str, time: str, block_rows: int) -> DataFrame:
-    """Add `block`: 0, but for groups of over block_rows messages the part of the group's time in which a message lies,
-    so that no window holds an unbounded group. Messages of a group have distinct times here."""
-    counts = messages.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") > block_rows).select(group, "n")
-    cuts = (
-        messages.join(hot, group, "left_semi").groupBy(group)
-        .agg(F.percentile_approx(time, F.array(*[F.lit(i / 64) for i in range(1, 64)]), 10000).alias("cuts"))
-    )
-    return messages.join(cuts, group, "left").withColumn(
-        "block",
-        F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter(F.array_distinct("cuts"), lambda c: c <= F.col(time))))
-    ).drop("cuts")
+def _with_blocks(messages: DataFrame, hot: DataFrame, group: str, time: str, key: list[str], halo: int) -> DataFrame:
+    """Add block and lent. A group in `hot` is cut at 63 quantiles of its time into blocks, each of which is lent the last and first
+    `halo` messages of its neighbours; all others are in block 0. Messages of a group have distinct times here."""
+    plain = messages.join(hot, group, "left_anti").withColumn("block", F.lit(0)).withColumn("lent", F.lit(False))
+    large = messages.join(hot, group, "left_semi")
+    cuts = large.groupBy(group).agg(F.array_distinct(F.percentile_approx(time, F.array(*[F.lit(i / 64) for i in range(1, 64)]), 10000)).alias("cuts"))
+    rows = cut(large.join(cuts, group).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(time)))).drop("cuts"))
+    at = Window.partitionBy(group, "block")
+    numbered = rows.withColumn("i", F.row_number().over(at.orderBy(time))).withColumn("j", F.row_number().over(at.orderBy(F.desc(time))))
+    # Blocks that are not empty follow each other once they are ranked; only their outermost messages are ranked with them.
+    edge = cut(numbered.filter((F.col("i") <= halo) | (F.col("j") <= halo)).withColumn("k", F.dense_rank().over(Window.partitionBy(group).orderBy("block"))))
+    names = edge.select(group, F.col("k").alias("k2"), F.col("block").alias("to")).distinct()
+    before, after = (F.col("k2") > F.col("k")) & (F.col("j") <= halo), (F.col("k2") < F.col("k")) & (F.col("i") <= halo)
+    lent = edge.join(names, group).filter(F.abs(F.col("k") - F.col("k2")).between(1, halo) & (before | after)).select(*key, F.col("to").alias("block"), F.lit(True).alias("lent"))
+    return plain.unionByName(rows.withColumn("lent", F.lit(False))).unionByName(lent)
 
 
 def stuck_cells(readings: DataFrame, group: str = "event_id", time: str = "creation_date", fields: tuple[str, ...] = FIELDS, row_id: str = "cdm_no", run: int = 4, tolerance: float = 1e-6, block_rows: int = 500_000) -> DataFrame:
@@ -147,22 +149,12 @@ def stuck_cells(readings: DataFrame, group: str = "event_id", time: str = "creat
     which sees that many messages of its neighbours."""
     key = [group, time, *fields]
     known = readings.filter(F.col(group).isNotNull() & F.col(time).isNotNull())
-    messages = _blocks(known.select(*key).distinct(), group, time, block_rows)
-    halo = run - 1
-    at = Window.partitionBy(group, "block").orderBy(time, *fields)
-    back = Window.partitionBy(group, "block").orderBy(F.desc(time), *(F.desc(f) for f in fields))
-    hot = messages.join(messages.filter("block > 0").select(group).distinct(), group, "left_semi")
-    numbered = hot.withColumn("i", F.row_number().over(at)).withColumn("j", F.row_number().over(back))
-    # The 64 or fewer blocks of a group follow each other without gaps once they are ranked by number.
-    edge = numbered.filter((F.col("i") <= halo) | (F.col("j") <= halo))
-    rank = Window.partitionBy(group).orderBy("block")
-    edge = edge.withColumn("k", F.dense_rank().over(rank))
-    names = edge.select(group, F.col("k").alias("k2"), F.col("block").alias("to")).distinct()
-    near = F.abs(F.col("k") - F.col("k2")).between(1, halo)
-    before = (F.col("k2") > F.col("k")) & (F.col("j") <= halo)
-    after = (F.col("k2") < F.col("k")) & (F.col("i") <= halo)
-    lent = edge.join(names, group).filter(near & (before | after)).select(*key, F.col("to").alias("block"), F.lit(True).alias("lent"))
-    rows = messages.withColumn("lent", F.lit(False)).unionByName(lent)
+    messages = known.select(*key).distinct()
+    hot = cut(known.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).select(group))
+    if hot.isEmpty():
+        rows = messages.withColumn("block", F.lit(0)).withColumn("lent", F.lit(False))
+    else:
+        rows = _with_blocks(messages, hot, group, time, key, run - 1)
 
     ordered = Window.partitionBy(group, "block").orderBy(time, *fields)
     still = {f: f"__still_{f}" for f in fields}
