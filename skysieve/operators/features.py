@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skysieve.operators.ranking import ranked_within
@@ -10,28 +10,34 @@ from skysieve.operators.ranking import ranked_within
 PREFIX_COLUMNS = ("risk", "max_risk_estimate", "miss_distance", "mahalanobis_distance")
 SAFE_RISK = -6.0
 
-_later = Window.partitionBy("event_id").orderBy(F.desc("time_to_tca"))
-_so_far = _later.rowsBetween(Window.unboundedPreceding, 0)
-_whole = Window.partitionBy("event_id").orderBy(F.desc("time_to_tca")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _later() -> WindowSpec:
+    """The messages of an event as time passes."""
+    return Window.partitionBy("event_id").orderBy(F.desc("time_to_tca"))
+
+
+def _whole() -> WindowSpec:
+    return _later().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def prefix_features(messages: DataFrame, columns: tuple[str, ...] = PREFIX_COLUMNS, strict: bool = False) -> DataFrame:
     """Add, per column: _first (first value present in the event; up to the row only if strict), _min_so_far, _max_so_far,
     _range_so_far (null where the value is), _delta_first and _delta_prev; and n_cdm_so_far, dt_prev, history_span_days. One
     exchange by event serves all."""
-    out = messages
+    out, later, whole = messages, _later(), _whole()
+    so_far = later.rowsBetween(Window.unboundedPreceding, 0)
     for c in columns:
         x = F.col(c)
-        first = F.first(c, ignorenulls=True).over(_so_far if strict else _whole)
-        low, high = F.when(x.isNotNull(), F.min(c).over(_so_far)), F.when(x.isNotNull(), F.max(c).over(_so_far))
+        first = F.first(c, ignorenulls=True).over(so_far if strict else whole)
+        low, high = F.when(x.isNotNull(), F.min(c).over(so_far)), F.when(x.isNotNull(), F.max(c).over(so_far))
         out = out.withColumns({
             f"{c}_first": first, f"{c}_min_so_far": low, f"{c}_max_so_far": high, f"{c}_range_so_far": high - low,
-            f"{c}_delta_first": x - first, f"{c}_delta_prev": x - F.lag(c).over(_later),
+            f"{c}_delta_first": x - first, f"{c}_delta_prev": x - F.lag(c).over(later),
         })
     return out.withColumns({
-        "n_cdm_so_far": F.row_number().over(_later),
-        "dt_prev": F.abs(F.col("time_to_tca") - F.lag("time_to_tca").over(_later)),
-        "history_span_days": F.max("time_to_tca").over(_whole) - F.col("time_to_tca"),
+        "n_cdm_so_far": F.row_number().over(later),
+        "dt_prev": F.abs(F.col("time_to_tca") - F.lag("time_to_tca").over(later)),
+        "history_span_days": F.max("time_to_tca").over(whole) - F.col("time_to_tca"),
     })
 
 
@@ -42,7 +48,7 @@ def decision_window(rows: DataFrame, low: float = 2.0, high: float = 7.0) -> Dat
 
 def eligible_prefixes(rows: DataFrame, low: float = 2.0, high: float = 7.0) -> DataFrame:
     """The decision window with eligible_history_count, which starts at 1 as the window opens."""
-    return decision_window(rows, low, high).withColumn("eligible_history_count", F.row_number().over(_later))
+    return decision_window(rows, low, high).withColumn("eligible_history_count", F.row_number().over(_later()))
 
 
 def event_labels(messages: DataFrame, mode: str = "literal") -> DataFrame:

@@ -39,5 +39,5 @@ def persistent_events(messages: DataFrame, known: DataFrame, tolerance_s: float
     pair's messages, so the messages of a pair, a few hundred updates on two objects, are handled by one task."""
     seconds = lambda c: F.unix_micros(F.col(c)) / 1e6
     rows = messages.select("event_pair", F.col("message_id").cast("string").alias("message_id"), seconds("tca").alias("tca_s"), "order_no")
-    old = known.select("event_pair", "event_id", seconds("tca_min").alias("low_s"), seconds("tca_max").alias("high_s"))
-    return rows.groupBy("event_pair").cogroup(old.groupBy("event_pair")).applyInPandas(_assign(tolerance_s), "message_id string, event_id string, ambiguous boolean")
+    old = known.select(F.col("event_pair").alias("pair"), "event_id", seconds("tca_min").alias("low_s"), seconds("tca_max").alias("high_s"))
+    return rows.groupBy("event_pair").cogroup(old.groupBy("pair")).applyInPandas(_assign(tolerance_s), "message_id string, event_id string, ambiguous boolean")

@@ -346,7 +346,7 @@ def calibrate_pac(spark, d):
 
 @query(f"""WITH {S}, {HG}, t AS (SELECT *, coalesce(min_score < {BOUND}::DOUBLE, false) AS safe FROM g), a AS (
         SELECT count(*) FILTER (WHERE safe AND y = 1) AS danger, count(*) FILTER (WHERE y = 1) AS n_positive, count(*) FILTER (WHERE safe AND y = 0) AS safe_negative, count(*) FILTER (WHERE y = 0) AS n_negative, count(*) FILTER (WHERE safe) AS safe, count(*) AS n_events FROM t)
-    SELECT *, danger::DOUBLE / n_positive AS danger_rate, safe_negative::DOUBLE / n_negative AS safe_negative_rate, safe::DOUBLE / n_events AS safe_rate FROM a""")
+    SELECT *, danger::DOUBLE / nullif(n_positive, 0) AS danger_rate, safe_negative::DOUBLE / nullif(n_negative, 0) AS safe_negative_rate, safe::DOUBLE / n_events AS safe_rate FROM a""")
 def evaluate_threshold(spark, d):
     return calibrate.evaluate_threshold(calibrate.history_gated_events(_eligible(spark, d), MINIMUM_HISTORY), BOUND, None)
 
@@ -605,8 +605,8 @@ def repeated_stability(spark, d):
     return _stability(spark, d).select("repeat", "n_positive", "danger", "n_negative", "safe_negative")
 
 
-@query(f"""{_STABLE} SELECT 'baseline' AS method, count(*) AS repeats, round(avg(safe_negative::DOUBLE / n_negative), 9) AS mean_rate, round(quantile_cont(safe_negative::DOUBLE / n_negative, 0.05), 9) AS q05, round(quantile_cont(safe_negative::DOUBLE / n_negative, 0.5), 9) AS median,
-    round(quantile_cont(safe_negative::DOUBLE / n_negative, 0.95), 9) AS q95, round(avg((danger::DOUBLE / n_positive <= {ALPHA}::DOUBLE)::INT), 9) AS within_alpha FROM st""")
+@query(f"""{_STABLE} SELECT 'baseline' AS method, count(*) AS repeats, round(avg(safe_negative::DOUBLE / nullif(n_negative, 0)), 9) AS mean_rate, round(quantile_cont(safe_negative::DOUBLE / nullif(n_negative, 0), 0.05), 9) AS q05, round(quantile_cont(safe_negative::DOUBLE / nullif(n_negative, 0), 0.5), 9) AS median,
+    round(quantile_cont(safe_negative::DOUBLE / nullif(n_negative, 0), 0.95), 9) AS q95, round(avg((danger::DOUBLE / nullif(n_positive, 0) <= {ALPHA}::DOUBLE)::INT), 9) AS within_alpha FROM st""")
 def stability_summary(spark, d):
     out = experiments.stability_summary(_stability(spark, d), ALPHA)
     return out.select("method", "repeats", *(F.round(a, 9).alias(b) for a, b in (("mean_safe_negative_rate", "mean_rate"), ("q05", "q05"), ("median", "median"), ("q95", "q95"), ("within_alpha", "within_alpha"))))

@@ -64,9 +64,14 @@ def _clean(record: Column) -> Column:
     return F.transform_keys(record, lambda k, _: F.upper(F.btrim(k)))
 
 
+def parse_ndjson(lines: DataFrame, column: str = "value") -> DataFrame:
+    """record (map) of each line that is not blank."""
+    return lines.filter(F.btrim(column) != "").select(_clean(F.from_json(column, _RECORD)).alias("record"))
+
+
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """record (map) of each line; splittable, so files of any size are read in parallel."""
-    return spark.read.text(path).filter(F.btrim("value") != "").select(_clean(F.from_json("value", _RECORD)).alias("record"))
+    return parse_ndjson(spark.read.text(path))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
