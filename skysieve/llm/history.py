@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skysieve.functions.keys import finite_or_null, message_key, with_pair_key
 from skysieve.llm.forest import spanning_forest
@@ -36,11 +35,15 @@ RANGE = 16
 
 SCHEMAS = {
     "identifiers": "message_key string, first_no bigint, first_batch int",
-    "pivots": "pair_key string, first_no bigint, first_batch int, creation_s double, tca_s double, d_a double, d_b double, readings array<float>",
+    "placed": "record_no bigint, collection_batch int, to_no bigint, to_batch int, pair_key string, creation_s double, tca_s double, readings array<float>, d_a double, d_b double",
     "links": "record_no bigint, collection_batch int, to_no bigint, to_batch int",
 }
 
 
+#: Where the table of placed contents begins.
+PLACED = "/generation=0/first=true"
+
+
 def _batch_no() -> Column:
     return F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("collection_batch")
 
@@ -78,21 +81,22 @@ class MessageHistory:
         self.path = path or scratch_path(spark, "message-history")
         for name, schema in SCHEMAS.items():
             if not self._exists(name):
-                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
+                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}" + (PLACED if name == "placed" else ""))
 
     def _exists(self, name: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
-    @staticmethod
-    def _columns(name: str) -> list[str]:
-        return [f.name for f in T._parse_datatype_string(SCHEMAS[name]).fields]
-
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(T._parse_datatype_string(SCHEMAS[name])).option("recursiveFileLookup", "true").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
+
+    def pivots(self) -> DataFrame:
+        """The first record of each distinct content, with its pivot distances."""
+        rows = self.spark.read.schema(SCHEMAS["placed"]).parquet(f"{self.path}/placed/generation=*/first=true")
+        return rows.select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings")
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*self._columns(name)).write.mode("append").parquet(f"{self.path}/{name}")
+        rows.select(*(f.name for f in self.read(name).schema)).write.mode("append").parquet(f"{self.path}/{name}")
 
     def _located(self, batch: DataFrame) -> DataFrame:
         """Records of identified pairs whose times can be read, with two independent hashes of their content."""
@@ -126,20 +130,22 @@ class MessageHistory:
         """Links to the first record of the same content, and from each new content to those within distance 1."""
         rows = self._located(batch)
         firsts = rows.groupBy("h1", "h2").agg(F.min("record_no").alias("to_no"), F.min("collection_batch").alias("to_batch"))
-        placed = rows.join(firsts, ["h1", "h2"])
-        generation = f"{self.path}/pivots/generation={uuid.uuid4().hex[:12]}"
-        contents = stored(
-            placed.filter("record_no = to_no").dropDuplicates(["h1", "h2"]).select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "readings")
-            .withColumns({name: _pivot_distance(pivot) for name, pivot in PIVOTS.items()})
-            .select(*self._columns("pivots")).sortWithinPartitions("d_a"),
-            "pivots", path=generation,
+        first = F.col("record_no") == F.col("to_no")
+        placed = (
+            rows.join(firsts, ["h1", "h2"]).withColumn("first", first)
+            .select("record_no", "collection_batch", "to_no", "to_batch", "first", *(F.when(first, F.col(c)).alias(c) for c in ("pair_key", "creation_s", "tca_s", "readings")))
+            .withColumns({name: _pivot_distance(pivot) for name, pivot in PIVOTS.items()}).sortWithinPartitions("d_a")
         )
-        same = placed.filter("record_no <> to_no").select("record_no", "collection_batch", "to_no", "to_batch")
+        # One write keeps the first record of each content, as the history's pivots, and apart from them the copies.
+        generation = f"{self.path}/placed/generation={uuid.uuid4().hex[:12]}"
+        written = stored(placed, "placed", ("first",), generation)
+        same = written.filter("not first").select("record_no", "collection_batch", "to_no", "to_batch")
+        contents = written.filter("first").select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings")
         reach = contents.agg(F.min("d_a"), F.max("d_a")).first()
         if reach[0] is None:
             return same
         # The new contents are in the table by now, so one read sees them and the history within reach.
-        index = self.read("pivots").filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE)).withColumn("range", F.floor(F.col("d_a") / RANGE))
+        index = self.pivots().filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE)).withColumn("range", F.floor(F.col("d_a") / RANGE))
         ranges = F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / RANGE), F.floor((F.col("d_a") + EDGE) / RANGE)))
         a, b = contents.withColumn("range", F.explode(ranges)).alias("a"), index.alias("b")
         near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= EDGE for p in PIVOTS])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skysieve.functions.keys import cohort_key, event_key
 from skysieve.session import cut, scratch_path
@@ -38,7 +37,7 @@ class PermanentNumbers:
                 spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(T._parse_datatype_string(schema)).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def observe(self, records: DataFrame) -> None:
         """Register the events of a delivery that are not registered yet; deliveries come in order."""
