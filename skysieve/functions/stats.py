@@ -155,6 +155,11 @@ def mcnemar_column(gained: Column, lost: Column) -> Column:
     return _udf(lambda a, b: mcnemar_p(int(a), int(b)), "double")(gained.cast("double"), lost.cast("double"))
 
 
+def pass_column(n: Column, rate: Column, alpha: float, confidence: float) -> Column:
+    """Chance that n events of a true rate pass the bound."""
+    return _udf(lambda a, b: pass_probability(int(a), b, alpha, confidence), "double")(n.cast("double"), rate)
+
+
 def register(spark: SparkSession) -> None:
     """binom_cdf, cp_upper, calibration_rank and mcnemar_p for use in SQL text."""
     spark.udf.register("binom_cdf", lambda k, n, p: None if None in (k, n, p) else float(binom_cdf(int(k), int(n), float(p))), "double")

@@ -10,8 +10,12 @@ from skysieve.functions.keys import with_pair_key
 from skysieve.operators import features, messages, model, sessions
 from skysieve.operators.delivery import exactly_once
 from skysieve.plans.core_queries import usable_sql
+from skysieve.functions.stats import pass_column
+from skysieve.plans.reference_queries import ALPHA, AUDIT, CONFIDENCE, FS, GROUPED, POLICY, S, _grouped
 from skysieve.plans.tables import table
+from skysieve.session import scratch_path
 from skysieve.sources import cdm
+from skysieve.streaming import triage
 
 
 def _present(column: str):
@@ -64,7 +68,44 @@ def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactly_once(table(spark, sf_dir, "external_collection")).select("record_no", "source_message_id", "event_id", "collection_batch")
 
 
-QUERIES = {"parse_kvn": parse_kvn, "parse_ndjson": parse_ndjson, "persistent_events": persistent_events, "oof_scores": oof_scores, "delivered_once": delivered_once}
+def planning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance to pass, for the positives of each fold and three true rates."""
+    sizes = messages.scored(table(spark, sf_dir, "history_gate_diagnostics")).filter("y = 1").groupBy("fold").agg(F.count_distinct("event_id").alias("n"))
+    grid = sizes.select("fold", "n", F.explode(F.array(F.lit(0.03), F.lit(0.05), F.lit(0.08))).alias("true_rate"))
+    chance = pass_column(F.col("n"), F.col("true_rate"), ALPHA, CONFIDENCE)
+    return grid.select("fold", "n", "true_rate", F.round(chance, 7).alias("pass_probability"))
+
+
+def subgroup_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-square statistic of exclusion against history group and fold, over all events."""
+    decisions = _grouped(spark, sf_dir).select("event_id", "safe_exclude", F.col("fold").cast("string").alias("fold"), "history_group")
+    long = decisions.select("safe_exclude", F.expr("stack(2, 'fold', fold, 'history_group', history_group) as (grouping, value)"))
+    cells = long.groupBy("grouping", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("safe_exclude").alias("s"))
+    total = cells.groupBy("grouping").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    share = F.col("all_s") / F.col("all_n")
+    part = F.pow(F.col("s") - F.col("n") * share, 2)
+    return (
+        cells.join(total, "grouping").groupBy("grouping")
+        .agg(F.sum(F.try_divide(part, F.col("n") * share) + F.try_divide(part, F.col("n") * (1 - share))).alias("x"), F.count(F.lit(1)).alias("k"))
+        .select("grouping", F.round("x", 6).alias("chi_square"), (F.col("k") - 1).alias("degrees"))
+    )
+
+
+def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scored messages replayed as a stream of four deliveries, latest last, with state per event; the audit it leaves."""
+    rows = messages.scored(table(spark, sf_dir, "history_gate_diagnostics")).select("event_id", "time_to_tca", "score", "risk")
+    path = scratch_path(spark, "stream")
+    for low, high in ((6.0, 1e9), (4.5, 6.0), (3.0, 4.5), (-1e9, 3.0)):
+        rows.filter((F.col("time_to_tca") >= low) & (F.col("time_to_tca") < high)).coalesce(1).write.mode("append").parquet(f"{path}/updates")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/updates")
+    triage.replay(source, POLICY, f"{path}/audit", f"{path}/state", F.col("risk") < -8).awaitTermination()
+    return spark.read.parquet(f"{path}/audit").select("event_id", "time_to_tca", "sequence_number", "eligible_history_count", "reason", "decision")
+
+
+QUERIES = {
+    "parse_kvn": parse_kvn, "parse_ndjson": parse_ndjson, "persistent_events": persistent_events, "oof_scores": oof_scores, "delivered_once": delivered_once, "planning_table": planning_table,
+    "subgroup_heterogeneity": subgroup_heterogeneity, "stream_triage": stream_triage,
+}
 
 _READ = """
     SELECT cdm_no, CASE WHEN isfinite(miss_distance) THEN miss_distance END AS miss_distance, CASE WHEN isfinite(relative_speed) THEN relative_speed END AS relative_speed,
@@ -72,6 +113,20 @@ _READ = """
     FROM external_cdm WHERE creation_date <= tca AND event_pair IS NOT NULL
 """
 SQL = {
+    "planning_table": f"""
+        WITH {S}, n AS (SELECT fold, count(DISTINCT event_id) AS n FROM s WHERE y = 1 GROUP BY 1), ks AS (SELECT unnest(range(0, 20000)) AS k),
+        c AS (SELECT fold, n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({ALPHA}::DOUBLE) + (n - k) * ln(1 - {ALPHA}::DOUBLE))) OVER (PARTITION BY fold ORDER BY k) AS p FROM n, ks WHERE k <= n),
+        m AS (SELECT fold, n, count(*) FILTER (WHERE p <= 1 - {CONFIDENCE}::DOUBLE) - 1 AS k_max FROM c GROUP BY 1, 2),
+        r AS (SELECT m.*, unnest([0.03::DOUBLE, 0.05::DOUBLE, 0.08::DOUBLE]) AS true_rate FROM m)
+        SELECT fold, n, true_rate, round(coalesce(sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(true_rate) + (n - k) * ln(1 - true_rate))) FILTER (WHERE k <= k_max), 0), 7) AS pass_probability
+        FROM r, ks WHERE k <= n GROUP BY 1, 2, 3
+    """,
+    "subgroup_heterogeneity": f"""
+        WITH {S}, {FS}, {GROUPED}, lo AS (SELECT 'fold' AS grouping, fold AS value, first_safe_tca IS NOT NULL AS safe FROM gr UNION ALL SELECT 'history_group', history_group, first_safe_tca IS NOT NULL FROM gr),
+        ce AS (SELECT grouping, value, count(*) AS n, count(*) FILTER (WHERE safe) AS s FROM lo GROUP BY 1, 2), t AS (SELECT *, sum(s) OVER (PARTITION BY grouping)::DOUBLE / sum(n) OVER (PARTITION BY grouping) AS q FROM ce)
+        SELECT grouping, round(sum(pow(s - n * q, 2) / nullif(n * q, 0) + pow(s - n * q, 2) / nullif(n * (1 - q), 0)), 6) AS chi_square, count(*) - 1 AS degrees FROM t GROUP BY 1
+    """,
+    "stream_triage": f"WITH {S}, {AUDIT} SELECT event_id, time_to_tca, sequence_number, eligible_history_count, reason, decision FROM ad",
     "parse_kvn": _READ,
     "parse_ndjson": _READ,
     "delivered_once": f"""

@@ -569,7 +569,7 @@ def paired_tests(spark, d):
     return experiments.paired_change(_pairs(spark, d).join(groups, "event_id"), ("history_group",))
 
 
-_GROUPED = f"""gr AS (SELECT f.event_id, f.y, f.first_safe_tca, CAST(f.fold AS VARCHAR) AS fold, hg.history_group FROM f JOIN (SELECT event_id, CASE WHEN count(*) <= 4 THEN '1-4' WHEN count(*) <= 10 THEN '5-10' ELSE '11+' END AS history_group FROM e GROUP BY 1) hg USING (event_id))"""
+GROUPED = f"""gr AS (SELECT f.event_id, f.y, f.first_safe_tca, CAST(f.fold AS VARCHAR) AS fold, hg.history_group FROM f JOIN (SELECT event_id, CASE WHEN count(*) <= 4 THEN '1-4' WHEN count(*) <= 10 THEN '5-10' ELSE '11+' END AS history_group FROM e GROUP BY 1) hg USING (event_id))"""
 
 
 def _grouped(spark, d):
@@ -577,12 +577,12 @@ def _grouped(spark, d):
     return _decisions(spark, d).join(groups, "event_id")
 
 
-@query(f"""WITH {S}, {FS}, {_GROUPED} SELECT history_group, count(*) AS n_events, count(*) FILTER (WHERE y = 1) AS n_positive, count(*) FILTER (WHERE y = 1 AND first_safe_tca IS NOT NULL) AS danger, count(*) FILTER (WHERE y = 0 AND first_safe_tca IS NOT NULL) AS safe_negative FROM gr GROUP BY 1""")
+@query(f"""WITH {S}, {FS}, {GROUPED} SELECT history_group, count(*) AS n_events, count(*) FILTER (WHERE y = 1) AS n_positive, count(*) FILTER (WHERE y = 1 AND first_safe_tca IS NOT NULL) AS danger, count(*) FILTER (WHERE y = 0 AND first_safe_tca IS NOT NULL) AS safe_negative FROM gr GROUP BY 1""")
 def subgroup_metrics(spark, d):
     return experiments.subgroup_metrics(_grouped(spark, d), ("history_group",)).select(F.col("value").alias("history_group"), "n_events", "n_positive", "danger", "safe_negative")
 
 
-@query(f"""WITH {S}, {FS}, {_GROUPED} SELECT CASE WHEN grouping(fold) = 0 THEN 'fold' ELSE 'history_group' END AS grouping, coalesce(fold, history_group) AS value, count(*) AS n_events, count(*) FILTER (WHERE y = 1 AND first_safe_tca IS NOT NULL) AS danger, count(*) FILTER (WHERE y = 0 AND first_safe_tca IS NOT NULL) AS safe_negative
+@query(f"""WITH {S}, {FS}, {GROUPED} SELECT CASE WHEN grouping(fold) = 0 THEN 'fold' ELSE 'history_group' END AS grouping, coalesce(fold, history_group) AS value, count(*) AS n_events, count(*) FILTER (WHERE y = 1 AND first_safe_tca IS NOT NULL) AS danger, count(*) FILTER (WHERE y = 0 AND first_safe_tca IS NOT NULL) AS safe_negative
     FROM gr GROUP BY GROUPING SETS ((fold), (history_group))""")
 def robustness_grouping_sets(spark, d):
     return experiments.subgroup_metrics(_grouped(spark, d), ("fold", "history_group")).select("grouping", "value", "n_events", "danger", "safe_negative")

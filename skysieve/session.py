@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: where the driver's PYTHONPATH does not name its folder for them, Spark's file
+    server sends them a copy, once per session."""
+    root, context = Path(__file__).resolve().parents[1], spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_skysieve_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "skysieve"), "zip", root, "skysieve")
+    context.addPyFile(archive)
+    context._skysieve_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset (tests, a single
     machine) a temporary folder is made and set as the checkpoint folder."""
