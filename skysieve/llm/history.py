@@ -30,7 +30,7 @@ PIVOTS = {"d_a": (-8.0e9, 1.9e9), "d_b": (1.9e9, -8.0e9)}
 EDGE = 1 + 1e-3
 
 #: Width of the ranges of the first pivot distance on which histories are joined. Wider ones repeat fewer rows at their borders
-#: and compare more; a pair of objects has few messages in a quarter of an hour.
+#: and compare more; a pair of objects has few different messages in a quarter of an hour.
 RANGE = 16
 
 SCHEMAS = {
@@ -62,6 +62,34 @@ def true_distance(a: str, b: str) -> Column:
     return F.greatest(*parts)
 
 
+def _near_links(members: DataFrame) -> DataFrame:
+    """Links between contents within distance 1 of each other, as far as they are needed to connect them, from contents in cells
+    (pair of objects and range of the first pivot distance; contents near a border are in both cells).
+
+    Cells with one content are done. In the others every content is measured against the cell's first one; those within
+    distance 1 of it are connected by that, so only the rest are measured against all contents of the cell. A cell crowded with
+    thousands of noisy copies of one message thus takes one comparison each. At least one of two linked contents is fresh."""
+    cell = ["pair_key", "cell"]
+    crowded = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("first_no").alias("leader_no"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").select(*cell, "leader_no")
+    close = cut(members.join(crowded, cell))
+    leaders = close.filter("first_no = leader_no").dropDuplicates(cell).select(*cell, F.struct("first_no", "first_batch", "creation_s", "tca_s", "d_a", "d_b", "readings").alias("l"))
+    near = [F.abs(F.col(f"{p}") - F.col(f"l.{p}")) <= EDGE for p in PIVOTS]
+    tested = close.join(leaders, cell).withColumn("x", F.struct("creation_s", "tca_s", "readings"))
+    tested = cut(tested.withColumn("by_leader", near[0] & near[1] & (true_distance("x", "l") <= EDGE)).drop("x"))
+    to_leader = tested.filter("by_leader and fresh and first_no <> leader_no").select(
+        F.col("first_no").alias("record_no"), F.col("first_batch").alias("collection_batch"), F.col("leader_no").alias("to_no"), F.col("l.first_batch").alias("to_batch")
+    )
+    a, b = tested.filter("not by_leader").alias("a"), tested.alias("b")
+    order = F.col("b.first_no") < F.col("a.first_no")
+    within = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= EDGE for p in PIVOTS])
+    pairs = a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.first_no") != F.col("b.first_no")) & (order | F.col("b.by_leader")) & (F.col("a.fresh") | F.col("b.fresh")) & within).filter(true_distance("a", "b") <= EDGE)
+    later = lambda x, y: F.when(order, F.col(x)).otherwise(F.col(y))
+    among = pairs.select(
+        later("a.first_no", "b.first_no").alias("record_no"), later("a.first_batch", "b.first_batch").alias("collection_batch"), later("b.first_no", "a.first_no").alias("to_no"), later("b.first_batch", "a.first_batch").alias("to_batch")
+    )
+    return to_leader.unionByName(among)
+
+
 class MessageHistory:
     """All messages accepted so far, in three tables that only grow: identifiers (first record of each usable
     identifier), pivots (first record of each distinct content of an identified pair, with its distances to the fixed pivots, in
@@ -92,8 +120,8 @@ class MessageHistory:
 
     def pivots(self) -> DataFrame:
         """The first record of each distinct content, with its pivot distances."""
-        rows = self.spark.read.schema(SCHEMAS["placed"]).parquet(f"{self.path}/placed/generation=*/first=true")
-        return rows.select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings")
+        rows = self.spark.read.schema(SCHEMAS["placed"] + ", generation string").option("basePath", f"{self.path}/placed").parquet(f"{self.path}/placed/generation=*/first=true")
+        return rows.select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings", "generation")
 
     def _append(self, name: str, rows: DataFrame) -> None:
         rows.select(*(f.name for f in self.read(name).schema)).write.mode("append").parquet(f"{self.path}/{name}")
@@ -145,16 +173,12 @@ class MessageHistory:
         if reach[0] is None:
             return same
         # The new contents are in the table by now, so one read sees them and the history within reach.
-        index = self.pivots().filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE)).withColumn("range", F.floor(F.col("d_a") / RANGE))
-        ranges = F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / RANGE), F.floor((F.col("d_a") + EDGE) / RANGE)))
-        a, b = contents.withColumn("range", F.explode(ranges)).alias("a"), index.alias("b")
-        near = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= EDGE for p in PIVOTS])
-        pairs = (
-            a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.range") == F.col("b.range")) & (F.col("b.first_no") < F.col("a.first_no")) & near)
-            .filter(true_distance("a", "b") <= EDGE)
-            .select(F.col("a.first_no").alias("record_no"), F.col("a.first_batch").alias("collection_batch"), F.col("b.first_no").alias("to_no"), F.col("b.first_batch").alias("to_batch"))
+        cells = F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / RANGE), F.floor((F.col("d_a") + EDGE) / RANGE)))
+        members = (
+            self.pivots().filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE))
+            .withColumn("fresh", F.col("generation") == generation.rpartition("=")[2]).drop("generation").withColumn("cell", F.explode(cells))
         )
-        return same.unionByName(pairs)
+        return same.unionByName(_near_links(members))
 
     def accept(self, batch: DataFrame) -> None:
         """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history.

@@ -106,3 +106,14 @@ def test_hot_group_of_copies(spark, aliases):
         "'2031-01-01T00:00:00Z' as creation_date", "'2031-01-02T00:00:00Z' as tca", *[f"cast(1 as double) as {r}" for r in READINGS],
     )
     assert repeated_messages(rows, aliases).count() == sum(1 for i in range(3, 6001, 3) if 1 + i // 3000 > 1)
+
+
+def test_crowded_cell_of_noisy_copies_and_strangers(spark, aliases):
+    r = random.Random(11)
+    start = datetime(2031, 3, 1, tzinfo=timezone.utc)
+    rows = []
+    for no in range(1, 301):
+        stranger = no % 10 == 0
+        base = {"miss_distance": 500.0 + no if stranger else 100.0, "relative_speed": 7000.0}
+        rows.append({k: v * (1 + r.uniform(-4e-4, 4e-4)) if k == "miss_distance" else v for k, v in base.items()} | {"record_no": no, "collection_batch": 1 + no // 200, "source_message_id": f"m{no}", "event_pair": "A-1|900", "at": start + timedelta(seconds=r.randint(0, 58)), "to": start + timedelta(days=1)})
+    assert {tuple(x) for x in repeated_messages(frame(spark, rows), aliases).collect()} == brute(rows)
