@@ -2,43 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysieve.operators.ranking import ranked_within
+from skysieve.session import cut
 
 PREFIX_COLUMNS = ("risk", "max_risk_estimate", "miss_distance", "mahalanobis_distance")
 SAFE_RISK = -6.0
 
 
-def _later() -> WindowSpec:
-    """The messages of an event as time passes."""
-    return Window.partitionBy("event_id").orderBy(F.desc("time_to_tca"))
+#: Events with more messages than this are spread over tasks.
+LARGE_EVENT = 500_000
 
 
-def _whole() -> WindowSpec:
-    return _later().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def large_events(rows: DataFrame, limit: int = LARGE_EVENT) -> DataFrame | None:
+    """event_id of the events with more than `limit` messages; None where there is none, as is usual."""
+    large = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("event_id")
+    large = cut(large)
+    return None if large.isEmpty() else large
 
 
-def prefix_features(messages: DataFrame, columns: tuple[str, ...] = PREFIX_COLUMNS, strict: bool = False) -> DataFrame:
-    """Add, per column: _first (first value present in the event; up to the row only if strict), _min_so_far, _max_so_far,
-    _range_so_far (null where the value is), _delta_first and _delta_prev; and n_cdm_so_far, dt_prev, history_span_days. One
-    exchange by event serves all."""
-    out, later, whole = messages, _later(), _whole()
-    so_far = later.rowsBetween(Window.unboundedPreceding, 0)
+def _prefixes(rows: DataFrame, columns: tuple[str, ...], strict: bool, group: tuple[str, ...], carried: bool) -> DataFrame:
+    """The features within a group; if carried, with what came before it in __min_, __max_, __last_, __first_, __before, __last_tca, __first_tca."""
+    later = Window.partitionBy(*group).orderBy(F.desc("time_to_tca"))
+    so_far, whole = later.rowsBetween(Window.unboundedPreceding, 0), later.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = rows
     for c in columns:
         x = F.col(c)
-        first = F.first(c, ignorenulls=True).over(so_far if strict else whole)
-        low, high = F.when(x.isNotNull(), F.min(c).over(so_far)), F.when(x.isNotNull(), F.max(c).over(so_far))
+        low, high, first, previous = F.min(c).over(so_far), F.max(c).over(so_far), F.first(c, ignorenulls=True).over(so_far if strict else whole), F.lag(c).over(later)
+        if carried:
+            low, high = F.least(low, F.col(f"__min_{c}")), F.greatest(high, F.col(f"__max_{c}"))
+            first = F.coalesce(f"__first_{c}", first)
+            previous = F.when(F.row_number().over(later) == 1, F.col(f"__last_{c}")).otherwise(previous)
+        low, high = F.when(x.isNotNull(), low), F.when(x.isNotNull(), high)
         out = out.withColumns({
-            f"{c}_first": first, f"{c}_min_so_far": low, f"{c}_max_so_far": high, f"{c}_range_so_far": high - low,
-            f"{c}_delta_first": x - first, f"{c}_delta_prev": x - F.lag(c).over(later),
+            f"{c}_first": first, f"{c}_min_so_far": low, f"{c}_max_so_far": high, f"{c}_range_so_far": high - low, f"{c}_delta_first": x - first, f"{c}_delta_prev": x - previous,
         })
-    return out.withColumns({
-        "n_cdm_so_far": F.row_number().over(later),
-        "dt_prev": F.abs(F.col("time_to_tca") - F.lag("time_to_tca").over(later)),
-        "history_span_days": F.max("time_to_tca").over(whole) - F.col("time_to_tca"),
-    })
+    n, before, start = F.row_number().over(later), F.lag("time_to_tca").over(later), F.max("time_to_tca").over(whole)
+    if carried:
+        n, before, start = (n + F.col("__before")).cast("int"), F.coalesce(before, F.col("__last_tca")), F.col("__first_tca")
+    return out.withColumns({"n_cdm_so_far": n, "dt_prev": F.abs(F.col("time_to_tca") - before), "history_span_days": start - F.col("time_to_tca")})
+
+
+def _prefixes_by_blocks(rows: DataFrame, columns: tuple[str, ...], strict: bool, blocks: int = 64) -> DataFrame:
+    """The features of large events: each is cut into blocks of its time; what a block needs of those before it is one row per
+    block, made by an aggregation and a window over the blocks."""
+    share = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
+    cuts = rows.groupBy("event_id").agg(F.array_distinct(F.percentile_approx("time_to_tca", share, 10000)).alias("__cuts"))
+    placed = cut(rows.join(cuts, "event_id").withColumn("__block", F.size(F.filter("__cuts", lambda c: c >= F.col("time_to_tca")))).drop("__cuts"))
+    at = lambda c, f: f(F.struct("time_to_tca", F.col(c).alias("v")))
+    per = placed.groupBy("event_id", "__block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("time_to_tca").alias("t0"), F.max("time_to_tca").alias("t1"),
+        *(x for c in columns for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), at(c, F.min).alias(f"last_{c}"), F.max(F.when(F.col(c).isNotNull(), F.struct("time_to_tca", F.col(c).alias("v")))).alias(f"first_{c}"))),
+    )
+    order = Window.partitionBy("event_id").orderBy("__block")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = per.select(
+        "event_id", "__block", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("__before"), F.lag("t0").over(order).alias("__last_tca"), F.max("t1").over(whole).alias("__first_tca"),
+        *(x for c in columns for x in (
+            F.min(f"min_{c}").over(past).alias(f"__min_{c}"), F.max(f"max_{c}").over(past).alias(f"__max_{c}"), F.lag(f"last_{c}").over(order)["v"].alias(f"__last_{c}"),
+            F.first(f"first_{c}", ignorenulls=True).over(past if strict else whole)["v"].alias(f"__first_{c}"),
+        )),
+    )
+    out = _prefixes(placed.join(carry, ["event_id", "__block"]), columns, strict, ("event_id", "__block"), True)
+    return out.drop(*(c for c in out.columns if c.startswith("__")))
+
+
+def prefix_features(messages: DataFrame, columns: tuple[str, ...] = PREFIX_COLUMNS, strict: bool = False, limit: int = LARGE_EVENT) -> DataFrame:
+    """Add, per column: _first (first value present in the event; up to the row only if strict), _min_so_far, _max_so_far,
+    _range_so_far (null where the value is), _delta_first and _delta_prev; and n_cdm_so_far, dt_prev, history_span_days. One
+    exchange by event serves all; events of over `limit` messages are spread over tasks."""
+    large = large_events(messages, limit)
+    if large is None:
+        return _prefixes(messages, columns, strict, ("event_id",), False)
+    usual = _prefixes(messages.join(large, "event_id", "left_anti"), columns, strict, ("event_id",), False)
+    return usual.unionByName(_prefixes_by_blocks(messages.join(large, "event_id", "left_semi"), columns, strict))
 
 
 def decision_window(rows: DataFrame, low: float = 2.0, high: float = 7.0) -> DataFrame:
@@ -46,9 +86,19 @@ def decision_window(rows: DataFrame, low: float = 2.0, high: float = 7.0) -> Dat
     return rows.filter(F.col("time_to_tca").between(low, high))
 
 
-def eligible_prefixes(rows: DataFrame, low: float = 2.0, high: float = 7.0) -> DataFrame:
+def eligible_prefixes(rows: DataFrame, low: float = 2.0, high: float = 7.0, limit: int = LARGE_EVENT) -> DataFrame:
     """The decision window with eligible_history_count, which starts at 1 as the window opens."""
-    return decision_window(rows, low, high).withColumn("eligible_history_count", F.row_number().over(_later()))
+    return counted(decision_window(rows, low, high), "eligible_history_count", limit)
+
+
+def counted(rows: DataFrame, name: str, limit: int = LARGE_EVENT) -> DataFrame:
+    """Add the number of each message in its event as time passes."""
+    large = large_events(rows, limit)
+    number = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("time_to_tca")))
+    if large is None:
+        return rows.withColumn(name, number)
+    spread = ranked_within(rows.join(large, "event_id", "left_semi"), ("event_id",), (-F.col("time_to_tca"),), name).withColumn(name, F.col(name).cast("int"))
+    return rows.join(large, "event_id", "left_anti").withColumn(name, number).unionByName(spread)
 
 
 def event_labels(messages: DataFrame, mode: str = "literal") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skysieve.functions.checks import finite
 from skysieve.functions.keys import event_key, finite_or_null
 
 MESSAGE_FIELDS = (
@@ -13,17 +14,20 @@ MESSAGE_FIELDS = (
 )
 
 
+def first_rows(rows: DataFrame, keys: tuple[str, ...], row_id: str) -> DataFrame:
+    """The row with the lowest `row_id` of each key. The aggregation holds one row per key and combines in map tasks, so a key with
+    many copies is no hot task."""
+    rest = [c for c in rows.columns if c not in (*keys, row_id)]
+    return rows.groupBy(*keys).agg(F.min(F.struct(row_id, *rest)).alias("__r")).select(*keys, "__r.*")
+
+
 def messages(cdm: DataFrame) -> DataFrame:
     """One row per event and time to closest approach (the lowest cdm_no), NaN as null."""
-    first = Window.partitionBy("event_id", "time_to_tca").orderBy("cdm_no")
-    return (
-        cdm.select(
-            "cdm_no", event_key(F.col("event_id")).alias("event_id"), "event_pair", "source_message_id", F.col("creation_date").cast("timestamp").alias("creation_date"), F.col("tca").cast("timestamp").alias("tca"),
-            finite_or_null(F.col("time_to_tca")).alias("time_to_tca"), *(finite_or_null(F.col(f)).alias(f) for f in MESSAGE_FIELDS), "mission_id", "c_object_type",
-        )
-        .filter(F.col("event_id").isNotNull() & F.col("time_to_tca").isNotNull())
-        .withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    rows = cdm.select(
+        "cdm_no", event_key(F.col("event_id")).alias("event_id"), "event_pair", "source_message_id", F.col("creation_date").cast("timestamp").alias("creation_date"), F.col("tca").cast("timestamp").alias("tca"),
+        finite_or_null(F.col("time_to_tca")).alias("time_to_tca"), *(finite_or_null(F.col(f)).alias(f) for f in MESSAGE_FIELDS), "mission_id", "c_object_type",
     )
+    return first_rows(rows.filter(F.col("event_id").isNotNull() & F.col("time_to_tca").isNotNull()), ("event_id", "time_to_tca"), "cdm_no")
 
 
 def scored(diagnostics: DataFrame) -> DataFrame:
@@ -33,11 +37,8 @@ def scored(diagnostics: DataFrame) -> DataFrame:
         "diag_no", event_key(F.col("event_id")).alias("event_id"), finite_or_null(F.col("time_to_tca")).alias("time_to_tca"), "y", "fold", finite_or_null(F.col("score")).alias("score"),
         *(finite_or_null(F.col(f)).alias(f) for f in ("risk", "max_risk_estimate", "miss_distance", "mahalanobis_distance")),
     ).filter("event_id is not null and time_to_tca is not null and score is not null")
-    first, event = Window.partitionBy("event_id", "time_to_tca").orderBy("diag_no"), Window.partitionBy("event_id")
-    return (
-        keyed.withColumn("__n", F.row_number().over(first)).withColumn("y", F.coalesce(F.max("y").over(event), F.lit(0))).withColumn("fold", F.coalesce(F.min("fold").over(event), F.lit(0)))
-        .filter("__n = 1").drop("__n")
-    )
+    events = keyed.groupBy("event_id").agg(F.coalesce(F.max("y"), F.lit(0)).alias("y"), F.coalesce(F.min("fold"), F.lit(0)).alias("fold"))
+    return first_rows(keyed.drop("y", "fold"), ("event_id", "time_to_tca"), "diag_no").join(events, "event_id")
 
 
 def log_probability(p: Column) -> Column:
@@ -81,6 +82,8 @@ def mahalanobis(r: tuple[Column, Column, Column], a: tuple[Column, ...], b: tupl
         + 2 * (x * y * (nr * nt - tr * nn) + x * z * (tr * nt - nr * tt) + y * z * (nr * tr - rr * nt))
     )
     scale = F.abs(rr) * F.abs(tt) * F.abs(nn)
+    square = form / det
+    square = F.when(finite(square), F.when(square < 0, 0.0).otherwise(square))
 
     def by_pinv(columns: pd.DataFrame) -> pd.Series:
         out = []
@@ -95,7 +98,7 @@ def mahalanobis(r: tuple[Column, Column, Column], a: tuple[Column, ...], b: tupl
     by_pinv.__annotations__ = {"columns": pd.DataFrame, "return": pd.Series}
     pinv = F.pandas_udf(by_pinv, "double")
     named = [c.cast("double").alias(f"v{i}") for i, c in enumerate((x, y, z, rr, tr, tt, nr, nt, nn))]
-    return F.coalesce(given, F.when(det > scale * 1e-9, F.sqrt(F.greatest(F.lit(0.0), form / det))).otherwise(pinv(F.struct(*named))))
+    return F.coalesce(given, F.when(det > scale * 1e-9, F.sqrt(square)).otherwise(pinv(F.struct(*named))))
 
 
 def tca_clusters(rows: DataFrame, tolerance_s: float = 1800.0, pair: str = "event_pair", time: str = "tca") -> DataFrame:

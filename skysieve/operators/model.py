@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions.checks import outcome_blind
 from skysieve.operators.features import event_weights
+from skysieve.session import cut
 
 #: A scorer fits on labelled rows and returns a function that adds `score` to rows.
 Scorer = Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
@@ -58,6 +59,7 @@ def ml_scorer(columns: tuple[str, ...], categories: tuple[str, ...] = (), trees:
 
 def out_of_fold(rows: DataFrame, scorer: Scorer, fold: str = "fold") -> DataFrame:
     """Every row scored by a model of the other folds. The folds are a handful; each fit is a distributed job."""
+    rows = cut(rows)
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
     parts = []
     for f in folds:

@@ -120,14 +120,15 @@ def time_to_tca(spark, d):
     return _messages(spark, d).select("cdm_no", F.round(messages.days_between(F.col("creation_date"), F.col("tca")), 9).alias("days"))
 
 
-@query()
+@query(f"""WITH {M}, v AS (SELECT cdm_no, [miss_distance, relative_speed, max_risk_scaling] AS r, [t_obs_used + c_obs_used, t_obs_available + c_obs_available, t_weighted_rms + c_weighted_rms] AS c FROM m)
+    SELECT cdm_no, CASE WHEN len(list_filter(list_concat(r, c), lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN round(sqrt(list_sum(list_transform(list_zip(r, c), lambda x: CASE WHEN x[2] = 0 THEN 0 ELSE x[1] * x[1] / x[2] END))), 2) END AS distance FROM v""")
 def mahalanobis(spark, d):
     """Of each message, from its readings as a diagonal covariance; singular ones by pseudo-inverse."""
     r = (F.col("miss_distance"), F.col("relative_speed"), F.col("max_risk_scaling"))
     zero = F.lit(0.0)
     a = (F.col("t_obs_used"), zero, F.col("t_obs_available"), zero, zero, F.col("t_weighted_rms"))
     b = (F.col("c_obs_used"), zero, F.col("c_obs_available"), zero, zero, F.col("c_weighted_rms"))
-    return _messages(spark, d).select("cdm_no", messages.mahalanobis(r, a, b, F.lit(None).cast("double")).alias("distance"))
+    return _messages(spark, d).select("cdm_no", F.round(messages.mahalanobis(r, a, b, F.lit(None).cast("double")), 2).alias("distance"))
 
 
 @query(f"WITH {M} SELECT cdm_no, event_id, time_to_tca FROM m WHERE time_to_tca BETWEEN 2.0 AND 7.0")
@@ -351,7 +352,11 @@ def evaluate_threshold(spark, d):
     return calibrate.evaluate_threshold(calibrate.history_gated_events(_eligible(spark, d), MINIMUM_HISTORY), BOUND, None)
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {HG}, a AS (SELECT count(*) FILTER (WHERE y = 1 AND coalesce(min_score < {BOUND}::DOUBLE, false)) AS k, count(*) FILTER (WHERE y = 1) AS n FROM g),
+    b AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, k, n FROM a UNION ALL
+        SELECT i + 1, CASE WHEN c > 1 - {CONFIDENCE}::DOUBLE THEN p ELSE lo END, CASE WHEN c > 1 - {CONFIDENCE}::DOUBLE THEN hi ELSE p END, k, n FROM (
+            SELECT *, (lo + hi) / 2 AS p, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((lo + hi) / 2) + (n - j) * ln(1 - (lo + hi) / 2)))) AS c FROM b WHERE i < 60))
+    SELECT k AS danger, n AS n_positive, round((lo + hi) / 2, 9) AS danger_upper FROM b WHERE i = 60""")
 def cp_upper(spark, d):
     """The danger of a fixed bound with its Clopper-Pearson upper limit."""
     return calibrate.evaluate_threshold(calibrate.history_gated_events(_eligible(spark, d), MINIMUM_HISTORY), BOUND, CONFIDENCE).select("danger", "n_positive", F.round("danger_upper", 9).alias("danger_upper"))
@@ -562,11 +567,13 @@ def paired_subgroups(spark, d):
     return _change(experiments.paired_change(_pairs(spark, d).join(groups, "event_id"), ("history_group",), test=False), ("history_group",))
 
 
-@query()
+@query(f"""WITH {S}, {_PAIR}, hg AS (SELECT event_id, CASE WHEN count(*) <= 4 THEN '1-4' WHEN count(*) <= 10 THEN '5-10' ELSE '11+' END AS history_group FROM e GROUP BY 1), c AS (SELECT history_group, {_CHANGE} FROM pa JOIN hg USING (event_id) GROUP BY 1)
+    SELECT history_group, gained, lost, gained - lost AS net, round(CASE WHEN gained + lost = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(gained, lost) + 1), lambda j: exp(lgamma(gained + lost + 1) - lgamma(j + 1) - lgamma(gained + lost - j + 1) - (gained + lost) * ln(2))))) END, 9) AS mcnemar_p FROM c""")
 def paired_tests(spark, d):
     """Gains and losses by history with the exact McNemar p."""
     groups = features.event_groups(_eligible(spark, d), ("risk",)).select("event_id", "history_group")
-    return experiments.paired_change(_pairs(spark, d).join(groups, "event_id"), ("history_group",))
+    change = experiments.paired_change(_pairs(spark, d).join(groups, "event_id"), ("history_group",))
+    return change.select("history_group", "gained", "lost", "net", F.round("mcnemar_p", 9).alias("mcnemar_p"))
 
 
 GROUPED = f"""gr AS (SELECT f.event_id, f.y, f.first_safe_tca, CAST(f.fold AS VARCHAR) AS fold, hg.history_group FROM f JOIN (SELECT event_id, CASE WHEN count(*) <= 4 THEN '1-4' WHEN count(*) <= 10 THEN '5-10' ELSE '11+' END AS history_group FROM e GROUP BY 1) hg USING (event_id))"""

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skysieve.operators.features import LARGE_EVENT, large_events
+from skysieve.operators.ranking import ranked_within
+
 #: Decision reasons (fixed values).
 ESCALATED = "score_at_or_above_escalation_threshold"
 NOT_OPEN = "decision_window_not_open"
@@ -54,12 +57,20 @@ def decided(counted: DataFrame, policy: TriagePolicy, gate_allowed: Column | Non
     )
 
 
-def batch_audit(messages: DataFrame, policy: TriagePolicy, gate_allowed: Column | None = None) -> DataFrame:
-    """The audit of a whole history at once: the batch twin of the stream."""
+def batch_audit(messages: DataFrame, policy: TriagePolicy, gate_allowed: Column | None = None, limit: int = LARGE_EVENT) -> DataFrame:
+    """The audit of a whole history at once: the batch twin of the stream. As time runs one way, messages before the window have no
+    eligible history and those after it all of it. Events of over `limit` messages are spread over tasks."""
+    inside = F.col("time_to_tca").between(policy.min_days, policy.max_days)
+    large = large_events(messages, limit)
     w = Window.partitionBy("event_id").orderBy(F.desc("time_to_tca"))
-    inside = F.col("time_to_tca").between(policy.min_days, policy.max_days).cast("int")
-    counted = messages.withColumn("sequence_number", F.row_number().over(w)).withColumn("eligible_history_count", F.sum(inside).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-    return decided(counted, policy, gate_allowed)
+    usual = messages if large is None else messages.join(large, "event_id", "left_anti")
+    out = usual.withColumn("sequence_number", F.row_number().over(w)).withColumn("eligible_history_count", F.sum(inside.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    if large is not None:
+        spread = ranked_within(messages.join(large, "event_id", "left_semi"), ("event_id",), (-F.col("time_to_tca"),), "sequence_number")
+        bounds = spread.groupBy("event_id").agg(F.count_if(F.col("time_to_tca") > policy.max_days).alias("__early"), F.count_if(inside).alias("__inside"))
+        spread = spread.join(bounds, "event_id").withColumn("eligible_history_count", F.greatest(F.lit(0), F.least(F.col("__inside"), F.col("sequence_number") - F.col("__early"))).cast("int"))
+        out = out.unionByName(spread.drop("__early", "__inside").withColumn("sequence_number", F.col("sequence_number").cast("int")))
+    return decided(out, policy, gate_allowed)
 
 
 _STATE = "sequence_number int, eligible_history_count int, last_time_to_tca double"

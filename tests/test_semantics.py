@@ -188,3 +188,18 @@ def test_delivery_classes_and_chain(spark):
 def test_log_probability(spark):
     df = spark.createDataFrame([(0.01,), (0.0,), (-1.0,), (None,), (INF,)], "p double")
     assert [r[0] for r in df.select(messages.log_probability(F.col("p"))).collect()] == [pytest.approx(-2.0), None, None, None, None]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_large_events_are_spread_without_a_difference(spark, strict):
+    rows = spark.range(1500).selectExpr(
+        "concat('e', id % 3 * id % 2) as event_id", "cast(id as double) / 200 as time_to_tca", "if(pmod(hash(id), 5) < 2, null, pmod(hash(id), 97) / 7.0) as risk", "pmod(hash(id, 1), 100) / 100.0 as score",
+    )
+    for f in (
+        lambda limit: features.prefix_features(rows, ("risk",), strict, limit), lambda limit: features.eligible_prefixes(rows, limit=limit),
+        lambda limit: triage.batch_audit(rows, triage.TriagePolicy(0.2, 2, 2.0, 5.0, 0.9), limit=limit),
+    ):
+        usual, spread = f(10**9), f(100)
+        columns = sorted(usual.columns)
+        assert sorted(spread.columns) == columns
+        assert sorted(map(str, usual.select(columns).collect())) == sorted(map(str, spread.select(columns).collect()))
