@@ -64,11 +64,12 @@ def assign_parts(groups: DataFrame, plan: DataFrame, seed: str = "split-1") -> D
     Groups with more than 1/GIANT of all rows (fewer than GIANT) are dealt one by one to the part that lacks most. The
     others are stratified by size band (powers of two), ordered within a band by a hash, and dealt systematically: the
     rank of a group times the golden ratio, modulo 1, is compared with the cumulative shares still lacking, so that in every stretch of a
-    band the parts come in proportion. Ranks come from counts per range of the hash, so no task holds a band."""
+    band the parts come in proportion. Ranks come from counts per range of the hash, so no task holds a band. A plan without a
+    positive share gives every group a null part."""
     spark = groups.sparkSession
     wanted = {r["split_part"]: float(r["target_pct"]) for r in plan.filter("split_part is not null and target_pct > 0").groupBy("split_part").agg(F.max("target_pct").alias("target_pct")).collect()}
     if not wanted:
-        raise ValueError("the split plan has no part with a positive share")
+        return groups.select("group_id", F.lit(None).cast("string").alias("split_part"))
     shares = {part: pct / sum(wanted.values()) for part, pct in sorted(wanted.items())}
     total = groups.agg(F.sum("n_rows")).first()[0] or 0
     giant = F.col("n_rows") * GIANT > total

@@ -110,4 +110,5 @@ def test_shares_with_giants(spark):
     plan = spark.createDataFrame([("train", 70.0), ("validation", 15.0), ("test", 15.0)], "split_part string, target_pct double")
     out = assign_parts(groups, plan).join(groups, "group_id").groupBy("split_part").agg({"n_rows": "sum"}).collect()
     total = sum(r[1] for r in out)
+    assert assign_parts(groups, plan.limit(0)).filter("split_part is null").count() == 20000
     assert {r[0]: round(100 * r[1] / total) for r in out} == {"train": 70, "validation": 15, "test": 15}

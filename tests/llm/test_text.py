@@ -96,7 +96,7 @@ def test_texts_in_containers(spark, encoder):
             n = len(ids(encoder, text))
             assert rows.n_tokens.sum() == n and list(rows.token_start) == list(np.cumsum([0, *rows.n_tokens])[:-1]) and len(rows) == (-(-n // capacity) if n else 1)
     assert len(out[out.doc_id == 200]) == 6 and out[out.doc_id == 200].container_id.isna().sum() == 2
-    assert packing.pack_texts(spark.createDataFrame([], DOCS), kinds).count() == 0
+    assert packing.pack_texts(spark.createDataFrame([], DOCS), kinds).count() == 0 == packing.pack_texts(df, kinds.limit(0)).count()
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +126,5 @@ def test_documents(spark, tables):
     }
     assert all(0 < r["confidence"] <= 1 for r in out.collect())
     assert langid.document_languages(spark.createDataFrame([], DOCS), samples, codes).count() == 0
+    some = spark.createDataFrame(data[:1], DOCS)
+    assert langid.document_languages(some, samples, codes.limit(0)).count() == 0 == langid.document_languages(some, samples.limit(0), codes).count()
