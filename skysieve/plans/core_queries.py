@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skysieve.operators.delivery import surplus_deliveries
-from skysieve.operators.spikes import implausible_cells
+from skysieve.operators.spikes import FIELDS, PHYSICAL_BOUNDS, implausible_cells
 from skysieve.plans.tables import table
 
 #: Placeholder identifiers as an SQL list; the same fixed values as skysieve.functions.keys.PLACEHOLDERS.
@@ -30,7 +30,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 
+_MISSION = f"""coalesce({usable_sql('mission_id')}, CASE WHEN regexp_matches(upper(trim(split_part(event_pair, chr(124), 1))), '^[A-Z]+[- ][0-9]+$') THEN {usable_sql('split_part(event_pair, chr(124), 1)')}
+    WHEN regexp_matches(upper(trim(split_part(event_pair, chr(124), 2))), '^[A-Z]+[- ][0-9]+$') THEN {usable_sql('split_part(event_pair, chr(124), 2)')} END)"""
+
+
+def _still_sql(field: str) -> str:
+    return f"coalesce({field} = lag({field}) OVER w OR abs({field} - lag({field}) OVER w) < 0.000001::DOUBLE * greatest(abs({field}), abs(lag({field}) OVER w)), false) AS s_{field}"
+
+
+def _runs_sql(field: str) -> str:
+    at = {k: f"coalesce({'lead' if k > 0 else 'lag'}(s_{field}, {abs(k)}) OVER w, false)" if k else f"s_{field}" for k in range(-2, 4)}
+    return " OR ".join("(" + " AND ".join(at[k] for k in range(first, first + 3)) + ")" for first in range(-2, 2)) + f" AS r_{field}"
+
+
+def _found_sql(field: str, bound: float) -> str:
+    return f"""
+        SELECT cdm_no, '{field}' AS field_name FROM x WHERE {field} <= 0 OR {field} > {bound}::DOUBLE
+        UNION SELECT x.cdm_no, '{field}' FROM x JOIN runs ON x.event_id = runs.event_id AND x.creation_date = runs.creation_date AND x.{field} IS NOT DISTINCT FROM runs.{field} WHERE r_{field} AND x.{field} IS NOT NULL
+        UNION SELECT cdm_no, '{field}' FROM (
+            SELECT *, median(d) OVER (PARTITION BY mission) * 1.4826 AS spread, count(*) OVER (PARTITION BY mission) AS n FROM (
+                SELECT cdm_no, mission, abs(ln({field}) - median(ln({field})) OVER (PARTITION BY mission)) AS d FROM x WHERE {field} > 0 AND {field} <= {bound}::DOUBLE AND mission IS NOT NULL))
+        WHERE d / spread >= 8 * greatest(2.0::DOUBLE / 3, 1 - 3 * 1.17 / sqrt(n))"""
+
+
 SQL = {
+    "p5_found": f"""
+        WITH v AS (SELECT *, {_MISSION} AS m FROM external_cdm), x AS (
+            SELECT cdm_no, event_id, creation_date, coalesce((SELECT min({usable_sql('designator')}) FROM object_alias WHERE {usable_sql('alias_designator')} = m), m) AS mission,
+                {', '.join(f'CASE WHEN NOT isnan({f}) THEN {f} END AS {f}' for f in FIELDS)} FROM v),
+        y AS (SELECT DISTINCT event_id, creation_date, {', '.join(FIELDS)} FROM x WHERE event_id IS NOT NULL AND creation_date IS NOT NULL),
+        z AS (SELECT *, {', '.join(map(_still_sql, FIELDS))} FROM y WINDOW w AS (PARTITION BY event_id ORDER BY creation_date, {', '.join(FIELDS)})),
+        runs AS (SELECT *, {', '.join(map(_runs_sql, FIELDS))} FROM z WINDOW w AS (PARTITION BY event_id ORDER BY creation_date, {', '.join(FIELDS)}))
+        {' UNION '.join(_found_sql(f, PHYSICAL_BOUNDS[f]) for f in FIELDS)}
+    """,
     "p3_found": f"""
         WITH keyed AS (SELECT record_no, {usable_sql('source_message_id')} AS k FROM external_collection)
         SELECT record_no FROM (
