@@ -63,7 +63,34 @@ _COHORT = f"""
          WHEN length({usable_sql('study_cohort')}) >= 4 AND starts_with('evaluation', lower({usable_sql('study_cohort')})) THEN 'evaluation' END
 """
 
+def _designator_sql(part: int) -> str:
+    return f"coalesce((SELECT min({usable_sql('designator')}) FROM object_alias WHERE {usable_sql('alias_designator')} = {usable_sql(f'split_part(event_pair, chr(124), {part})')}), {usable_sql(f'split_part(event_pair, chr(124), {part})')})"
+
+
+#: Records with canonical event, identifier and pair; null where unusable.
+_KEYED = f"""
+    d AS (SELECT *, {_EVENT} AS event, {usable_sql('source_message_id')} AS k, {_designator_sql(1)} AS d1, {_designator_sql(2)} AS d2 FROM external_collection),
+    r AS (SELECT *, CASE WHEN d1 IS NOT NULL AND d2 IS NOT NULL AND len(string_split(event_pair, chr(124))) = 2 THEN least(d1, d2) || '|' || greatest(d1, d2) END AS pair FROM d)
+"""
+_SAME = " AND ".join(f"(coalesce(isnan(a.{x}) OR isnan(b.{x}), true) OR a.{x} = b.{x} OR abs(a.{x} - b.{x}) <= 0.001::DOUBLE * greatest(abs(a.{x}), abs(b.{x})))" for x in history.READINGS)
+
 SQL = {
+    "p1_found": f"""
+        WITH RECURSIVE {_KEYED}, t AS (SELECT *, epoch_us(creation_date::TIMESTAMPTZ) AS c_us, epoch_us(tca::TIMESTAMPTZ) AS t_us FROM r),
+        link AS (
+            SELECT record_no AS u, min(record_no) OVER (PARTITION BY k) AS v FROM t WHERE k IS NOT NULL
+            UNION SELECT a.record_no, b.record_no FROM t a JOIN t b ON a.pair = b.pair AND a.record_no > b.record_no AND abs(a.c_us - b.c_us) <= 60000000 AND abs(a.t_us - b.t_us) <= 5000000 WHERE {_SAME}
+        ), pair_of AS (SELECT u, v FROM link WHERE u <> v UNION SELECT v, u FROM link WHERE u <> v),
+        reach(u, v) AS (SELECT u, v FROM pair_of UNION SELECT reach.u, pair_of.v FROM reach JOIN pair_of ON reach.v = pair_of.u),
+        root AS (SELECT u, least(u, min(v)) AS first_no FROM reach GROUP BY u)
+        SELECT root.first_no AS first_record_no, root.u AS repeat_record_no FROM root JOIN t a ON a.record_no = root.u JOIN t b ON b.record_no = root.first_no WHERE coalesce(a.collection_batch, 0) > coalesce(b.collection_batch, 0)
+    """,
+    "p4_found": f"""
+        WITH RECURSIVE {_KEYED}, uses AS (SELECT DISTINCT 'p' || pair AS key, event FROM r WHERE pair IS NOT NULL AND event IS NOT NULL UNION SELECT 'm' || k, event FROM r WHERE k IS NOT NULL AND event IS NOT NULL),
+        link AS (SELECT event AS u, min(event) OVER (PARTITION BY key) AS v FROM uses), pair_of AS (SELECT u, v FROM link WHERE u <> v UNION SELECT v, u FROM link WHERE u <> v),
+        reach(u, v) AS (SELECT u, v FROM pair_of UNION SELECT reach.u, pair_of.v FROM reach JOIN pair_of ON reach.v = pair_of.u)
+        SELECT min(v) AS first_event_id, u AS other_event_id FROM reach GROUP BY u HAVING min(v) < u
+    """,
     "p2_sample": f"""
         WITH r AS (
             SELECT {_EVENT} AS event_id, {_COHORT} AS cohort, record_no, coalesce(collection_batch, 0) AS batch FROM external_collection
