@@ -52,9 +52,25 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+#: Scratch tables of this process that release() may delete.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the scratch tables written so far, once the results that read them are written; the number deleted. Tables at paths of
+    the caller's own stay."""
+    deleted = 0
+    while _scratch:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        deleted += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+    return deleted
 
 
 def cut(df: DataFrame) -> DataFrame:
