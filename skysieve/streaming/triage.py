@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skysieve.operators.features import LARGE_EVENT, large_events
 from skysieve.operators.ranking import ranked_within
@@ -73,54 +70,83 @@ def batch_audit(messages: DataFrame, policy: TriagePolicy, gate_allowed: Column
     return decided(out, policy, gate_allowed)
 
 
-_STATE = "sequence_number int, eligible_history_count int, last_time_to_tca double"
-_COUNTED = "event_id string, time_to_tca double, score double, gate_allowed boolean, sequence_number int, eligible_history_count int, late boolean"
-
-
-def _counter(min_days: float, max_days: float, on_late: str):
-    def count(key: tuple[str], updates: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, eligible, last = state.get if state.exists else (0, 0, float("inf"))
-        for rows in updates:
-            rows = rows.sort_values("time_to_tca", ascending=False, kind="mergesort").reset_index(drop=True)
-            late = (rows["time_to_tca"] >= rows["time_to_tca"].shift(1, fill_value=last).cummin()).to_numpy()
-            late |= (rows["time_to_tca"] >= last).to_numpy()
-            if late.any() and on_late == "fail":
-                raise ValueError(f"event {key[0]}: updates must come with strictly decreasing time_to_tca")
-            inside = rows["time_to_tca"].between(min_days, max_days).to_numpy() & ~late
-            rows["sequence_number"] = n + (~late).cumsum()
-            rows["eligible_history_count"] = eligible + inside.cumsum()
-            rows["late"] = late
-            n, eligible = int(n + (~late).sum()), int(eligible + inside.sum())
-            if (~late).any():
-                last = float(rows.loc[~late, "time_to_tca"].min())
-            yield rows[["event_id", "time_to_tca", "score", "gate_allowed", "sequence_number", "eligible_history_count", "late"]].astype({"sequence_number": "int32", "eligible_history_count": "int32"})
-        state.update((n, eligible, last))
-
-    return count
-
-
-def stream_audit(updates: DataFrame, policy: TriagePolicy, gate_allowed: Column | None = None, on_late: str = "quarantine") -> DataFrame:
-    """Decisions of a stream of event_id, time_to_tca, score (and gate features). State per event is two counters and a time. An
-    update that does not lower its event's time_to_tca is late: on_late="fail" stops the query before the micro-batch
-    changes anything, "quarantine" passes it on with late = true, no decision and no effect on the state. Updates of one event within a
-    micro-batch are taken by falling time_to_tca."""
-    if on_late not in ("fail", "quarantine"):
-        raise ValueError("on_late must be fail or quarantine")
-    allowed = F.coalesce(gate_allowed, F.lit(False)) if gate_allowed is not None else F.lit(True)
-    counted = (
-        updates.select(F.col("event_id").cast("string").alias("event_id"), F.col("time_to_tca").cast("double").alias("time_to_tca"), F.col("score").cast("double").alias("score"), allowed.alias("gate_allowed"))
-        .groupBy("event_id").applyInPandasWithState(_counter(policy.min_days, policy.max_days, on_late), _COUNTED, _STATE, "append", GroupStateTimeout.NoTimeout)
-    )
-    out = decided(counted, policy, F.col("gate_allowed"))
+#: Micro-batches between two whole tables of counters; the tables between them hold the events of one micro-batch each.
+SNAPSHOT_EVERY = 10
+_COUNTERS = "event_id string, sequence_number int, eligible_history_count int, last_time_to_tca double"
+
+
+def counted_updates(updates: DataFrame, counters: DataFrame, policy: TriagePolicy, limit: int = LARGE_EVENT) -> DataFrame:
+    """Add sequence_number, eligible_history_count and late to a micro-batch of event_id, time_to_tca, score, gate_allowed, given the
+    counters of its events so far. Neither the order nor the chunks in which rows arrive matter: of several updates of one event and
+    time the one with the highest score counts (missing above all, blocked before open), the others are late. Late updates have
+    null counters. Updates without a time count after all others. Events of over `limit` updates are spread over tasks."""
+    so_far = counters.select("event_id", F.col("sequence_number").alias("__n"), F.col("eligible_history_count").alias("__e"), "last_time_to_tca")
+    time = F.col("time_to_tca")
+    copies = Window.partitionBy("event_id", "time_to_tca").orderBy(F.desc_nulls_first("score"), "gate_allowed")
+    known = updates.join(so_far, "event_id", "left").fillna(0, ["__n", "__e"]).withColumn("late", F.coalesce(time >= F.col("last_time_to_tca"), F.lit(False)) | (time.isNotNull() & (F.row_number().over(copies) > 1))).drop("last_time_to_tca")
+    inside = F.coalesce(time.between(policy.min_days, policy.max_days), F.lit(False))
+    large = large_events(updates, limit)
+    w = Window.partitionBy("event_id").orderBy(F.desc_nulls_last("time_to_tca")).rowsBetween(Window.unboundedPreceding, 0)
+    usual = known if large is None else known.join(large, "event_id", "left_anti")
+    on_time = ~F.col("late")
+    out = usual.withColumn("__i", F.sum(on_time.cast("int")).over(w)).withColumn("__h", F.sum((on_time & inside).cast("int")).over(w))
+    if large is not None:
+        spread = known.join(large, "event_id", "left_semi")
+        ranked = ranked_within(spread.filter(on_time), ("event_id",), (F.coalesce(-time, F.lit(float("inf"))),), "__i")
+        bounds = ranked.groupBy("event_id").agg(F.count_if(time > policy.max_days).alias("__early"), F.count_if(inside).alias("__inside"))
+        ranked = ranked.join(bounds, "event_id").withColumn("__h", F.greatest(F.lit(0), F.least(F.col("__inside"), F.col("__i") - F.col("__early")))).drop("__early", "__inside")
+        out = out.unionByName(ranked).unionByName(spread.filter("late").withColumns({"__i": F.lit(0), "__h": F.lit(0)}))
+    return out.withColumns({
+        "sequence_number": F.when(on_time, F.col("__n") + F.col("__i")).cast("int"), "eligible_history_count": F.when(on_time, F.col("__e") + F.col("__h")).cast("int"),
+    }).drop("__n", "__e", "__i", "__h")
+
+
+def audited_updates(updates: DataFrame, counters: DataFrame, policy: TriagePolicy, limit: int = LARGE_EVENT) -> DataFrame:
+    """The audit of a micro-batch; late updates have no reason and no decision."""
+    out = decided(counted_updates(updates, counters, policy, limit), policy, F.col("gate_allowed"))
     return out.withColumns({"reason": F.when(~F.col("late"), F.col("reason")), "decision": F.when(~F.col("late"), F.col("decision"))}).drop("gate_allowed")
 
 
-def replay(source: DataFrame, policy: TriagePolicy, audit_path: str, checkpoint_path: str, gate_allowed: Column | None = None, on_late: str = "quarantine"):
-    """Run a streaming source to its end into an append-only audit; restarts go on where they stopped, each micro-batch is written once."""
-    return (
-        stream_audit(source, policy, gate_allowed, on_late).writeStream.format("parquet").outputMode("append")
-        .option("path", audit_path).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
-    )
+def _merged(counters: DataFrame) -> DataFrame:
+    """One row per event: counters only grow and times only fall."""
+    return counters.groupBy("event_id").agg(F.max("sequence_number").alias("sequence_number"), F.max("eligible_history_count").alias("eligible_history_count"), F.min("last_time_to_tca").alias("last_time_to_tca"))
+
+
+def _counters_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """Counters after all micro-batches before this one: the last whole table and those of single micro-batches since."""
+    if batch == 0:
+        return spark.createDataFrame([], _COUNTERS)
+    whole = (batch - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
+    return _merged(spark.read.schema(_COUNTERS).parquet(*[f"{path}/after-{i}" for i in range(whole, batch)]))
+
+
+def replay(source: DataFrame, policy: TriagePolicy, audit_path: str, checkpoint_path: str, gate_allowed: Column | None = None, on_late: str = "quarantine", limit: int = LARGE_EVENT):
+    """Run a stream of event_id, time_to_tca, score (and gate features) to its end into an append-only audit with one folder per
+    micro-batch (batch_id); restarts go on where they stopped, and a micro-batch that is run again replaces its own folders, so each is written
+    once. State per event is two counters and a time, in tables beside the checkpoint. Updates of one event within a micro-batch are taken
+    by falling time_to_tca, whatever their number and order. An update that does not lower its event's time_to_tca is late: on_late="fail" stops
+    the query before the micro-batch changes anything, "quarantine" passes it on with late = true, no counters, no decision and no effect
+    on the state."""
+    if on_late not in ("fail", "quarantine"):
+        raise ValueError("on_late must be fail or quarantine")
+    allowed = F.coalesce(gate_allowed, F.lit(False)) if gate_allowed is not None else F.lit(True)
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    updates = source.select(F.col("event_id").cast("string").alias("event_id"), number("time_to_tca"), number("score"), allowed.alias("gate_allowed"))
+    state = f"{checkpoint_path}/counters"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark, rows = rows.sparkSession, rows.persist()
+        before = _counters_before(spark, state, batch)
+        audit = audited_updates(rows, before, policy, limit)
+        if on_late == "fail" and (late := audit.filter("late").first()):
+            raise ValueError(f"event {late['event_id']}: updates must come with strictly decreasing time_to_tca")
+        written = f"{audit_path}/batch_id={batch}"
+        audit.write.mode("overwrite").parquet(written)
+        after = spark.read.schema(audit.schema).parquet(written).filter("not late").select("event_id", "sequence_number", "eligible_history_count", F.col("time_to_tca").alias("last_time_to_tca"))
+        _merged(after.unionByName(before) if batch % SNAPSHOT_EVERY == 0 else after).write.mode("overwrite").parquet(f"{state}/after-{batch}")
+        rows.unpersist()
+
+    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
 
 
 def current_decisions(audit: DataFrame) -> DataFrame:
