@@ -92,13 +92,14 @@ def subgroup_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scored messages replayed as a stream of four deliveries, latest last, with state per event; the audit it leaves."""
+    """All scored messages replayed as a stream of four deliveries, latest last, with state per event; the audit it leaves. A delivery is
+    written by as many tasks as its rows take and read as one micro-batch before the next is written."""
     rows = messages.scored(table(spark, sf_dir, "history_gate_diagnostics")).select("event_id", "time_to_tca", "score", "risk")
     path = scratch_path(spark, "stream")
     for low, high in ((6.0, 1e9), (4.5, 6.0), (3.0, 4.5), (-1e9, 3.0)):
-        rows.filter((F.col("time_to_tca") >= low) & (F.col("time_to_tca") < high)).coalesce(1).write.mode("append").parquet(f"{path}/updates")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/updates")
-    triage.replay(source, POLICY, f"{path}/audit", f"{path}/state", F.col("risk") < -8).awaitTermination()
+        rows.filter((F.col("time_to_tca") >= low) & (F.col("time_to_tca") < high)).write.mode("append").parquet(f"{path}/updates")
+        source = spark.readStream.schema(rows.schema).parquet(f"{path}/updates")
+        triage.replay(source, POLICY, f"{path}/audit", f"{path}/state", F.col("risk") < -8).awaitTermination()
     return spark.read.parquet(f"{path}/audit").select("event_id", "time_to_tca", "sequence_number", "eligible_history_count", "reason", "decision")
 
 

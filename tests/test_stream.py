@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skysieve.plans import more_queries
 from skysieve.plans.reference_queries import _scored
 from skysieve.streaming import triage
 
@@ -81,3 +82,14 @@ def test_counters_pass_from_one_whole_table_to_the_next(spark, tmp_path, monkeyp
     rows = spark.read.parquet(audit).collect()
     assert sorted((r["time_to_tca"], r["sequence_number"], r["eligible_history_count"]) for r in rows if r["event_id"] == "a") == [(2.6, 5, 5), (3.0, 4, 4), (4.0, 3, 3), (5.0, 2, 2), (6.0, 1, 1)]
     assert sorted(((r["late"], r["sequence_number"]) for r in rows if r["event_id"] == "b"), key=str) == [(False, 1), (True, None)] and sum(r["late"] for r in rows) == 1
+
+
+def test_deliveries_are_written_by_several_tasks(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(more_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = more_queries.stream_triage(spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == _scored(spark, sf_dir).count()
+    assert len(list((tmp_path / "stream/updates").glob("*.parquet"))) > 8 and len(list((tmp_path / "stream/audit").glob("batch_id=*"))) == 4
