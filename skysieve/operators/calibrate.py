@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve.functions.stats import cp_upper_column, rank_column
-from skysieve.operators.ranking import ranked_within
+from skysieve.operators.ranking import quantiles, ranked_within, with_quantiles
+from skysieve.session import cut
 
 INFINITE = float("inf")
 
@@ -60,11 +61,13 @@ def policy_metrics(decisions: DataFrame, groups: tuple[str, ...] = (), confidenc
     """Counts and rates of decisions per group: danger (positives excluded), safe negatives, overall, gate-blocked, and the median
     time of first exclusion. Rates over no events are null."""
     safe = F.col("safe_exclude")
+    decisions = cut(decisions.select(*groups, "y", "safe_exclude", "shift_gate_blocked", "first_safe_tca"))
+    medians = quantiles(decisions.filter(safe), groups, "first_safe_tca", (0.5,))
     out = decisions.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("y") == 1).alias("n_positive"), F.count_if(F.col("y") == 0).alias("n_negative"),
         F.count_if(safe & (F.col("y") == 1)).alias("danger"), F.count_if(safe & (F.col("y") == 0)).alias("safe_negative"), F.count_if(F.col("shift_gate_blocked")).alias("gate_blocked"),
-        F.expr("percentile(CASE WHEN safe_exclude THEN first_safe_tca END, 0.5)").alias("median_first_safe_tca"),
     )
+    out = with_quantiles(out, groups, medians).withColumn("median_first_safe_tca", F.col("q")[0]).drop("q")
     out = out.withColumns({
         "danger_rate": F.try_divide("danger", "n_positive"), "safe_negative_rate": F.try_divide("safe_negative", "n_negative"),
         "safe_rate": F.try_divide(F.col("danger") + F.col("safe_negative"), F.col("n_events")),

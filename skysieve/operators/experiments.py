@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skysieve.functions.stats import mcnemar_column, rank_column
 from skysieve.operators.calibrate import INFINITE, policy_metrics, thresholds
 from skysieve.operators.gate import event_gate_bounds, gate_score, robust_scale
-from skysieve.operators.ranking import ranked_within
+from skysieve.operators.ranking import quantiles, ranked_within, with_quantiles
+from skysieve.session import cut
 
 ENSEMBLES = {
     "baseline": lambda a, b: a, "candidate": lambda a, b: b, "arithmetic": lambda a, b: (a + b) / 2,
@@ -119,10 +120,13 @@ def paired_decisions(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def paired_change(pairs: DataFrame, groups: tuple[str, ...] = (), test: bool = True) -> DataFrame:
     """Gained, lost and net safe negatives of the candidate, the exact McNemar p, and the median change of time where both exclude."""
     negative = F.col("y") == 0
+    pairs = cut(pairs.select(*groups, "y", "safe_baseline", "safe_candidate", "tca_baseline", "tca_candidate"))
+    both = pairs.filter(negative & F.col("safe_candidate") & F.col("safe_baseline")).withColumn("__change", F.col("tca_candidate") - F.col("tca_baseline"))
+    medians = quantiles(both, groups, "__change", (0.5,))
     out = pairs.groupBy(*groups).agg(
         F.count_if(negative).alias("n_negative"), F.count_if(negative & F.col("safe_candidate") & ~F.col("safe_baseline")).alias("gained"), F.count_if(negative & ~F.col("safe_candidate") & F.col("safe_baseline")).alias("lost"),
-        F.expr("percentile(CASE WHEN y = 0 AND safe_candidate AND safe_baseline THEN tca_candidate - tca_baseline END, 0.5)").alias("median_time_change"),
-    ).withColumn("net", F.col("gained") - F.col("lost"))
+    )
+    out = with_quantiles(out, groups, medians).withColumn("median_time_change", F.col("q")[0]).drop("q").withColumn("net", F.col("gained") - F.col("lost"))
     return out.withColumn("mcnemar_p", mcnemar_column(F.col("gained"), F.col("lost"))) if test else out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve.functions.checks import finite
-from skysieve.operators.ranking import ranked_within
+from skysieve.operators.ranking import quantiles, ranked_within, with_quantiles
 
 
 def robust_scale(rows: DataFrame, features: tuple[str, ...], groups: tuple[str, ...] = ()) -> DataFrame:
@@ -20,10 +20,9 @@ def robust_scale(rows: DataFrame, features: tuple[str, ...], groups: tuple[str,
     population standard deviation, and where that is not either, 1."""
     pairs = ", ".join(f"'{f}', cast(`{f}` as double)" for f in features)
     values = rows.select(*groups, F.expr(f"stack({len(features)}, {pairs}) as (feature, x)")).filter(finite(F.col("x")))
-    # Quantiles from a count per distinct value: combined in map tasks and exact.
+    found = quantiles(values, (*groups, "feature"), "x", (0.25, 0.5, 0.75))
     return (
-        values.groupBy(*groups, "feature")
-        .agg(F.expr("percentile(x, array(0.25, 0.5, 0.75))").alias("q"), F.stddev_pop("x").alias("sd"))
+        with_quantiles(values.groupBy(*groups, "feature").agg(F.stddev_pop("x").alias("sd")), (*groups, "feature"), found)
         .withColumn("iqr", (F.col("q")[2] - F.col("q")[0]) / 1.349)
         .select(*groups, "feature", F.col("q")[1].alias("location"), F.when(F.col("iqr") > 0, F.col("iqr")).when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("scale"))
     )

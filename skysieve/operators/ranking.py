@@ -30,3 +30,48 @@ def ranked_within(df: DataFrame, groups: tuple[str, ...], order: tuple[Column |
     if size:
         out = out.withColumn(size, F.col("__rw_all"))
     return out.drop(*keys, "__rw_range", "__rw_i", "__rw_r", "__rw_before", "__rw_all", *(f"__rw_g{i}" for i in range(len(groups))))
+
+
+def quantiles(df: DataFrame, groups: tuple[str, ...], value: str, shares: tuple[float, ...], out: str = "q") -> DataFrame:
+    """groups, out: the quantiles of the values present, interpolated between neighbours and exactly what percentile() gives, in an array by
+    shares. Groups without a value have no row, but without groups there is one row always.
+
+    percentile() holds every distinct value of a group in one buffer. Here values are counted in map tasks and range-partitioned by
+    group and value; the counts of the ranges before a value and within its range tell which ranks it has, and an aggregation of a few
+    numbers a group picks the neighbours of each quantile."""
+    names = [f"__q_g{i}" for i in range(len(groups))]
+    counts = df.select(*(F.col(g).alias(n) for g, n in zip(groups, names)), F.col(value).cast("double").alias("__q_v")).filter(F.col("__q_v").isNotNull()).groupBy(*names, "__q_v").agg(F.count(F.lit(1)).alias("__q_c"))
+    rows = cut(counts.repartitionByRange(*names, "__q_v").withColumn("__q_range", F.spark_partition_id()))
+    whole = Window.partitionBy(*names)
+    before = whole.orderBy("__q_range").rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(*names, "__q_range").agg(F.sum("__q_c").alias("c")).select(
+        *(F.col(n).alias(f"{n}s") for n in names), F.col("__q_range").alias("__q_r"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__q_before"), F.sum("c").over(whole).alias("__q_n")
+    )
+    on = F.col("__q_range") == F.col("__q_r")
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}s"))
+    within = F.sum("__q_c").over(Window.partitionBy(*names, "__q_range").orderBy("__q_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("__q_i", within).join(steps, on).withColumn("__q_end", F.col("__q_before") + F.col("__q_i"))
+    picks = []
+    for i, share in enumerate(shares):
+        at = (F.col("__q_n") - 1) * F.lit(float(share))
+        for end, rank in (("low", F.floor(at)), ("high", F.ceil(at))):
+            picks.append(F.max(F.when((F.col("__q_end") - F.col("__q_c") <= rank) & (rank < F.col("__q_end")), F.col("__q_v"))).alias(f"{end}{i}"))
+    found = placed.groupBy(*names).agg(F.max("__q_n").alias("__q_n"), *picks)
+
+    def between(i: int, share: float) -> Column:
+        at, low, high = (F.col("__q_n") - 1) * F.lit(float(share)), F.col(f"low{i}"), F.col(f"high{i}")
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return found.select(*(F.col(n).alias(g) for g, n in zip(groups, names)), F.array(*(between(i, s) for i, s in enumerate(shares))).alias(out))
+
+
+def with_quantiles(groups_df: DataFrame, groups: tuple[str, ...], found: DataFrame) -> DataFrame:
+    """Add the columns of `found` to one row per group; null where a group has none. Null is a group."""
+    if not groups:
+        return groups_df.crossJoin(found)
+    renamed = found.withColumnsRenamed({g: f"__wq_{g}" for g in groups})
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__wq_{g}"))
+    return groups_df.join(renamed, on, "left").drop(*(f"__wq_{g}" for g in groups))
