@@ -124,13 +124,15 @@ def spike_cells(readings: DataFrame, source: str, fields: tuple[str, ...] = FIEL
 
 def _with_blocks(messages: DataFrame, hot: DataFrame, group: str, time: str, key: list[str], halo: int) -> DataFrame:
     """Add block and lent. A group in `hot` is cut at 63 quantiles of its time into blocks, each of which is lent the last and first
-    `halo` messages of its neighbours; all others are in block 0. Messages of a group have distinct times here."""
+    `halo` messages of its neighbours; all others are in block 0. Messages of a group differ here, but not always in time: they are
+    ordered by time and then by the rest of `key`, as in the runs, and messages of one time are in one block."""
     plain = messages.join(hot, group, "left_anti").withColumn("block", F.lit(0)).withColumn("lent", F.lit(False))
     large = messages.join(hot, group, "left_semi")
     cuts = large.groupBy(group).agg(F.array_distinct(F.percentile_approx(time, F.array(*[F.lit(i / 64) for i in range(1, 64)]), 10000)).alias("cuts"))
     rows = cut(large.join(cuts, group).withColumn("block", F.size(F.filter("cuts", lambda c: c <= F.col(time)))).drop("cuts"))
     at = Window.partitionBy(group, "block")
-    numbered = rows.withColumn("i", F.row_number().over(at.orderBy(time))).withColumn("j", F.row_number().over(at.orderBy(F.desc(time))))
+    order = [time, *(c for c in key if c not in (group, time))]
+    numbered = rows.withColumn("i", F.row_number().over(at.orderBy(*order))).withColumn("j", F.row_number().over(at.orderBy(*map(F.desc, order))))
     # Blocks that are not empty follow each other once they are ranked; only their outermost messages are ranked with them.
     edge = cut(numbered.filter((F.col("i") <= halo) | (F.col("j") <= halo)).withColumn("k", F.dense_rank().over(Window.partitionBy(group).orderBy("block"))))
     names = edge.select(group, F.col("k").alias("k2"), F.col("block").alias("to")).distinct()

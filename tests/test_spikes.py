@@ -62,3 +62,15 @@ def test_empty_and_all_null(spark):
     assert found(implausible_cells(frame(spark, []))) == []
     nothing = [[None, None, None, None, None, None, None, 1, "z"]] * 3
     assert found(implausible_cells(frame(spark, nothing))) == []
+
+
+def test_messages_of_one_time_at_the_edges_of_blocks(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(100):  # the last two of the six messages of a time and the first two of the next make a run
+        for v, speed in enumerate((i, i, r.random() - 9, r.random() - 9, i + 1, i + 1)):
+            rows.append(["hot", START + timedelta(minutes=i), "M-1", "1|M-1", 1.0 + v, 100.0 + speed, None, 1, "z"])
+    r.shuffle(rows)
+    df = frame(spark, rows).select("cdm_no", "event_id", "creation_date", *FIELDS)
+    whole, cut = found(stuck_cells(df)), found(stuck_cells(df, block_rows=100))
+    assert len(whole) == 4 * 99 and whole == cut
