@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Spellings, in upper case and without outer blanks, that stand for "no value".
+#: Spellings, in upper case and without outer blanks, that stand for "no value" (fixed values).
 PLACEHOLDERS = (
-    "", "-", "--", "?", "??", "0", "N/A", "NA", "N.A.", "NAN", "NIL", "NONE", "NULL", "TBD", "UNDEFINED", "UNKNOWN", "__MISSING__",
+    "", "-", "--", "?", "??", "0", "N/A", "NA", "N.A.", "NAN", "NIL", "NONE", "NULL", "TBD", "UNCATALOGED", "UNCATALOGUED", "UNCORRELATED", "UNDEFINED",
+    "UNIDENTIFIED", "UNKNOWN", "__MISSING__",
 )
 
 #: Characters that count as outer blanks.
@@ -54,14 +55,16 @@ def finite_or_null(column: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def with_designator(df: DataFrame, source: Column, target: str, aliases: DataFrame | None) -> DataFrame:
+def with_designator(df: DataFrame, source: Column, target: str, aliases: DataFrame | None, bare_words: bool = True) -> DataFrame:
     """Add `target`: the canonical designator of `source`, with aliases (alias_designator, designator) resolved
-    regardless of letter case and outer blanks. Null where the object was never identified. The alias table joins
-    without a hint, so its measured size decides between broadcast and shuffle."""
+    regardless of letter case and outer blanks. Null where nothing or a placeholder is given; unless bare_words, also for words
+    without a digit that are no alias: catalogue numbers, launch numbers and numbered names all have one. The alias table
+    joins without a hint, so its measured size decides between broadcast and shuffle."""
     raw = f"__raw_{target}"
     df = df.withColumn(raw, usable(source))
+    plain = F.col(raw) if bare_words else F.when(F.col(raw).rlike("[0-9]"), F.col(raw))
     if aliases is None:
-        return df.withColumnRenamed(raw, target)
+        return df.withColumn(target, plain).drop(raw)
     table = (
         aliases.select(usable(F.col("alias_designator")).alias(f"__alias_{target}"), usable(F.col("designator")).alias(f"__to_{target}"))
         .filter(F.col(f"__alias_{target}").isNotNull() & F.col(f"__to_{target}").isNotNull())
@@ -70,7 +73,7 @@ def with_designator(df: DataFrame, source: Column, target: str, aliases: DataFra
     )
     return (
         df.join(table, F.col(raw) == F.col(f"__alias_{target}"), "left")
-        .withColumn(target, F.coalesce(f"__to_{target}", raw))
+        .withColumn(target, F.coalesce(F.col(f"__to_{target}"), plain))
         .drop(raw, f"__alias_{target}", f"__to_{target}")
     )
 
@@ -79,8 +82,8 @@ def with_pair_key(df: DataFrame, aliases: DataFrame | None, source: str = "event
     """Add `target`: both designators of a `|`-joined pair in canonical form and order; null unless both objects are
     identified."""
     parts = F.split(F.col(source), r"\|")
-    df = with_designator(df, F.try_element_at(parts, F.lit(1)), "__first", aliases)
-    df = with_designator(df, F.try_element_at(parts, F.lit(2)), "__second", aliases)
+    df = with_designator(df, F.try_element_at(parts, F.lit(1)), "__first", aliases, bare_words=False)
+    df = with_designator(df, F.try_element_at(parts, F.lit(2)), "__second", aliases, bare_words=False)
     both = F.col("__first").isNotNull() & F.col("__second").isNotNull() & (F.size(parts) == 2)
     return df.withColumn(
         target, F.when(both, F.concat_ws("|", F.least("__first", "__second"), F.greatest("__first", "__second")))
