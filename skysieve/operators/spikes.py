@@ -17,6 +17,9 @@ PHYSICAL_BOUNDS = {"miss_distance": 3.0e9, "relative_speed": 2.24e4, "t_position
 
 FIELDS = tuple(PHYSICAL_BOUNDS)
 
+#: The largest twentieth of absolute normal deviates: its least value, and mean and mean square of what exceeds it.
+NORMAL_TAIL = (1.96, 0.378, 0.250)
+
 
 def hour_band(time: Column) -> Column:
     """Season of a reading: the quarter of the day in which the message was made."""
@@ -48,16 +51,19 @@ def _weighted_median(counts: DataFrame, keys: list[str], value: str, out: str) -
     )
 
 
-def source_profile(cells: DataFrame, source: str, bins_per_unit: int = 500, season_weight: float = 500.0, tail_share: float = 0.05, risk: float = 1e-7, multiple: float = 8.0) -> DataFrame:
-    """Per source and field: centre, season offsets, spread (both robust) and the tail cutoff in spreads.
+def source_profile(cells: DataFrame, source: str, bins_per_unit: int = 500, season_weight: float = 500.0, screen: float = 6.0, tail_share: float = 0.05, risk: float = 1e-7, prior_peaks: float = 50.0) -> DataFrame:
+    """Per source, field and season: centre, season_shift, spread (all robust), and the tail's u, mean_excess, shape and cutoff in spreads.
 
     All statistics cover all readings. They come from one histogram of the natural logarithm (1/bins_per_unit wide, a bin
     stands at the mean of its readings), which map tasks combine before the shuffle; so a source with a third of all readings is no hot group. Season medians
     are drawn towards the source's own median by season_weight readings. The spread is the median absolute
-    deviation of the seasonal residuals times 1.4826. A generalised Pareto tail is fitted by moments to the residuals
-    beyond the (1 - tail_share) quantile and within `multiple` spreads (what lies outside is what the cutoff is to find),
-    and cut where it leaves the probability `risk` for a reading. A cutoff beyond `multiple` spreads counts as `multiple`,
-    so that no reading at that distance escapes."""
+    deviation of the seasonal residuals times 1.4826.
+
+    Peaks over threshold: the peaks of a source are the residuals, in spreads, beyond its (1 - tail_share) quantile u and nearer than
+    `screen`, as what lies further off is not the tail of ordinary readings. A generalised Pareto tail is fitted to their excesses by moments and cut where a
+    reading has the probability `risk` of lying beyond. The tail counts as exponential at least (shape from 0 to 0.25): a bounded one would be cut just
+    beyond the largest ordinary reading seen. u, the moments and the share of peaks are drawn towards those of all sources of the field by prior_peaks
+    peaks, so a source with few readings leans on the others, without a switch at any size. The cutoff is at least three spreads."""
     keys = [source, "field_name"]
     hist = cut(
         cells.withColumn("l", F.log("x")).groupBy(*keys, "season", F.floor(F.col("l") * bins_per_unit).alias("b"))
@@ -70,55 +76,48 @@ def source_profile(cells: DataFrame, source: str, bins_per_unit: int = 500, seas
         .withColumn("season_shift", (F.col("season_centre") - F.col("centre")) * F.col("season_centre_n") / (F.col("season_centre_n") + season_weight))
         .select(*keys, "season", "centre", "season_shift")
     )
-    residual = (
+    seasons = cut(seasons)
+    residual = cut(
         hist.join(seasons, [*keys, "season"])
         .withColumn("r", F.round(F.abs(F.col("v") - F.col("centre") - F.col("season_shift")), 4))
         .groupBy(*keys, "r").agg(F.sum("n").alias("n"))
     )
     spread = _weighted_median(residual, keys, "r", "mad").withColumn("spread", F.greatest(F.col("mad") * 1.4826, F.lit(1.0 / bins_per_unit)))
-    scaled = residual.join(spread.select(*keys, "spread"), keys).withColumn("z", F.col("r") / F.col("spread")).filter(F.col("z") < multiple)
     down = Window.partitionBy(*keys).orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
+    scaled = residual.join(spread.select(*keys, "spread"), keys).withColumn("z", F.col("r") / F.col("spread")).filter(F.col("z") < screen)
     tail = (
         scaled.withColumn("above", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-        .withColumn("in_tail", F.col("above") <= F.greatest(F.col("all") * tail_share, F.lit(1)))
+        .withColumn("peak", F.col("above") <= F.greatest(F.col("all") * tail_share, F.lit(1)))
+    )
+    moment = lambda k: F.coalesce(F.sum(F.when(F.col("peak"), F.col("n") * F.pow("z", F.lit(k)))), F.lit(0.0))
+    own = cut(
+        tail.groupBy(*keys, "spread")
+        .agg(F.coalesce(F.max(F.when(~F.col("peak"), F.col("z"))), F.lit(0.0)).alias("u"), F.max("all").alias("all"), moment(0).alias("peaks"), moment(1).alias("s1"), moment(2).alias("s2"))
+        .withColumn("e1", F.col("s1") - F.col("peaks") * F.col("u")).withColumn("e2", F.col("s2") - 2 * F.col("u") * F.col("s1") + F.col("peaks") * F.col("u") * F.col("u"))
     )
+    pooled = own.groupBy("field_name").agg(*(((F.sum(x) + prior_peaks * normal) / (F.sum("peaks") + prior_peaks)).alias(y) for x, y, normal in ((F.col("u") * F.col("peaks"), "u0", NORMAL_TAIL[0]), (F.col("e1"), "m0", NORMAL_TAIL[1]), (F.col("e2"), "q0", NORMAL_TAIL[2]))))
+    drawn = lambda x, y: (F.col(x) + prior_peaks * F.col(y)) / (F.col("peaks") + prior_peaks)
     fitted = (
-        tail.groupBy(*keys).agg(
-            F.max(F.when(~F.col("in_tail"), F.col("z"))).alias("u"),
-            F.max("all").alias("n_all"),
-            F.sum(F.when(F.col("in_tail"), F.col("n"))).alias("n_tail"),
-            F.sum(F.when(F.col("in_tail"), F.col("n") * F.col("z"))).alias("s1"),
-            F.sum(F.when(F.col("in_tail"), F.col("n") * F.col("z") * F.col("z"))).alias("s2"),
-        )
-        .withColumn("m", F.col("s1") / F.col("n_tail") - F.col("u"))
-        .withColumn("v", F.col("s2") / F.col("n_tail") - F.pow(F.col("s1") / F.col("n_tail"), 2))
-        .withColumn("shape", F.greatest(F.lit(-0.5), F.least(F.lit(0.25), 0.5 * (1 - F.try_divide(F.col("m") * F.col("m"), F.col("v"))))))
+        own.withColumn("up", F.col("u") * F.col("peaks")).join(pooled, "field_name")
+        .select(*keys, "spread", drawn("up", "u0").alias("u"), drawn("e1", "m0").alias("m"), drawn("e2", "q0").alias("q"), ((F.col("peaks") + prior_peaks) / (F.col("all") + prior_peaks / tail_share) / risk).alias("ratio"))
+        .withColumn("shape", F.greatest(F.lit(0.0), F.least(F.lit(0.25), F.coalesce(0.5 * (1 - F.try_divide(F.col("m") * F.col("m"), F.col("q") - F.col("m") * F.col("m"))), F.lit(0.0)))))
         .withColumn("scale", F.col("m") * (1 - F.col("shape")))
-        .withColumn("tail_ratio", F.lit(risk) * F.col("n_all") / F.col("n_tail"))
-        .withColumn("raw_cutoff", F.col("u") + F.when(F.abs("shape") < 1e-6, -F.col("scale") * F.log("tail_ratio")).otherwise(F.col("scale") / F.col("shape") * (F.pow(F.col("tail_ratio"), -F.col("shape")) - 1)))
-        .withColumn("cutoff", F.least(F.lit(multiple), F.coalesce(F.when(F.col("n_tail") >= 20, F.col("raw_cutoff")), F.lit(multiple))))
-    )
-    return (
-        seasons.join(spread.select(*keys, "spread", F.col("mad_n").alias("n_readings")), keys)
-        .join(fitted.select(*keys, "shape", "scale", "u", "cutoff"), keys, "left")
+        .withColumn("reach", F.when(F.col("shape") < 1e-6, F.log("ratio")).otherwise((F.pow("ratio", "shape") - 1) / F.col("shape")))
+        .select(*keys, "spread", "u", F.col("m").alias("mean_excess"), "shape", F.greatest(F.lit(3.0), F.col("u") + F.col("scale") * F.col("reach")).alias("cutoff"))
     )
+    return seasons.join(fitted, keys)
 
 
-def spike_cells(readings: DataFrame, source: str, fields: tuple[str, ...] = FIELDS, row_id: str = "cdm_no", multiple: float = 8.0, error: float = 3.0) -> DataFrame:
-    """(row_id, field_name) of readings that are impossible or beyond their source's tail cutoff and, as the exact
-    check, at least `multiple` spreads from its centre. The spread is itself an estimate: with n readings its relative
-    standard error is 1.17/sqrt(n), and the check takes the multiple at `error` of these errors below, but never less than
-    two thirds of it. Readings of an unknown source are judged by the physical bounds alone."""
+def spike_cells(readings: DataFrame, source: str, fields: tuple[str, ...] = FIELDS, row_id: str = "cdm_no", risk: float = 1e-7) -> DataFrame:
+    """(row_id, field_name) of readings that are impossible, or beyond the tail cutoff that their source and field have at `risk`, measured
+    in spreads from the source's centre in the season. Readings of an unknown source are judged by the physical bounds alone."""
     cells = _cells(readings, fields)
     bad = cells.filter(impossible(F.col("field_name"), F.col("x"))).select(row_id, "field_name")
     good = cells.filter(~impossible(F.col("field_name"), F.col("x")) & F.col(source).isNotNull())
     # Impossible speeds still tell nothing of the usual ones; all others, spikes too, enter the robust profile.
-    profile = source_profile(good, source, multiple=multiple)
-    judged = good.join(profile, [source, "field_name", "season"]).withColumn(
-        "z", F.abs(F.log("x") - F.col("centre") - F.col("season_shift")) / F.col("spread")
-    )
-    least = multiple * F.greatest(F.lit(2 / 3), 1 - error * 1.17 / F.sqrt("n_readings"))
-    far = judged.filter((F.col("z") >= F.least("cutoff", least)) & (F.col("z") >= least))
+    profile = cut(source_profile(good, source, risk=risk))
+    z = F.abs(F.log("x") - F.col("centre") - F.col("season_shift")) / F.col("spread")
+    far = good.join(profile, [source, "field_name", "season"]).filter(z > F.col("cutoff"))
     return bad.unionByName(far.select(row_id, "field_name"))
 
 
@@ -178,8 +177,9 @@ def stuck_cells(readings: DataFrame, group: str = "event_id", time: str = "creat
     return known.alias("m").join(stuck.alias("s"), matched).select(f"m.{row_id}", F.explode("s.field_names").alias("field_name"))
 
 
-def implausible_cells(cdm: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """cdm_no, field_name of every implausible reading of miss_distance, t_position_covariance_det and relative_speed.
+def implausible_cells(cdm: DataFrame, aliases: DataFrame | None = None, risk: float = 1e-7) -> DataFrame:
+    """cdm_no, field_name of every implausible reading of miss_distance, t_position_covariance_det and relative_speed: impossible, beyond
+    the peaks-over-threshold cutoff of its source at `risk`, or stuck.
 
     The source is the mission: mission_id in any spelling with aliases resolved, or where that is unusable the
     object of event_pair that is no plain catalogue number. Null and NaN are missing. Rows that repeat a
@@ -192,5 +192,5 @@ def implausible_cells(cdm: DataFrame, aliases: DataFrame | None = None) -> DataF
         *(finite_or_null(F.col(f)).alias(f) for f in FIELDS),
     )
     readings = with_designator(base, F.col("__mission"), "source_key", aliases).withColumn("season", F.coalesce(hour_band(F.col("creation_date")), F.lit(-1))).drop("__mission")
-    spikes = spike_cells(readings.select("cdm_no", "source_key", "season", *FIELDS), "source_key")
+    spikes = spike_cells(readings.select("cdm_no", "source_key", "season", *FIELDS), "source_key", risk=risk)
     return spikes.unionByName(stuck_cells(readings.select("cdm_no", "event_id", "creation_date", *FIELDS))).distinct()

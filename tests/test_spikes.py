@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from skysieve.operators.spikes import FIELDS, implausible_cells, stuck_cells
+from skysieve.operators.spikes import FIELDS, implausible_cells, source_profile, spike_cells, stuck_cells
 
 SCHEMA = "cdm_no bigint, event_id string, creation_date timestamp, mission_id string, event_pair string, miss_distance double, relative_speed double, t_position_covariance_det double, season int, z string"
 START = datetime(2031, 1, 1)
@@ -74,3 +74,28 @@ def test_messages_of_one_time_at_the_edges_of_blocks(spark):
     df = frame(spark, rows).select("cdm_no", "event_id", "creation_date", *FIELDS)
     whole, cut = found(stuck_cells(df)), found(stuck_cells(df, block_rows=100))
     assert len(whole) == 4 * 99 and whole == cut
+
+
+def test_the_fitted_tail_decides(spark):
+    rows = messages(2000, "ALDER-1", 1000.0, 1)
+    for i, spreads in enumerate((4.2, 5.0, 6.5, 9.0, 14.0)):
+        rows[100 * i + 7][4] = 1000.0 * math.exp(0.5 * spreads)
+    df = frame(spark, rows)
+    far = {risk: {r["cdm_no"] for r in implausible_cells(df, risk=risk).filter("field_name = 'miss_distance'").collect()} for risk in (1e-3, 1e-7, 1e-20)}
+    assert far[1e-20] < far[1e-7] < far[1e-3]
+    assert {307, 407} <= far[1e-7] and 7 not in far[1e-7]
+
+
+def test_cutoffs_follow_the_tail_of_a_source(spark):
+    r = random.Random(5)
+    light, heavy = messages(3000, "ALDER-1", 1000.0, 1), messages(3000, "BETA-2", 10.0, 2)
+    for row in heavy:
+        row[4] = 10 * math.exp(0.5 * r.gauss(0, 1) * r.choice([1, 1, 1, 1, 2]))
+    cells = frame(spark, light + heavy).selectExpr("cdm_no", "mission_id as mission", "0 as season", "'miss_distance' as field_name", "miss_distance as x")
+    cutoff = {row["mission"]: row["cutoff"] for row in source_profile(cells, "mission").collect()}
+    assert 3 < cutoff["ALDER-1"] + 1 < cutoff["BETA-2"]
+
+
+def test_equal_readings_are_no_spikes(spark):
+    cells = frame(spark, [["e", START, "M-1", "1|M-1", 5.0, None, None, 1, "z"]] * 40).selectExpr("cdm_no", "mission_id as mission", "0 as season", *FIELDS)
+    assert found(spike_cells(cells, "mission")) == []
