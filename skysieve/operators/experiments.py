@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysieve.functions.stats import mcnemar_column, rank_column
+from skysieve.functions.stats import mcnemar_column
 from skysieve.operators.calibrate import INFINITE, policy_metrics, thresholds
 from skysieve.operators.gate import event_gate_bounds, gate_score, robust_scale
 from skysieve.operators.ranking import quantiles, ranked_within, with_quantiles
@@ -141,10 +141,14 @@ def pareto_frontier(summary: DataFrame, danger: str = "danger", coverage: str =
 
 
 def repeated_stability(rows: DataFrame, repeats: int, minimum_history: int = 1, alpha: float = 0.1, mode: str = "marginal", confidence: float = 0.95, seed: str = "stability") -> DataFrame:
-    """method, repeat, n_positive, rank, danger, safe_negative, ... of `repeats` halvings of the events by a hash of repeat and event:
-    the first half calibrates, the second is evaluated. All repeats are one plan."""
+    """method, repeat, n_positive, rank, danger, safe_negative, ... of `repeats` halvings of the events, stratified by label: in every repeat the
+    events of a class are ranked by a hash of repeat and event, the first half of them (rounded down) calibrates and the rest is evaluated. All
+    methods share the halves and all repeats are one plan."""
     events = rows.groupBy("method", "event_id").agg(F.min("y").alias("y"), F.coalesce(F.min(F.when(F.col("eligible_history_count") >= minimum_history, F.col("score"))), F.lit(INFINITE)).alias("min_score"))
-    halved = events.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("half", F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("repeat").cast("string"), "event_id"), 256), 1, 8), 16, 10).cast("bigint") % 2)
+    drawn = rows.groupBy("event_id").agg(F.min("y").alias("y")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    drawn = drawn.withColumn("__hash", F.sha2(F.concat_ws(":", F.lit(seed), F.col("repeat").cast("string"), "event_id"), 256))
+    halves = ranked_within(drawn, ("repeat", "y"), ("__hash", "event_id"), "__i", "__n").select("event_id", "repeat", (2 * F.col("__i") > F.col("__n")).cast("int").alias("half"))
+    halved = cut(events.join(halves, "event_id"))
     bounds = thresholds(halved.filter("half = 0"), ("method", "repeat"), alpha, mode, confidence)
     safe = F.coalesce(F.col("min_score") < F.col("bound"), F.lit(False))
     return (
@@ -160,9 +164,3 @@ def stability_summary(repeated: DataFrame, alpha: float) -> DataFrame:
         F.count(F.lit(1)).alias("repeats"), F.avg("safe_negative_rate").alias("mean_safe_negative_rate"), F.expr(q).alias("q"),
         F.avg((F.col("danger_rate") <= alpha).cast("double")).alias("within_alpha"),
     ).select("method", "repeats", "mean_safe_negative_rate", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "within_alpha")
-
-
-def planning_grid(sizes: DataFrame, alpha: float = 0.1, confidence: float = 0.95) -> DataFrame:
-    """n, k_max: the most failures each size passes with."""
-    return sizes.select("n", (rank_column(F.col("n"), alpha, "pac", confidence) - 1).alias("k_max"))
-

@@ -114,19 +114,21 @@ def event_labels(messages: DataFrame, mode: str = "literal") -> DataFrame:
 
 
 def event_weights(rows: DataFrame) -> DataFrame:
-    """Add weight: every event weighs 1 in all."""
-    return rows.withColumn("weight", F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy("event_id")))
+    """Add weight: every event weighs 1 in all. Messages are counted per event in map tasks first and the counts joined, so no task
+    holds an event."""
+    counts = rows.groupBy(F.col("event_id").alias("__of")).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+    return rows.join(counts, F.col("event_id").eqNullSafe(F.col("__of"))).drop("__of")
 
 
 def tail_weights(rows: DataFrame, score: str = "score", hard_fraction: float = 0.25, hard_mass: float = 0.5) -> DataFrame:
-    """Add weight: of a positive event, hard_mass lies on its ceil(hard_fraction * n) lowest scores and the rest on all others; other
-    events weigh alike on every message. Each event weighs 1 in all."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("event_id"))
-    place = F.row_number().over(Window.partitionBy("event_id").orderBy(score, F.desc("time_to_tca")))
-    rows = rows.withColumn("__n", n).withColumn("__hard", F.greatest(F.lit(1), F.ceil(F.lit(hard_fraction) * F.col("__n")))).withColumn("__place", place)
-    split = F.when(F.col("__place") <= F.col("__hard"), F.lit(hard_mass) / F.col("__hard")).otherwise(F.lit(1 - hard_mass) / (F.col("__n") - F.col("__hard")))
-    weight = F.when((F.col("y") == 1) & (F.col("__hard") < F.col("__n")), split).otherwise(F.lit(1.0) / F.col("__n"))
-    return rows.withColumn("weight", weight).drop("__n", "__hard", "__place")
+    """Add weight: a positive event spreads 1 - hard_mass evenly over all its messages and hard_mass over its ceil(hard_fraction * n) lowest
+    scores (ties by earlier message); other events weigh alike on every message. Each event weighs 1 in all."""
+    if not 0 < hard_fraction <= 1 or not 0 <= hard_mass <= 1:
+        raise ValueError("hard_fraction must lie in (0, 1] and hard_mass in [0, 1]")
+    ranked = ranked_within(rows, ("event_id",), (score, -F.col("time_to_tca")), "__place", "__n")
+    hard = F.greatest(F.lit(1), F.ceil(F.lit(hard_fraction) * F.col("__n")))
+    tail = (1 - hard_mass) / F.col("__n") + F.when(F.col("__place") <= hard, hard_mass / hard).otherwise(0.0)
+    return ranked.withColumn("weight", F.when(F.col("y") == 1, tail).otherwise(F.lit(1.0) / F.col("__n"))).drop("__n", "__place")
 
 
 def quantile_groups(events: DataFrame, value: str, q: int, out: str = "quantile_group") -> DataFrame:

@@ -269,7 +269,7 @@ def event_weights(spark, d):
 
 @query(f"""WITH {S}, n AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n, row_number() OVER (PARTITION BY event_id ORDER BY score, time_to_tca DESC) AS i FROM e),
     h AS (SELECT *, greatest(1, ceil(0.25::DOUBLE * n)) AS h FROM n)
-    SELECT diag_no, round(CASE WHEN y = 1 AND h < n THEN CASE WHEN i <= h THEN 0.5::DOUBLE / h ELSE 0.5::DOUBLE / (n - h) END ELSE 1.0::DOUBLE / n END, 12) AS weight FROM h""")
+    SELECT diag_no, round(CASE WHEN y = 1 THEN 0.5::DOUBLE / n + CASE WHEN i <= h THEN 0.5::DOUBLE / h ELSE 0 END ELSE 1.0::DOUBLE / n END, 12) AS weight FROM h""")
 def tail_weights(spark, d):
     return features.tail_weights(_eligible(spark, d)).select("diag_no", F.round("weight", 12).alias("weight"))
 
@@ -596,7 +596,8 @@ def robustness_grouping_sets(spark, d):
 
 
 _STABLE = f"""WITH {S}, ev AS (SELECT event_id, min(y) AS y, coalesce(min(score) FILTER (WHERE eligible_history_count >= 1), 'infinity'::DOUBLE) AS v FROM e GROUP BY 1),
-    ha AS (SELECT event_id, y, v, r AS repeat, (('0x' || substr(sha256('stability:' || r || ':' || event_id), 1, 8))::BIGINT) % 2 AS half FROM ev, (SELECT unnest(range(0, 20))::INTEGER AS r)),
+    ha AS (SELECT *, CASE WHEN 2 * row_number() OVER (PARTITION BY repeat, y ORDER BY hash, event_id) > count(*) OVER (PARTITION BY repeat, y) THEN 1 ELSE 0 END AS half
+        FROM (SELECT event_id, y, v, r AS repeat, sha256('stability:' || r || ':' || event_id) AS hash FROM ev, (SELECT unnest(range(0, 20))::INTEGER AS r))),
     o AS (SELECT repeat, v, row_number() OVER (PARTITION BY repeat ORDER BY v, event_id) AS i, count(*) OVER (PARTITION BY repeat) AS n FROM ha WHERE half = 0 AND y = 1),
     bd AS (SELECT repeat, max(v) FILTER (WHERE i = least(n, floor({ALPHA}::DOUBLE * (n + 1)))) AS bound FROM o GROUP BY 1),
     st AS (SELECT repeat, count(*) FILTER (WHERE y = 1) AS n_positive, count(*) FILTER (WHERE y = 1 AND v < bound) AS danger, count(*) FILTER (WHERE y = 0) AS n_negative, count(*) FILTER (WHERE y = 0 AND v < bound) AS safe_negative FROM ha LEFT JOIN bd USING (repeat) WHERE half = 1 GROUP BY 1)"""

@@ -57,10 +57,21 @@ def test_label_modes(spark):
     assert modes == {"literal": {"a": 0, "b": 1, "c": 0}, "literal_drop_null": {"b": 1}, "first_finite": {"a": 1, "b": 1}}
 
 
-def test_tail_weights_sum_to_one(spark):
-    df = spark.createDataFrame([("a", float(i), 1, i / 10) for i in range(5)] + [("b", 1.0, 0, 0.1), ("c", 1.0, 1, 0.1)], "event_id string, time_to_tca double, y int, score double")
-    sums = features.tail_weights(df).groupBy("event_id").agg(F.sum("weight").alias("w")).collect()
-    assert all(r["w"] == pytest.approx(1.0) for r in sums)
+def test_tail_weights(spark):
+    df = spark.createDataFrame([("a", float(i), 1, i / 10) for i in range(4)] + [("b", 1.0, 0, 0.1), ("b", 2.0, 0, 0.2), ("c", 1.0, 1, 0.1)], "event_id string, time_to_tca double, y int, score double")
+    rows = features.tail_weights(df).collect()
+    weights = {(r["event_id"], r["time_to_tca"]): round(r["weight"], 12) for r in rows}
+    assert weights == {("a", 0.0): 0.625, ("a", 1.0): 0.125, ("a", 2.0): 0.125, ("a", 3.0): 0.125, ("b", 1.0): 0.5, ("b", 2.0): 0.5, ("c", 1.0): 1.0}
+    whole = features.tail_weights(df, hard_fraction=1.0).groupBy("event_id").agg(F.sum("weight").alias("w")).collect()
+    assert all(r["w"] == pytest.approx(1.0) for r in whole)
+    assert {round(r["weight"], 12) for r in features.event_weights(df).collect()} == {0.25, 0.5, 1.0}
+
+
+def test_repeats_halve_each_class(spark):
+    rows = [("m", f"e{i}", int(i % 10 < 3), 3, i / 50) for i in range(50)]
+    df = spark.createDataFrame(rows, "method string, event_id string, y int, eligible_history_count int, score double")
+    out = experiments.repeated_stability(df, 6).collect()
+    assert len(out) == 6 and all((r["n_positive"], r["n_negative"]) == (8, 18) for r in out)  # 15 and 35 events, the larger halves
 
 
 def test_gate_round_trip_and_missing_features(spark, tmp_path):
