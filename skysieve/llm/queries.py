@@ -63,8 +63,10 @@ _COHORT = f"""
          WHEN length({usable_sql('study_cohort')}) >= 4 AND starts_with('evaluation', lower({usable_sql('study_cohort')})) THEN 'evaluation' END
 """
 
+
 def _designator_sql(part: int) -> str:
-    return f"coalesce((SELECT min({usable_sql('designator')}) FROM object_alias WHERE {usable_sql('alias_designator')} = {usable_sql(f'split_part(event_pair, chr(124), {part})')}), {usable_sql(f'split_part(event_pair, chr(124), {part})')})"
+    given = usable_sql(f"split_part(event_pair, chr(124), {part})")
+    return f"coalesce((SELECT min({usable_sql('designator')}) FROM object_alias WHERE {usable_sql('alias_designator')} = {given}), CASE WHEN regexp_matches({given}, '[0-9]') THEN {given} END)"
 
 
 #: Records with canonical event, identifier and pair; null where unusable.

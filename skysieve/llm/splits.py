@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import event_key, message_key, with_pair_key
 from skysieve.llm.forest import spanning_forest
-from skysieve.session import cut
-
-#: Groups with more than 1/GIANT of all rows are dealt one by one; there are fewer than GIANT of them, however large the data.
-GIANT = 2000
+from skysieve.session import cut, stored
 
 #: Ranges of the hash by which the groups of a size band are ranked without a window over the whole band.
 RANGES = 4096
@@ -47,56 +44,53 @@ def related_groups(collection: DataFrame, aliases: DataFrame | None = None, path
     return members.join(least, "root").select(F.col("node").alias("event"), "group_id"), forest
 
 
-def _deal_giants(sizes: list[tuple[str, int]], shares: dict[str, float], total: int) -> dict[str, str]:
-    """Largest first, each to the part that lacks most rows of its share."""
-    lack = {part: share * total for part, share in shares.items()}
-    dealt = {}
-    for group, rows in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        part = max(lack, key=lambda p: (lack[p], p))
-        dealt[group] = part
-        lack[part] -= rows
-    return dealt
+def _edges(lack: dict[str, float]) -> list[tuple[str, float]]:
+    """Parts with the point up to which they reach on a line from 0 to 1 along which they take what they lack."""
+    open_ = {part: max(0.0, rows) for part, rows in lack.items()}
+    whole, reached, out = sum(open_.values()), 0.0, []
+    for part, rows in open_.items():
+        reached += rows / whole if whole else 1 / len(open_)
+        out.append((part, reached))
+    return out
+
+
+def _part_at(point: Column, edges: list[tuple[str, float]]) -> Column:
+    column = F.lit(max(edges, key=lambda e: e[1])[0])
+    for part, edge in reversed(edges[:-1]):
+        column = F.when(point < edge, F.lit(part)).otherwise(column)
+    return column
 
 
 def assign_parts(groups: DataFrame, plan: DataFrame, seed: str = "split-1") -> DataFrame:
     """group_id, split_part for groups (group_id, n_rows) by the shares of `plan` (split_part, target_pct).
 
-    Groups with more than 1/GIANT of all rows (fewer than GIANT) are dealt one by one to the part that lacks most. The
-    others are stratified by size band (powers of two), ordered within a band by a hash, and dealt systematically: the
-    rank of a group times the golden ratio, modulo 1, is compared with the cumulative shares still lacking, so that in every stretch of a
-    band the parts come in proportion. Ranks come from counts per range of the hash, so no task holds a band. A plan without a
-    positive share gives every group a null part."""
-    spark = groups.sparkSession
+    Groups are stratified by size band (powers of two), laid end to end within a band in the order of a hash, and dealt systematically:
+    the middle of a group, as a share of the band's rows, is compared with the cumulative shares of the parts. Bands are dealt
+    from the largest size to the smallest, each by the shares that the parts still lack of all rows, so what large groups leave
+    uneven the smaller ones level. The driver sees one sum per band and part; there are at most 63 bands. Places along a band come
+    from sums per range of the hash, so no task holds a band. A plan without a positive share gives every group a null part."""
     wanted = {r["split_part"]: float(r["target_pct"]) for r in plan.filter("split_part is not null and target_pct > 0").groupBy("split_part").agg(F.max("target_pct").alias("target_pct")).collect()}
     if not wanted:
         return groups.select("group_id", F.lit(None).cast("string").alias("split_part"))
-    shares = {part: pct / sum(wanted.values()) for part, pct in sorted(wanted.items())}
-    total = groups.agg(F.sum("n_rows")).first()[0] or 0
-    giant = F.col("n_rows") * GIANT > total
-    giants = [(r["group_id"], r["n_rows"]) for r in groups.filter(giant).collect()]
-    dealt = _deal_giants(giants, shares, total)
-    rest = {part: share * total for part, share in shares.items()}
-    for group, rows in giants:
-        rest[dealt[group]] -= rows
-    rest = {part: max(0.0, rows) for part, rows in rest.items()}
-    whole = sum(rest.values()) or 1.0
-
-    small = groups.filter(~giant).withColumn("band", F.floor(F.log2(F.col("n_rows").cast("double")))).withColumn("h", F.xxhash64(F.lit(seed), "group_id"))
-    small = small.withColumn("range", F.pmod("h", F.lit(RANGES)))
-    counts = small.groupBy("band", "range").agg(F.count(F.lit(1)).alias("c"))
-    offsets = counts.withColumn("before", F.sum("c").over(Window.partitionBy("band").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).drop("c")
-    ranked = (
-        small.withColumn("i", F.row_number().over(Window.partitionBy("band", "range").orderBy("h", "group_id")))
-        .join(offsets, ["band", "range"])
-        .withColumn("rank", F.col("i") + F.coalesce("before", F.lit(0)))
-        .withColumn("point", F.pmod((F.col("rank") + F.col("band") * 7) * 0.6180339887498949, F.lit(1.0)))
+    ranged = groups.withColumn("band", F.floor(F.log2(F.col("n_rows").cast("double"))).cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "group_id")).withColumn("range", F.pmod("h", F.lit(RANGES)))
+    sums = ranged.groupBy("band", "range").agg(F.sum("n_rows").alias("rows"))
+    along = Window.partitionBy("band").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("band", "range", F.coalesce(F.sum("rows").over(along), F.lit(0)).alias("before"), F.sum("rows").over(Window.partitionBy("band")).alias("whole"))
+    within = F.sum("n_rows").over(Window.partitionBy("band", "range").orderBy("h", "group_id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = stored(
+        ranged.withColumn("upto", within).join(offsets, ["band", "range"])
+        .select("group_id", "n_rows", "whole", ((F.col("before") + F.col("upto") - F.col("n_rows") / 2) / F.col("whole")).alias("point"), "band"),
+        "placed-groups", ("band",),
     )
-    part, edge = F.lit(max(rest, key=lambda p: rest[p])), 1.0
-    for name in sorted(rest, reverse=True):
-        part = F.when(F.col("point") < edge, F.lit(name)).otherwise(part) if rest[name] else part
-        edge -= rest[name] / whole
-    few = spark.createDataFrame(sorted(dealt.items()), "group_id string, split_part string")
-    return ranked.select("group_id", part.alias("split_part")).unionByName(few)
+    bands = {r["band"]: r["rows"] for r in placed.groupBy("band").agg(F.max("whole").alias("rows")).collect()}
+    lack = {part: pct / sum(wanted.values()) * sum(bands.values()) for part, pct in sorted(wanted.items())}
+    part = F.lit(None).cast("string")
+    for band in sorted(bands, reverse=True):
+        dealt = _part_at(F.col("point"), _edges(lack))
+        part = F.when(F.col("band") == band, dealt).otherwise(part)
+        for r in placed.filter(F.col("band") == band).groupBy(dealt.alias("part")).agg(F.sum("n_rows").alias("rows")).collect():
+            lack[r["part"]] -= r["rows"]
+    return placed.select("group_id", part.alias("split_part"))
 
 
 def split_records(collection: DataFrame, diagnostics: DataFrame, plan: DataFrame, aliases: DataFrame | None = None, seed: str = "split-1") -> DataFrame:

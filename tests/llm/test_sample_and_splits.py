@@ -112,3 +112,21 @@ def test_shares_with_giants(spark):
     total = sum(r[1] for r in out)
     assert assign_parts(groups, plan.limit(0)).filter("split_part is null").count() == 20000
     assert {r[0]: round(100 * r[1] / total) for r in out} == {"train": 70, "validation": 15, "test": 15}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shares_with_few_uneven_groups(spark, seed):
+    r = random.Random(seed)
+    sizes = [(f"g{i}", int(1 + r.paretovariate(0.9)) if i else 700) for i in range(250)]
+    sizes = [(g, min(n, 700)) for g, n in sizes]
+    plan = spark.createDataFrame([("train", 70.0), ("validation", 15.0), ("test", 15.0)], "split_part string, target_pct double")
+    out = assign_parts(spark.createDataFrame(sizes, "group_id string, n_rows bigint"), plan).collect()
+    total, rows = sum(n for _, n in sizes), dict(sizes)
+    for part, pct in (("train", 70), ("validation", 15), ("test", 15)):
+        assert abs(100 * sum(rows[x["group_id"]] for x in out if x["split_part"] == part) / total - pct) < 1
+
+
+def test_words_without_digits_name_no_object(spark):
+    a, b = (f"ext-{hexes(i)}" for i in (1, 2))
+    rows = [(1, 1, a, None, None, "A-1|UNCATALOGUED", 0.0), (2, 1, b, None, None, "A-1|uncatalogued", 0.0), (3, 1, a, None, None, "A-1|to be named", 0.0), (4, 1, b, None, None, "A-1|TO BE NAMED", 0.0)]
+    assert related_groups(spark.createDataFrame(rows, RECORDS))[0].count() == 0
