@@ -2,103 +2,133 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import finite_or_null, message_key, with_pair_key
 from skysieve.llm.forest import spanning_forest
+from skysieve.operators.messages import MESSAGE_FIELDS
 from skysieve.session import cut, scratch_path, stored
 
 #: Readings that two reports of one message must agree on where both have them.
-READINGS = (
-    "risk", "max_risk_estimate", "max_risk_scaling", "miss_distance", "relative_speed", "mahalanobis_distance", "t_position_covariance_det", "c_position_covariance_det",
-    "t_obs_available", "t_obs_used", "t_weighted_rms", "c_obs_available", "c_obs_used", "c_weighted_rms",
-)
+READINGS = MESSAGE_FIELDS
 
 #: Scales of the metric: messages at distance 1 are a minute apart in creation or five seconds in closest approach, or
 #: differ by a thousandth in a reading.
-CREATION_S, TCA_S, READING = 60.0, 5.0, 1e-3
+CREATION_US, TCA_US, READING = 60_000_000, 5_000_000, 1e-3
 
-#: The fixed pivots: (creation, closest approach) in seconds since 1970. Each lies far off along one axis, so that its distance
-#: tells positions on that axis apart.
-PIVOTS = {"d_a": (-8.0e9, 1.9e9), "d_b": (1.9e9, -8.0e9)}
+#: Readings in which the third and fourth pivot lie, besides the two times.
+PIVOT_READINGS = {"d_c": ("miss_distance", "relative_speed"), "d_d": ("mahalanobis_distance", "t_position_covariance_det")}
 
-#: Slack for sums of doubles and for readings kept as 32-bit floats (7 digits).
-EDGE = 1 + 1e-3
+#: How far pivot distances of linked messages may be apart: pivot distances are sums over coordinates in each of which linked messages differ
+#: by at most 1 (a little more in the logarithm of a reading). The slack is for rounding and enters the pruning alone.
+REACH, REACH_READINGS = 2 + 1e-6, 4.01
 
-#: Width of the ranges of the first pivot distance on which histories are joined. Wider ones repeat fewer rows at their borders
-#: and compare more; a pair of objects has few different messages in a quarter of an hour.
-RANGE = 16
+#: Width of the ranges of the first two pivot distances on which deliveries and history are joined, and of the bands (about 15 days of closest
+#: approach) into which the files of the history are parted.
+RANGE, BAND = 32, 1 << 18
+
+#: Deliveries of at most so many records are sent to the tasks that read the history, as 64-bit keys (under 100 MB); larger ones are joined by a shuffle.
+SENT_KEYS = 500_000
+
+#: A delivery that spans more bands than this reads the history without looking at the bands.
+MOST_BANDS = 5000
 
 SCHEMAS = {
-    "identifiers": "message_key string, first_no bigint, first_batch int",
-    "placed": "record_no bigint, collection_batch int, to_no bigint, to_batch int, pair_key string, creation_s double, tca_s double, readings array<float>, d_a double, d_b double",
+    "points": "creation_us bigint, low_us bigint, high_us bigint, logs map<string,double>",
+    "identifiers": "k1 bigint, k2 bigint, first_no bigint, first_batch int",
+    "pivots": "cell bigint, pair_key string, first_no bigint, first_batch int, creation_us bigint, tca_us bigint, readings array<double>, d_a double, d_b double, d_c double, d_d double, h1 bigint, h2 bigint, band int",
     "links": "record_no bigint, collection_batch int, to_no bigint, to_batch int",
 }
 
 
-#: Where the table of placed contents begins.
-PLACED = "/generation=0/first=true"
-
-
 def _batch_no() -> Column:
     return F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("collection_batch")
 
 
-def _pivot_distance(pivot: tuple[float, float]) -> Column:
-    return F.greatest(F.abs(F.col("creation_s") - pivot[0]) / CREATION_S, F.abs(F.col("tca_s") - pivot[1]) / TCA_S)
+def _logarithm(reading: str) -> str:
+    x = f"readings[{READINGS.index(reading)}]"
+    return f"CASE WHEN {x} > 0 AND {x} < double('infinity') THEN ln({x}) END"
 
 
 def true_distance(a: str, b: str) -> Column:
     """The distance of two messages on one pair of objects: the greatest of their scaled differences in creation, closest
-    approach and each reading present in both."""
-    parts = [F.abs(F.col(f"{a}.creation_s") - F.col(f"{b}.creation_s")) / CREATION_S, F.abs(F.col(f"{a}.tca_s") - F.col(f"{b}.tca_s")) / TCA_S]
+    approach and each reading present in both. As a missing reading agrees with any, this is no metric by itself; on the times, and on
+    readings that both have, it is one, and pivot distances are taken on these only."""
+    parts = [f"abs({a}.creation_us - {b}.creation_us) / {CREATION_US}", f"abs({a}.tca_us - {b}.tca_us) / {TCA_US}"]
     for i in range(len(READINGS)):
-        x, y = F.get(F.col(f"{a}.readings"), F.lit(i)).cast("double"), F.get(F.col(f"{b}.readings"), F.lit(i)).cast("double")
-        parts.append(F.when(x.isNull() | y.isNull() | (x == y), 0.0).otherwise(F.abs(x - y) / (READING * F.greatest(F.abs(x), F.abs(y)))))
-    return F.greatest(*parts)
-
-
-def _near_links(members: DataFrame) -> DataFrame:
-    """Links between contents within distance 1 of each other, as far as they are needed to connect them, from contents in cells
-    (pair of objects and range of the first pivot distance; contents near a border are in both cells).
-
-    Cells with one content are done. In the others every content is measured against the cell's first one; those within
-    distance 1 of it are connected by that, so only the rest are measured against all contents of the cell. A cell crowded with
-    thousands of noisy copies of one message thus takes one comparison each. At least one of two linked contents is fresh."""
-    cell = ["pair_key", "cell"]
-    crowded = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("first_no").alias("leader_no"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").select(*cell, "leader_no")
-    close = cut(members.join(crowded, cell))
-    leaders = close.filter("first_no = leader_no").dropDuplicates(cell).select(*cell, F.struct("first_no", "first_batch", "creation_s", "tca_s", "d_a", "d_b", "readings").alias("l"))
-    near = [F.abs(F.col(f"{p}") - F.col(f"l.{p}")) <= EDGE for p in PIVOTS]
-    tested = close.join(leaders, cell).withColumn("x", F.struct("creation_s", "tca_s", "readings"))
-    tested = cut(tested.withColumn("by_leader", near[0] & near[1] & (true_distance("x", "l") <= EDGE)).drop("x"))
-    to_leader = tested.filter("by_leader and fresh and first_no <> leader_no").select(
-        F.col("first_no").alias("record_no"), F.col("first_batch").alias("collection_batch"), F.col("leader_no").alias("to_no"), F.col("l.first_batch").alias("to_batch")
-    )
-    a, b = tested.filter("not by_leader").alias("a"), tested.alias("b")
+        x, y = f"{a}.readings[{i}]", f"{b}.readings[{i}]"
+        parts.append(f"CASE WHEN {x} IS NULL OR {y} IS NULL OR {x} = {y} THEN 0D ELSE abs({x} - {y}) / ({READING}D * greatest(abs({x}), abs({y}))) END")
+    return F.expr(f"greatest({', '.join(parts)})")
+
+
+def _within_reach(a: str, b: str) -> Column:
+    """What the triangle inequality demands of the pivot distances of linked messages."""
+    times = [f"abs({a}.{d} - {b}.{d}) <= {REACH}D" for d in ("d_a", "d_b")]
+    readings = [f"coalesce(abs({a}.{d} - {b}.{d}) <= {REACH_READINGS}D, true)" for d in PIVOT_READINGS]
+    return F.expr(" AND ".join(times + readings))
+
+
+def _cell(a: str, b: str) -> Column:
+    """The cell of a pair of objects and of ranges of the first two pivot distances."""
+    return F.expr(f"xxhash64(pair_key, bigint(floor({a} / {RANGE})), bigint(floor({b} / {RANGE})))")
+
+
+def _near_links(crowd: DataFrame) -> DataFrame:
+    """Links between contents within distance 1 of each other, as far as they are needed to connect them, from the contents of cells that have
+    several, at least one of them fresh.
+
+    Every content is measured against the first one of its cell; those within distance 1 of it are connected by that, so only the
+    rest are measured against all contents of the cell. A cell crowded with thousands of noisy copies of one message
+    thus takes one comparison each. At least one of two linked contents is fresh."""
+    body = ("pair_key", "first_no", "first_batch", "creation_us", "tca_us", "d_a", "d_b", "d_c", "d_d", "readings")
+    leaders = crowd.filter("first_no = leader_no").dropDuplicates(["cell"]).select("cell", F.struct(*body).alias("l"))
+    tested = crowd.select("cell", "fresh", F.struct(*body).alias("x")).join(leaders, "cell")
+    tested = tested.withColumn("by_leader", (F.col("x.pair_key") == F.col("l.pair_key")) & _within_reach("x", "l") & (true_distance("x", "l") <= 1))
+    to_leader = tested.filter("by_leader and fresh and x.first_no <> l.first_no").select("x.first_no", "x.first_batch", F.col("l.first_no").alias("to_no"), F.col("l.first_batch").alias("to_batch"))
+    a, b = tested.filter("not by_leader").select("cell", F.col("fresh").alias("a_fresh"), F.col("x").alias("a")), tested.select("cell", F.col("fresh").alias("b_fresh"), "by_leader", F.col("x").alias("b"))
     order = F.col("b.first_no") < F.col("a.first_no")
-    within = reduce(lambda x, y: x & y, [F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= EDGE for p in PIVOTS])
-    pairs = a.join(b, (F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.first_no") != F.col("b.first_no")) & (order | F.col("b.by_leader")) & (F.col("a.fresh") | F.col("b.fresh")) & within).filter(true_distance("a", "b") <= EDGE)
+    pairs = a.join(b, "cell").filter((F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.first_no") != F.col("b.first_no")) & (order | F.col("by_leader")) & (F.col("a_fresh") | F.col("b_fresh")) & _within_reach("a", "b")).filter(true_distance("a", "b") <= 1)
     later = lambda x, y: F.when(order, F.col(x)).otherwise(F.col(y))
-    among = pairs.select(
-        later("a.first_no", "b.first_no").alias("record_no"), later("a.first_batch", "b.first_batch").alias("collection_batch"), later("b.first_no", "a.first_no").alias("to_no"), later("b.first_batch", "a.first_batch").alias("to_batch")
-    )
-    return to_leader.unionByName(among)
+    among = pairs.select(later("a.first_no", "b.first_no"), later("a.first_batch", "b.first_batch"), later("b.first_no", "a.first_no"), later("b.first_batch", "a.first_batch"))
+    return to_leader.union(among).toDF("record_no", "collection_batch", "to_no", "to_batch").distinct()
 
 
-class MessageHistory:
-    """All messages accepted so far, in three tables that only grow: identifiers (first record of each usable
-    identifier), pivots (first record of each distinct content of an identified pair, with its distances to the fixed pivots, in
-    files that follow the range of the first distance) and links (record that repeats another).
+def _together(*steps: Callable[[], object]) -> None:
+    """Run steps that do not wait for each other as concurrent jobs; the first failure is raised."""
+    failed: list[BaseException] = []
 
-    `accept` compares a delivery of one or more batches with itself and with the history; of the pivot table it reads only
-    the pages whose distances lie within 1 of the delivery's range, by the triangle inequality: messages within distance 1
-    of each other differ by at most 1 in their distance to any pivot. Exact copies are collapsed before the join, so a
-    message with a third of all records meets the join as one row.
+    def run(step: Callable[[], object]) -> None:
+        try:
+            step()
+        except BaseException as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [InheritableThread(target=run, args=(step,)) for step in steps]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    if failed:
+        raise failed[0]
+
+
+class MessageHistory:
+    """All messages accepted so far, in tables that only grow: identifiers (first record of each usable identifier, by a 128-bit hash), pivots
+    (one row per distinct content of an identified pair: its first record and its distances to four fixed pivots) and links (record that
+    repeats another). The pivots (points) are taken from the first delivery that has any content and stay fixed: early creation with early and
+    with late closest approach, and both of these again with the medians of two readings each.
+
+    `accept` compares a delivery of one or more batches with itself and with the history, and appends what is new. By the triangle
+    inequality, linked messages differ by at most 2 in their distance to the first and to the second pivot, so both are joined on ranges of these
+    distances; the distances to the other two prune further where the readings are there, and the true distance decides. The history lies in
+    folders by band of the first distance and in files by range of it: of these the delivery reads only the bands that its own messages
+    touch, so one misdated message opens one band more. Of the identifiers all keys are read, as any may come again, but only the delivery's go
+    on. Exact copies are collapsed before the join, so a message with a third of all records meets the join as one row.
 
     Records with neither a usable identifier nor an identified pair, creation and closest approach repeat nothing. Times that
     cannot be read count as missing; null and NaN readings are missing; batch null counts as the first. Repeated rows of one
@@ -109,7 +139,8 @@ class MessageHistory:
         self.path = path or scratch_path(spark, "message-history")
         for name, schema in SCHEMAS.items():
             if not self._exists(name):
-                spark.createDataFrame([], schema).write.mode("append").parquet(f"{self.path}/{name}" + (PLACED if name == "placed" else ""))
+                empty = spark.createDataFrame([], schema).coalesce(1)
+                empty.write.mode("append").partitionBy(*(["band"] if name == "pivots" else [])).parquet(f"{self.path}/{name}")
 
     def _exists(self, name: str) -> bool:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -118,73 +149,120 @@ class MessageHistory:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
-    def pivots(self) -> DataFrame:
-        """The first record of each distinct content, with its pivot distances."""
-        rows = self.spark.read.schema(SCHEMAS["placed"] + ", generation string").option("basePath", f"{self.path}/placed").parquet(f"{self.path}/placed/generation=*/first=true")
-        return rows.select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings", "generation")
-
     def _append(self, name: str, rows: DataFrame) -> None:
-        rows.select(*(f.name for f in self.read(name).schema)).write.mode("append").parquet(f"{self.path}/{name}")
-
-    def _located(self, batch: DataFrame) -> DataFrame:
-        """Records of identified pairs whose times can be read, with two independent hashes of their content."""
-        seconds = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string"))) / 1e6
-        return (
-            with_pair_key(batch, self.aliases)
-            .select(
-                "record_no", _batch_no(), "pair_key", seconds("creation_date").alias("creation_s"), seconds("tca").alias("tca_s"),
-                F.array(*(finite_or_null(F.col(r)).cast("float") for r in READINGS)).alias("readings"),
-            )
-            .filter(F.col("record_no").isNotNull() & F.col("pair_key").isNotNull() & F.col("creation_s").isNotNull() & F.col("tca_s").isNotNull())
-            .withColumn("h1", F.xxhash64("pair_key", "creation_s", "tca_s", "readings")).withColumn("h2", F.xxhash64(F.lit(17), "readings", "tca_s", "creation_s", "pair_key"))
-        )
-
-    def _identifier_links(self, batch: DataFrame) -> DataFrame:
-        new = batch.select("record_no", _batch_no(), message_key(F.col("source_message_id")).alias("message_key")).filter(F.col("message_key").isNotNull() & F.col("record_no").isNotNull())
-        fresh = new.groupBy("message_key").agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
-        known = self.read("identifiers").select("message_key", F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
-        if known.isEmpty():
-            fresh = fresh.withColumn("known_no", F.lit(None).cast("bigint")).withColumn("known_batch", F.lit(None).cast("int"))
-        else:
-            fresh = fresh.join(known, "message_key", "left")
-        fresh = stored(fresh, "fresh-identifiers")
-        self._append("identifiers", fresh.filter("known_no is null"))
-        target = fresh.filter("known_no is not null or last_no <> first_no").select(
-            "message_key", F.coalesce("known_no", "first_no").alias("to_no"), F.coalesce("known_batch", "first_batch").alias("to_batch")
+        rows.select(*(f.name for f in self.read(name).schema)).write.mode("append").partitionBy(*(["band"] if name == "pivots" else [])).parquet(f"{self.path}/{name}")
+
+    def keyed(self, records: DataFrame) -> DataFrame:
+        """record_no, batch, two hashes k1, k2 of the identifier (null where unusable), and of records of identified pairs whose times can be
+        read: pair_key, times, readings and two hashes h1, h2 of all that."""
+        micros = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string")))
+        rows = with_pair_key(records, self.aliases).filter(F.col("record_no").isNotNull()).select(
+            "record_no", _batch_no(), message_key(F.col("source_message_id")).alias("k"), "pair_key", micros("creation_date").alias("creation_us"), micros("tca").alias("tca_us"),
+            F.array(*(finite_or_null(F.col(r)) for r in READINGS)).alias("readings"),
         )
-        return new.join(target, "message_key").drop("message_key")
-
-    def _content_links(self, batch: DataFrame) -> DataFrame:
-        """Links to the first record of the same content, and from each new content to those within distance 1."""
-        rows = self._located(batch)
-        firsts = rows.groupBy("h1", "h2").agg(F.min("record_no").alias("to_no"), F.min("collection_batch").alias("to_batch"))
-        first = F.col("record_no") == F.col("to_no")
-        placed = (
-            rows.join(firsts, ["h1", "h2"]).withColumn("first", first)
-            .select("record_no", "collection_batch", "to_no", "to_batch", "first", *(F.when(first, F.col(c)).alias(c) for c in ("pair_key", "creation_s", "tca_s", "readings")))
-            .withColumns({name: _pivot_distance(pivot) for name, pivot in PIVOTS.items()}).sortWithinPartitions("d_a")
-        )
-        # One write keeps the first record of each content, as the history's pivots, and apart from them the copies.
-        generation = f"{self.path}/placed/generation={uuid.uuid4().hex[:12]}"
-        written = stored(placed, "placed", ("first",), generation)
-        same = written.filter("not first").select("record_no", "collection_batch", "to_no", "to_batch")
-        contents = written.filter("first").select("pair_key", F.col("record_no").alias("first_no"), F.col("collection_batch").alias("first_batch"), "creation_s", "tca_s", "d_a", "d_b", "readings")
-        reach = contents.agg(F.min("d_a"), F.max("d_a")).first()
-        if reach[0] is None:
-            return same
-        # The new contents are in the table by now, so one read sees them and the history within reach.
-        cells = F.array_distinct(F.array(F.floor((F.col("d_a") - EDGE) / RANGE), F.floor((F.col("d_a") + EDGE) / RANGE)))
-        members = (
-            self.pivots().filter(F.col("d_a").between(reach[0] - EDGE, reach[1] + EDGE))
-            .withColumn("fresh", F.col("generation") == generation.rpartition("=")[2]).drop("generation").withColumn("cell", F.explode(cells))
+        found = F.col("pair_key").isNotNull() & F.col("creation_us").isNotNull() & F.col("tca_us").isNotNull()
+        content = ("pair_key", "creation_us", "tca_us", "readings")
+        twice = lambda when, *of: (F.when(when, F.xxhash64(*of)), F.when(when, F.xxhash64(F.lit(17), *of)))
+        (k1, k2), (h1, h2) = twice(F.col("k").isNotNull(), "k"), twice(found, *content)
+        return rows.select("record_no", "collection_batch", k1.alias("k1"), k2.alias("k2"), *(F.when(found, F.col(c)).alias(c) for c in content), h1.alias("h1"), h2.alias("h2"))
+
+    def _points(self, rows: DataFrame) -> dict:
+        """The fixed pivots; from `rows` where there are none yet."""
+        known = self.read("points").first()
+        if known is not None:
+            return known.asDict()
+        names = sorted({r for pair in PIVOT_READINGS.values() for r in pair})
+        seen = rows.filter("h1 is not null").agg(
+            F.percentile_approx("creation_us", 0.01).alias("creation_us"), F.percentile_approx("tca_us", 0.01).alias("low_us"), F.percentile_approx("tca_us", 0.99).alias("high_us"),
+            *(F.percentile_approx(F.expr(_logarithm(r)), 0.5).alias(r) for r in names),
+        ).first()
+        points = {k: seen[k] or 0 for k in ("creation_us", "low_us", "high_us")} | {"logs": {r: seen[r] or 0.0 for r in names}}
+        if seen["creation_us"] is not None:
+            self._append("points", self.spark.createDataFrame([points], SCHEMAS["points"]))
+        return points
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Add the distances to the pivots (sums of scaled differences; null where a reading is missing) and the band."""
+        p = self._points(rows)
+        early, late = (f"abs(creation_us - {p['creation_us']}) / {CREATION_US} + abs(tca_us - {p[end]}) / {TCA_US}" for end in ("low_us", "high_us"))
+        apart = {d: " + ".join(f"abs({_logarithm(r)} - {p['logs'][r]!r}D) / {READING}D" for r in names) for d, names in PIVOT_READINGS.items()}
+        return (
+            rows.selectExpr("*", f"{early} AS d_a", f"{late} AS d_b")
+            .selectExpr("*", f"d_a + {apart['d_c']} AS d_c", f"d_b + {apart['d_d']} AS d_d", f"int(floor(d_a / {BAND})) AS band")
         )
-        return same.unionByName(_near_links(members))
 
-    def accept(self, batch: DataFrame) -> None:
-        """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history.
-        Deliveries must come in order of record_no."""
-        links = self._identifier_links(batch).unionByName(self._content_links(batch)).filter("record_no <> to_no")
-        self._append("links", links)
+    def accept(self, *batches: DataFrame) -> None:
+        """Find what the records of each delivery repeat, among themselves and in the history, and add them to the history."""
+        self.accept_keyed(*(stored(self.keyed(batch), "delivery") for batch in batches))
+
+    def accept_keyed(self, *deliveries: DataFrame) -> None:
+        """As `accept`, for stored rows of `keyed`. A delivery's links are written while the next one is compared, which does not read them."""
+        links: list[Callable[[], object]] = []
+        for keyed in deliveries:
+            links = self._accept(keyed, links)
+        _together(*links)
+
+    def _accept(self, keyed: DataFrame, waiting: list[Callable[[], object]]) -> list[Callable[[], object]]:
+        """Accept a delivery, and run what the one before it left to do meanwhile; what this one leaves to do."""
+        rows = self._placed(keyed)
+        touched = F.expr(f"explode(CASE WHEN d_a IS NULL THEN array(-1) ELSE array_distinct(array({', '.join(f'int(floor((d_a + {x}D) / {BAND}))' for x in (-REACH, 0, REACH))})) END)")
+        counts = rows.select(touched.alias("band")).groupBy("band").count().limit(MOST_BANDS + 1).collect()
+        small = len(counts) <= MOST_BANDS and sum(r["count"] for r in counts) <= SENT_KEYS
+        bands = [r["band"] for r in counts] if len(counts) <= MOST_BANDS else None
+        found: dict[str, DataFrame] = {}
+
+        def compare_contents() -> None:
+            contents = found["contents"] = self._contents(rows)
+            crowd = found["crowd"] = self._crowd(contents, bands, small)
+            seen = crowd.filter("not fresh").select("h1", "h2").distinct()
+            fresh = contents.join(seen, ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
+            self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a"))
+
+        def compare_identifiers() -> None:
+            identifiers = found["identifiers"] = self._identifiers(rows, small)
+            self._append("identifiers", identifiers.filter("known_no is null"))
+
+        _together(compare_contents, compare_identifiers, *waiting)
+        links = self._identifier_links(rows, found["identifiers"]).unionByName(self._copy_links(rows, found["contents"])).unionByName(_near_links(found["crowd"]))
+        return [lambda: self._append("links", links.filter("record_no <> to_no"))]
+
+    def _met(self, history: DataFrame, keys: DataFrame, on: list[str], small: bool) -> DataFrame:
+        """The rows of the history that have a key of the delivery. The keys of small deliveries are sent to the tasks that read it."""
+        return history.join(F.broadcast(keys) if small else keys, on, "left_semi")
+
+    def _identifiers(self, rows: DataFrame, small: bool) -> DataFrame:
+        """The delivery's identifiers: first and last record in it, and first record in the history."""
+        keys = ["k1", "k2"]
+        new = rows.filter("k1 is not null").groupBy(*keys).agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
+        met = self._met(self.read("identifiers"), rows.filter("k1 is not null").select(*keys), keys, small).select(*keys, F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
+        return stored(new.join(met, keys, "left"), "delivery-identifiers")
+
+    def _contents(self, rows: DataFrame) -> DataFrame:
+        """The delivery's distinct contents with first and last record; the content itself is that of the first record."""
+        new = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
+        body = rows.filter("h1 is not null").select("record_no", "pair_key", "creation_us", "tca_us", "readings", "d_a", "d_b", "d_c", "d_d", "band").dropDuplicates(["record_no"])
+        return stored(new.join(body, F.col("first_no") == F.col("record_no")).drop("record_no"), "delivery-contents")
+
+    def _crowd(self, contents: DataFrame, bands: list[int] | None, small: bool) -> DataFrame:
+        """The contents of cells with several, one of them fresh: those of the delivery in every cell that they may share with a linked one, those of
+        the history in their own."""
+        cells = [_cell(f"(d_a + {x}D)", f"(d_b + {y}D)") for x in (-REACH, REACH) for y in (-REACH, REACH)]
+        fresh = contents.withColumn("cell", F.explode(F.array_distinct(F.array(*cells))))
+        history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
+        names = ["cell", "pair_key", "first_no", "first_batch", "creation_us", "tca_us", "readings", "d_a", "d_b", "d_c", "d_d", "h1", "h2"]
+        met = self._met(history.select(*names), fresh.select("cell"), ["cell"], small)
+        members = fresh.select(*names, F.lit(True).alias("fresh")).unionByName(met.withColumn("fresh", F.lit(False)))
+        several = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first_no").alias("leader_no"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").select("cell", "leader_no")
+        return stored(members.join(several, "cell"), "crowd")
+
+    def _identifier_links(self, rows: DataFrame, identifiers: DataFrame) -> DataFrame:
+        target = identifiers.filter("known_no is not null or last_no <> first_no").select("k1", "k2", F.coalesce("known_no", "first_no").alias("to_no"), F.coalesce("known_batch", "first_batch").alias("to_batch"))
+        return rows.filter("k1 is not null").select("record_no", "collection_batch", "k1", "k2").join(target, ["k1", "k2"]).drop("k1", "k2")
+
+    def _copy_links(self, rows: DataFrame, contents: DataFrame) -> DataFrame:
+        """To the first record of the same content in the delivery."""
+        target = contents.filter("last_no <> first_no").select("h1", "h2", F.col("first_no").alias("to_no"), F.col("first_batch").alias("to_batch"))
+        return rows.filter("h1 is not null").select("record_no", "collection_batch", "h1", "h2").join(target, ["h1", "h2"]).drop("h1", "h2")
 
     def repeats(self) -> DataFrame:
         """first_record_no, repeat_record_no: every record whose message first came in an earlier batch, with the lowest
@@ -202,14 +280,9 @@ class MessageHistory:
 
 
 def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """The repeats of a whole collection: all batches but the newest are accepted as one delivery, then the newest against
-    that history."""
+    """The repeats of a whole collection, accepted batch by batch: each batch is compared with itself and all earlier ones."""
     history = MessageHistory(collection.sparkSession, path, aliases)
-    newest = collection.agg(F.max("collection_batch")).first()[0]
-    if newest is None:
-        history.accept(collection)
-    else:
-        late = F.coalesce(F.col("collection_batch") >= newest, F.lit(False))
-        history.accept(collection.filter(~late))
-        history.accept(collection.filter(late))
+    keyed = stored(history.keyed(collection), "deliveries", ("collection_batch",))
+    batches = keyed.select("collection_batch").distinct().orderBy("collection_batch").collect()
+    history.accept_keyed(*(keyed.filter(F.col("collection_batch") == row["collection_batch"]) for row in batches))
     return history.repeats()

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from skysieve.llm.history import READINGS, MessageHistory, repeated_messages
+from skysieve.llm.history import BAND, READINGS, MessageHistory, repeated_messages
 
 SCHEMA = "record_no bigint, collection_batch int, source_message_id string, event_pair string, creation_date string, tca string, pair_key string, " + ", ".join(f"{r} double" for r in READINGS)
 BAD = {None, "", "-", "N/A", "UNKNOWN", "NONE"}
@@ -59,10 +59,13 @@ def brute(rows):
     def close(a, b):
         return a is None or b is None or a != a or b != b or abs(a - b) <= 1e-3 * max(abs(a), abs(b))
 
+    def alike(a, b):
+        return all(close(a.get(r), b.get(r)) for r in ("miss_distance", "relative_speed"))
+
     for a, b in itertools.combinations(rows, 2):
         same = key(a) is not None and key(a) == key(b)
         near = pair(a) is not None and pair(a) == pair(b) and abs((a["at"] - b["at"]).total_seconds()) <= 60 and abs((a["to"] - b["to"]).total_seconds()) <= 5
-        if same or near and all(close(a[r], b[r]) for r in ("miss_distance", "relative_speed")):
+        if same or near and alike(a, b):
             x, y = sorted((find(a["record_no"]), find(b["record_no"])))
             parent[y] = x
     batch = {x["record_no"]: x["collection_batch"] for x in rows}
@@ -117,3 +120,32 @@ def test_crowded_cell_of_noisy_copies_and_strangers(spark, aliases):
         base = {"miss_distance": 500.0 + no if stranger else 100.0, "relative_speed": 7000.0}
         rows.append({k: v * (1 + r.uniform(-4e-4, 4e-4)) if k == "miss_distance" else v for k, v in base.items()} | {"record_no": no, "collection_batch": 1 + no // 200, "source_message_id": f"m{no}", "event_pair": "A-1|900", "at": start + timedelta(seconds=r.randint(0, 58)), "to": start + timedelta(days=1)})
     assert {tuple(x) for x in repeated_messages(frame(spark, rows), aliases).collect()} == brute(rows)
+
+
+def test_nothing_is_linked_beyond_the_metric(spark, aliases):
+    start, to = datetime(2031, 3, 1, tzinfo=timezone.utc), datetime(2031, 3, 6, tzinfo=timezone.utc)
+    late = [(0, "A-1|900"), (60.05, "A-1|900"), (0, "A-1|901"), (60, "A-1|901")]
+    rows = [{"at": start + timedelta(seconds=s), "to": to, "event_pair": p, "miss_distance": 5.0} for s, p in late]
+    rows += [{"at": start, "to": to + timedelta(seconds=s), "event_pair": "A-1|902", "miss_distance": 5.0} for s in (0, 5.02)]
+    rows += [{"at": start, "to": to, "event_pair": "A-1|903", "t_position_covariance_det": d} for d in (1e40, 5e45)]
+    rows += [{"at": start, "to": to, "event_pair": "A-1|904", "miss_distance": d} for d in (1000.0, 1001.2)]
+    rows += [{"at": start, "to": to, "event_pair": "A-1|905", "miss_distance": d} for d in (float("inf"), 1001.2)]
+    rows = [x | {"record_no": i, "collection_batch": i, "source_message_id": f"m{i}"} for i, x in enumerate(rows, 1)]
+    assert [tuple(x) for x in repeated_messages(frame(spark, rows), aliases).collect()] == [(3, 4)]
+
+
+def test_one_pivot_row_per_content_and_bands_by_distance(spark, aliases, tmp_path):
+    start = datetime(2031, 3, 1, tzinfo=timezone.utc)
+    rows = [{"record_no": i, "collection_batch": 1 + i // 20, "source_message_id": f"m{i}", "event_pair": "A-1|900", "miss_distance": 5.0 + i % 7, "at": start + timedelta(days=i % 7), "to": start + timedelta(days=40 * (i % 7))} for i in range(60)]
+    history = MessageHistory(spark, f"file://{tmp_path}/history", aliases)
+    history.accept(*(frame(spark, [x for x in rows if x["collection_batch"] == b]) for b in (1, 2, 3)))
+    pivots = history.read("pivots").collect()
+    assert len(pivots) == 7 and len({r["band"] for r in pivots}) == 7 and all(r["band"] == r["d_a"] // BAND for r in pivots)
+    assert {tuple(r) for r in history.repeats().collect()} == brute(rows)
+
+
+def test_large_deliveries_join_by_shuffle_alike(spark, aliases, monkeypatch):
+    rows = make(4, 90)
+    monkeypatch.setattr("skysieve.llm.history.SENT_KEYS", 0)
+    monkeypatch.setattr("skysieve.llm.history.MOST_BANDS", 0)
+    assert {tuple(r) for r in repeated_messages(frame(spark, rows), aliases).collect()} == brute(rows)
