@@ -59,11 +59,9 @@ def true_distance(a: str, b: str) -> Column:
     """The distance of two messages on one pair of objects: the greatest of their scaled differences in creation, closest
     approach and each reading present in both. As a missing reading agrees with any, this is no metric by itself; on the times, and on
     readings that both have, it is one, and pivot distances are taken on these only."""
-    parts = [f"abs({a}.creation_us - {b}.creation_us) / {CREATION_US}", f"abs({a}.tca_us - {b}.tca_us) / {TCA_US}"]
-    for i in range(len(READINGS)):
-        x, y = f"{a}.readings[{i}]", f"{b}.readings[{i}]"
-        parts.append(f"CASE WHEN {x} IS NULL OR {y} IS NULL OR {x} = {y} THEN 0D ELSE abs({x} - {y}) / ({READING}D * greatest(abs({x}), abs({y}))) END")
-    return F.expr(f"greatest({', '.join(parts)})")
+    apart = f"CASE WHEN p IS NULL OR q IS NULL OR p = q THEN 0D ELSE abs(p - q) / ({READING}D * greatest(abs(p), abs(q))) END"
+    times = f"abs({a}.creation_us - {b}.creation_us) / {CREATION_US}, abs({a}.tca_us - {b}.tca_us) / {TCA_US}"
+    return F.expr(f"greatest({times}, array_max(zip_with({a}.readings, {b}.readings, (p, q) -> {apart})))")
 
 
 def _within_reach(a: str, b: str) -> Column:
@@ -78,16 +76,25 @@ def _cell(a: str, b: str) -> Column:
     return F.expr(f"xxhash64(pair_key, bigint(floor({a} / {RANGE})), bigint(floor({b} / {RANGE})))")
 
 
-def _near_links(crowd: DataFrame) -> DataFrame:
-    """Links between contents within distance 1 of each other, as far as they are needed to connect them, from the contents of cells that have
-    several, at least one of them fresh.
+#: What a content carries through the comparison.
+BODY = ("pair_key", "first_no", "first_batch", "creation_us", "tca_us", "d_a", "d_b", "d_c", "d_d", "readings")
+
+
+def _bands(rows: DataFrame, *keep: str) -> DataFrame:
+    """band: the bands of the history that each row touches, -1 for rows without a content."""
+    at = ", ".join(f"int(floor((d_a + {x}D) / {BAND}))" for x in (-REACH, 0, REACH))
+    return rows.select(*keep, F.expr(f"explode(CASE WHEN d_a IS NULL THEN array(-1) ELSE array_distinct(array({at})) END)").alias("band"))
+
+
+def _near_links(members: DataFrame) -> DataFrame:
+    """Links between contents within distance 1 of each other, as far as they are needed to connect them, from contents in cells (cell, fresh, BODY).
 
     Every content is measured against the first one of its cell; those within distance 1 of it are connected by that, so only the
     rest are measured against all contents of the cell. A cell crowded with thousands of noisy copies of one message
-    thus takes one comparison each. At least one of two linked contents is fresh."""
-    body = ("pair_key", "first_no", "first_batch", "creation_us", "tca_us", "d_a", "d_b", "d_c", "d_d", "readings")
-    leaders = crowd.filter("first_no = leader_no").dropDuplicates(["cell"]).select("cell", F.struct(*body).alias("l"))
-    tested = crowd.select("cell", "fresh", F.struct(*body).alias("x")).join(leaders, "cell")
+    thus takes one comparison each. At least one of two linked contents is fresh; cells with one content, or without a fresh one, are done."""
+    first = F.min(F.struct("first_no", *(c for c in BODY if c != "first_no"))).alias("l")
+    crowded = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bool_or("fresh").alias("any"), first).filter("n > 1 and any").select("cell", "l")
+    tested = members.select("cell", "fresh", F.struct(*BODY).alias("x")).join(crowded, "cell")
     tested = tested.withColumn("by_leader", (F.col("x.pair_key") == F.col("l.pair_key")) & _within_reach("x", "l") & (true_distance("x", "l") <= 1))
     to_leader = tested.filter("by_leader and fresh and x.first_no <> l.first_no").select("x.first_no", "x.first_batch", F.col("l.first_no").alias("to_no"), F.col("l.first_batch").alias("to_batch"))
     a, b = tested.filter("not by_leader").select("cell", F.col("fresh").alias("a_fresh"), F.col("x").alias("a")), tested.select("cell", F.col("fresh").alias("b_fresh"), "by_leader", F.col("x").alias("b"))
@@ -95,7 +102,7 @@ def _near_links(crowd: DataFrame) -> DataFrame:
     pairs = a.join(b, "cell").filter((F.col("a.pair_key") == F.col("b.pair_key")) & (F.col("a.first_no") != F.col("b.first_no")) & (order | F.col("by_leader")) & (F.col("a_fresh") | F.col("b_fresh")) & _within_reach("a", "b")).filter(true_distance("a", "b") <= 1)
     later = lambda x, y: F.when(order, F.col(x)).otherwise(F.col(y))
     among = pairs.select(later("a.first_no", "b.first_no"), later("a.first_batch", "b.first_batch"), later("b.first_no", "a.first_no"), later("b.first_batch", "a.first_batch"))
-    return to_leader.union(among).toDF("record_no", "collection_batch", "to_no", "to_batch").distinct()
+    return to_leader.union(among).toDF("record_no", "collection_batch", "to_no", "to_batch")
 
 
 def _together(*steps: Callable[[], object]) -> None:
@@ -191,78 +198,78 @@ class MessageHistory:
             .selectExpr("*", f"d_a + {apart['d_c']} AS d_c", f"d_b + {apart['d_d']} AS d_d", f"int(floor(d_a / {BAND})) AS band")
         )
 
-    def accept(self, *batches: DataFrame) -> None:
-        """Find what the records of each delivery repeat, among themselves and in the history, and add them to the history."""
-        self.accept_keyed(*(stored(self.keyed(batch), "delivery") for batch in batches))
-
-    def accept_keyed(self, *deliveries: DataFrame) -> None:
-        """As `accept`, for stored rows of `keyed`. A delivery's links are written while the next one is compared, which does not read them."""
+    def accept(self, batch: DataFrame) -> None:
+        """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history."""
+        self._accept_all([(rows := self._placed(stored(self.keyed(batch), "delivery")), _bands(rows).groupBy("band").count().limit(MOST_BANDS + 1).collect())])
+
+    def accept_batches(self, records: DataFrame) -> None:
+        """Accept the batches of `records` one after the other, each as a delivery of its own."""
+        keyed = stored(self.keyed(records), "deliveries", ("collection_batch",))
+        numbers = [r["collection_batch"] for r in keyed.select("collection_batch").distinct().orderBy("collection_batch").collect()]
+        if numbers:
+            self._points(keyed.filter(F.col("collection_batch") == numbers[0]))
+            rows = self._placed(keyed)
+            counts = _bands(rows, "collection_batch").groupBy("collection_batch", "band").count().limit((MOST_BANDS + 1) * len(numbers)).collect()
+            self._accept_all([(rows.filter(F.col("collection_batch") == n), [c for c in counts if c["collection_batch"] == n]) for n in numbers])
+
+    def _accept_all(self, deliveries: list[tuple[DataFrame, list]]) -> None:
+        """Accept deliveries in turn. A delivery's links are written while the next one is compared, which does not read them."""
         links: list[Callable[[], object]] = []
-        for keyed in deliveries:
-            links = self._accept(keyed, links)
+        for rows, counts in deliveries:
+            small = len(counts) <= MOST_BANDS and sum(c["count"] for c in counts) <= SENT_KEYS
+            bands = [c["band"] for c in counts] if len(counts) <= MOST_BANDS else None
+            links = self._accept(rows, bands, small, links)
+            # Shuffle files and sent keys of past deliveries go once the driver has collected what named them.
+            self.spark._jvm.System.gc()
         _together(*links)
 
-    def _accept(self, keyed: DataFrame, waiting: list[Callable[[], object]]) -> list[Callable[[], object]]:
-        """Accept a delivery, and run what the one before it left to do meanwhile; what this one leaves to do."""
-        rows = self._placed(keyed)
-        touched = F.expr(f"explode(CASE WHEN d_a IS NULL THEN array(-1) ELSE array_distinct(array({', '.join(f'int(floor((d_a + {x}D) / {BAND}))' for x in (-REACH, 0, REACH))})) END)")
-        counts = rows.select(touched.alias("band")).groupBy("band").count().limit(MOST_BANDS + 1).collect()
-        small = len(counts) <= MOST_BANDS and sum(r["count"] for r in counts) <= SENT_KEYS
-        bands = [r["band"] for r in counts] if len(counts) <= MOST_BANDS else None
-        found: dict[str, DataFrame] = {}
-
-        def compare_contents() -> None:
-            contents = found["contents"] = self._contents(rows)
-            crowd = found["crowd"] = self._crowd(contents, bands, small)
-            seen = crowd.filter("not fresh").select("h1", "h2").distinct()
-            fresh = contents.join(seen, ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
-            self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a"))
-
-        def compare_identifiers() -> None:
-            identifiers = found["identifiers"] = self._identifiers(rows, small)
-            self._append("identifiers", identifiers.filter("known_no is null"))
-
-        _together(compare_contents, compare_identifiers, *waiting)
-        links = self._identifier_links(rows, found["identifiers"]).unionByName(self._copy_links(rows, found["contents"])).unionByName(_near_links(found["crowd"]))
+    def _accept(self, rows: DataFrame, bands: list[int] | None, small: bool, waiting: list[Callable[[], object]]) -> list[Callable[[], object]]:
+        """Append the identifiers and contents of a delivery that the history lacks, and run what the one before it left to do meanwhile; what this one
+        leaves to do, from the history as it was before."""
+        sent = F.broadcast if small else lambda df: df
+        history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
+        contents, identifiers = self._contents(rows), self._identifiers(rows, sent)
+        known = history.select("h1", "h2").join(sent(contents.select("h1", "h2")), ["h1", "h2"], "left_semi")
+        fresh = contents.join(sent(known), ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
+        members = self._members(contents, history, sent)
+        links = self._identifier_links(rows, identifiers, sent).unionByName(self._copy_links(rows, contents, sent)).unionByName(_near_links(members))
+        _together(
+            lambda: self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a")),
+            lambda: self._append("identifiers", identifiers.filter("known_no is null")),
+            *waiting,
+        )
         return [lambda: self._append("links", links.filter("record_no <> to_no"))]
 
-    def _met(self, history: DataFrame, keys: DataFrame, on: list[str], small: bool) -> DataFrame:
-        """The rows of the history that have a key of the delivery. The keys of small deliveries are sent to the tasks that read it."""
-        return history.join(F.broadcast(keys) if small else keys, on, "left_semi")
-
-    def _identifiers(self, rows: DataFrame, small: bool) -> DataFrame:
+    def _identifiers(self, rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The delivery's identifiers: first and last record in it, and first record in the history."""
         keys = ["k1", "k2"]
         new = rows.filter("k1 is not null").groupBy(*keys).agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
-        met = self._met(self.read("identifiers"), rows.filter("k1 is not null").select(*keys), keys, small).select(*keys, F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
-        return stored(new.join(met, keys, "left"), "delivery-identifiers")
+        met = self.read("identifiers").join(sent(rows.filter("k1 is not null").select(*keys)), keys, "left_semi").select(*keys, F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
+        return new.join(sent(met), keys, "left")
 
     def _contents(self, rows: DataFrame) -> DataFrame:
-        """The delivery's distinct contents with first and last record; the content itself is that of the first record."""
-        new = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
-        body = rows.filter("h1 is not null").select("record_no", "pair_key", "creation_us", "tca_us", "readings", "d_a", "d_b", "d_c", "d_d", "band").dropDuplicates(["record_no"])
-        return stored(new.join(body, F.col("first_no") == F.col("record_no")).drop("record_no"), "delivery-contents")
-
-    def _crowd(self, contents: DataFrame, bands: list[int] | None, small: bool) -> DataFrame:
-        """The contents of cells with several, one of them fresh: those of the delivery in every cell that they may share with a linked one, those of
-        the history in their own."""
+        """The delivery's distinct contents with first and last record; copies are counted in map tasks first."""
+        return (
+            rows.filter("h1 is not null").groupBy("h1", "h2", *(c for c in BODY if c not in ("first_no", "first_batch")), "band")
+            .agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
+        )
+
+    def _members(self, contents: DataFrame, history: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The contents of the delivery in every cell that they may share with a linked one, and those of the history in their own, where the delivery
+        has any."""
         cells = [_cell(f"(d_a + {x}D)", f"(d_b + {y}D)") for x in (-REACH, REACH) for y in (-REACH, REACH)]
-        fresh = contents.withColumn("cell", F.explode(F.array_distinct(F.array(*cells))))
-        history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
-        names = ["cell", "pair_key", "first_no", "first_batch", "creation_us", "tca_us", "readings", "d_a", "d_b", "d_c", "d_d", "h1", "h2"]
-        met = self._met(history.select(*names), fresh.select("cell"), ["cell"], small)
-        members = fresh.select(*names, F.lit(True).alias("fresh")).unionByName(met.withColumn("fresh", F.lit(False)))
-        several = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("first_no").alias("leader_no"), F.bool_or("fresh").alias("any")).filter("n > 1 and any").select("cell", "leader_no")
-        return stored(members.join(several, "cell"), "crowd")
+        fresh = contents.withColumn("cell", F.explode(F.array_distinct(F.array(*cells)))).select("cell", *BODY)
+        met = history.select("cell", *BODY).join(sent(fresh.select("cell")), "cell", "left_semi")
+        return fresh.withColumn("fresh", F.lit(True)).unionByName(met.withColumn("fresh", F.lit(False)))
 
-    def _identifier_links(self, rows: DataFrame, identifiers: DataFrame) -> DataFrame:
+    def _identifier_links(self, rows: DataFrame, identifiers: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
         target = identifiers.filter("known_no is not null or last_no <> first_no").select("k1", "k2", F.coalesce("known_no", "first_no").alias("to_no"), F.coalesce("known_batch", "first_batch").alias("to_batch"))
-        return rows.filter("k1 is not null").select("record_no", "collection_batch", "k1", "k2").join(target, ["k1", "k2"]).drop("k1", "k2")
+        return rows.filter("k1 is not null").select("record_no", "collection_batch", "k1", "k2").join(sent(target), ["k1", "k2"]).drop("k1", "k2")
 
-    def _copy_links(self, rows: DataFrame, contents: DataFrame) -> DataFrame:
+    def _copy_links(self, rows: DataFrame, contents: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """To the first record of the same content in the delivery."""
         target = contents.filter("last_no <> first_no").select("h1", "h2", F.col("first_no").alias("to_no"), F.col("first_batch").alias("to_batch"))
-        return rows.filter("h1 is not null").select("record_no", "collection_batch", "h1", "h2").join(target, ["h1", "h2"]).drop("h1", "h2")
+        return rows.filter("h1 is not null").select("record_no", "collection_batch", "h1", "h2").join(sent(target), ["h1", "h2"]).drop("h1", "h2")
 
     def repeats(self) -> DataFrame:
         """first_record_no, repeat_record_no: every record whose message first came in an earlier batch, with the lowest
@@ -282,7 +289,5 @@ class MessageHistory:
 def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The repeats of a whole collection, accepted batch by batch: each batch is compared with itself and all earlier ones."""
     history = MessageHistory(collection.sparkSession, path, aliases)
-    keyed = stored(history.keyed(collection), "deliveries", ("collection_batch",))
-    batches = keyed.select("collection_batch").distinct().orderBy("collection_batch").collect()
-    history.accept_keyed(*(keyed.filter(F.col("collection_batch") == row["collection_batch"]) for row in batches))
+    history.accept_batches(collection)
     return history.repeats()

@@ -138,7 +138,7 @@ def test_one_pivot_row_per_content_and_bands_by_distance(spark, aliases, tmp_pat
     start = datetime(2031, 3, 1, tzinfo=timezone.utc)
     rows = [{"record_no": i, "collection_batch": 1 + i // 20, "source_message_id": f"m{i}", "event_pair": "A-1|900", "miss_distance": 5.0 + i % 7, "at": start + timedelta(days=i % 7), "to": start + timedelta(days=40 * (i % 7))} for i in range(60)]
     history = MessageHistory(spark, f"file://{tmp_path}/history", aliases)
-    history.accept(*(frame(spark, [x for x in rows if x["collection_batch"] == b]) for b in (1, 2, 3)))
+    history.accept_batches(frame(spark, rows))
     pivots = history.read("pivots").collect()
     assert len(pivots) == 7 and len({r["band"] for r in pivots}) == 7 and all(r["band"] == r["d_a"] // BAND for r in pivots)
     assert {tuple(r) for r in history.repeats().collect()} == brute(rows)
