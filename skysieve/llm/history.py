@@ -202,22 +202,30 @@ class MessageHistory:
         """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history."""
         self._accept_all([(rows := self._placed(stored(self.keyed(batch), "delivery")), _bands(rows).groupBy("band").count().limit(MOST_BANDS + 1).collect())])
 
-    def accept_batches(self, records: DataFrame) -> None:
-        """Accept the batches of `records` one after the other, each as a delivery of its own."""
+    def accept_batches(self, records: DataFrame, deliveries: int | None = None) -> None:
+        """Accept the batches of `records` in turn, each as a delivery of its own, or consecutive ones together in so many deliveries of about as
+        many records each. The results are the same; a delivery costs a few dozen small jobs whatever its size."""
         keyed = stored(self.keyed(records), "deliveries", ("collection_batch",))
-        numbers = [r["collection_batch"] for r in keyed.select("collection_batch").distinct().orderBy("collection_batch").collect()]
-        if numbers:
-            self._points(keyed.filter(F.col("collection_batch") == numbers[0]))
+        sizes = keyed.groupBy("collection_batch").count().orderBy("collection_batch").collect()
+        groups: list[list[int]] = []
+        total, passed = sum(r["count"] for r in sizes), 0
+        for r in sizes:
+            if not groups or deliveries is None or passed * deliveries >= total * len(groups):
+                groups.append([])
+            groups[-1].append(r["collection_batch"])
+            passed += r["count"]
+        if groups:
+            self._points(keyed.filter(F.col("collection_batch").isin(groups[0])))
             rows = self._placed(keyed)
-            counts = _bands(rows, "collection_batch").groupBy("collection_batch", "band").count().limit((MOST_BANDS + 1) * len(numbers)).collect()
-            self._accept_all([(rows.filter(F.col("collection_batch") == n), [c for c in counts if c["collection_batch"] == n]) for n in numbers])
+            counts = _bands(rows, "collection_batch").groupBy("collection_batch", "band").count().limit((MOST_BANDS + 1) * len(sizes)).collect()
+            self._accept_all([(rows.filter(F.col("collection_batch").isin(group)), [c for c in counts if c["collection_batch"] in group]) for group in groups])
 
     def _accept_all(self, deliveries: list[tuple[DataFrame, list]]) -> None:
         """Accept deliveries in turn. A delivery's links are written while the next one is compared, which does not read them."""
         links: list[Callable[[], object]] = []
         for rows, counts in deliveries:
-            small = len(counts) <= MOST_BANDS and sum(c["count"] for c in counts) <= SENT_KEYS
-            bands = [c["band"] for c in counts] if len(counts) <= MOST_BANDS else None
+            bands = sorted({c["band"] for c in counts}) if len(counts) <= MOST_BANDS else None
+            small = bands is not None and sum(c["count"] for c in counts) <= SENT_KEYS
             links = self._accept(rows, bands, small, links)
             # Shuffle files and sent keys of past deliveries go once the driver has collected what named them.
             self.spark._jvm.System.gc()
@@ -228,16 +236,21 @@ class MessageHistory:
         leaves to do, from the history as it was before."""
         sent = F.broadcast if small else lambda df: df
         history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
-        contents, identifiers = self._contents(rows), self._identifiers(rows, sent)
-        known = history.select("h1", "h2").join(sent(contents.select("h1", "h2")), ["h1", "h2"], "left_semi")
-        fresh = contents.join(sent(known), ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
-        members = self._members(contents, history, sent)
-        links = self._identifier_links(rows, identifiers, sent).unionByName(self._copy_links(rows, contents, sent)).unionByName(_near_links(members))
-        _together(
-            lambda: self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a")),
-            lambda: self._append("identifiers", identifiers.filter("known_no is null")),
-            *waiting,
-        )
+        found: dict[str, DataFrame] = {}
+
+        def compare_contents() -> None:
+            contents = found["contents"] = stored(self._contents(rows), "delivery-contents")
+            known = history.select("h1", "h2").join(sent(contents.select("h1", "h2")), ["h1", "h2"], "left_semi")
+            fresh = contents.join(sent(known), ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
+            self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a"))
+
+        def compare_identifiers() -> None:
+            identifiers = found["identifiers"] = stored(self._identifiers(rows, sent), "delivery-identifiers")
+            self._append("identifiers", identifiers.filter("known_no is null"))
+
+        _together(compare_contents, compare_identifiers, *waiting)
+        links = self._identifier_links(rows, found["identifiers"], sent).unionByName(self._copy_links(rows, found["contents"], sent))
+        links = links.unionByName(_near_links(self._members(found["contents"], history, sent)))
         return [lambda: self._append("links", links.filter("record_no <> to_no"))]
 
     def _identifiers(self, rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -286,8 +299,9 @@ class MessageHistory:
         )
 
 
-def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None) -> DataFrame:
-    """The repeats of a whole collection, accepted batch by batch: each batch is compared with itself and all earlier ones."""
+def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None, deliveries: int | None = 6) -> DataFrame:
+    """The repeats of a whole collection: its batches are accepted in turn, consecutive ones together in so many deliveries (None: each batch by
+    itself), so that each batch is compared with itself and all earlier ones."""
     history = MessageHistory(collection.sparkSession, path, aliases)
-    history.accept_batches(collection)
+    history.accept_batches(collection, deliveries)
     return history.repeats()

@@ -82,10 +82,10 @@ def aliases(spark):
     return spark.createDataFrame([("a 1", "A-1")], "alias_designator string, designator string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, aliases, seed):
+@pytest.mark.parametrize(("seed", "deliveries"), [(1, 2), (2, None)])
+def test_against_brute_force(spark, aliases, seed, deliveries):
     rows = make(seed)
-    got = {tuple(r) for r in repeated_messages(frame(spark, rows), aliases).collect()}
+    got = {tuple(r) for r in repeated_messages(frame(spark, rows), aliases, deliveries=deliveries).collect()}
     assert got == brute(rows) and got
 
 
