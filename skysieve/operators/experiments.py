@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions.stats import mcnemar_column
 from skysieve.operators.calibrate import INFINITE, policy_metrics, thresholds
+from skysieve.operators.contracts import enough_folds
 from skysieve.operators.gate import event_gate_bounds, gate_score, robust_scale
 from skysieve.operators.ranking import quantiles, ranked_within, with_quantiles
 from skysieve.session import cut
@@ -77,8 +78,8 @@ def fold_roles(folds: DataFrame) -> DataFrame:
 
 def crossfit_gate(rows: DataFrame, features: tuple[str, ...], minimum_history: int = 1, alpha: float = 0.1, gate_alpha: float = 0.05, mode: str = "marginal", confidence: float = 0.95) -> DataFrame:
     """Gated decisions on each fold: the gate is fitted and calibrated, and the bound calibrated, on folds by fold_roles. A blocked
-    message is left out before the least score is taken, so an event with none left keeps infinity and its place."""
-    roles = fold_roles(rows)
+    message is left out before the least score is taken, so an event with none left keeps infinity and its place. Under five folds are an error."""
+    roles = fold_roles(enough_folds(rows))
     placed = rows.join(roles, "fold")
     scales = robust_scale(placed.filter("role = 'gate_fit'"), features, ("eval_fold",))
     wide = scales.groupBy("eval_fold").agg(*(x for f in features for x in (F.max(F.when(F.col("feature") == f, F.col("location"))).alias(f"__l_{f}"), F.max(F.when(F.col("feature") == f, F.col("scale"))).alias(f"__s_{f}"))))

@@ -19,8 +19,7 @@ LARGE_EVENT = 500_000
 def large_events(rows: DataFrame, limit: int = LARGE_EVENT) -> DataFrame | None:
     """event_id of the events with more than `limit` messages; None where there is none, as is usual."""
     large = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("event_id")
-    large = cut(large)
-    return None if large.isEmpty() else large
+    return None if large.isEmpty() else cut(large)
 
 
 def _prefixes(rows: DataFrame, columns: tuple[str, ...], strict: bool, group: tuple[str, ...], carried: bool) -> DataFrame:
@@ -113,13 +112,18 @@ def event_labels(messages: DataFrame, mode: str = "literal") -> DataFrame:
     return rows.groupBy("event_id").agg(last.alias("r")).filter("r is not null").select("event_id", (F.col("r") >= SAFE_RISK).cast("int").alias("y"))
 
 
-def event_weights(rows: DataFrame) -> DataFrame:
-    """Add weight: every event weighs 1 in all. Messages are counted per event in map tasks first and the counts joined, so no task
-    holds an event."""
-    counts = rows.groupBy(F.col("event_id").alias("__of")).agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight"))
+def with_sizes(rows: DataFrame, name: str) -> DataFrame:
+    """Add the number of messages of each message's event. They are counted per event in map tasks first and the counts joined, so no task holds
+    an event."""
+    counts = rows.groupBy(F.col("event_id").alias("__of")).agg(F.count(F.lit(1)).alias(name))
     return rows.join(counts, F.col("event_id").eqNullSafe(F.col("__of"))).drop("__of")
 
 
+def event_weights(rows: DataFrame) -> DataFrame:
+    """Add weight: every event weighs 1 in all."""
+    return with_sizes(rows, "weight").withColumn("weight", F.lit(1.0) / F.col("weight"))
+
+
 def tail_weights(rows: DataFrame, score: str = "score", hard_fraction: float = 0.25, hard_mass: float = 0.5) -> DataFrame:
     """Add weight: a positive event spreads 1 - hard_mass evenly over all its messages and hard_mass over its ceil(hard_fraction * n) lowest
     scores (ties by earlier message); other events weigh alike on every message. Each event weighs 1 in all."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysieve.functions.checks import finite
 from skysieve.functions.keys import event_key, finite_or_null
+from skysieve.operators.sessions import stretches
 
 MESSAGE_FIELDS = (
     "risk", "max_risk_estimate", "max_risk_scaling", "miss_distance", "relative_speed", "mahalanobis_distance", "t_position_covariance_det", "c_position_covariance_det",
@@ -103,11 +104,10 @@ def mahalanobis(r: tuple[Column, Column, Column], a: tuple[Column, ...], b: tupl
 
 def tca_clusters(rows: DataFrame, tolerance_s: float = 1800.0, pair: str = "event_pair", time: str = "tca") -> DataFrame:
     """Add cluster_no and cluster_id: messages of a pair by closest approach, cut where the gap to the previous message exceeds the
-    tolerance; an equal gap stays together, and gaps chain."""
-    w = Window.partitionBy(pair).orderBy(time, "cdm_no")
-    micros = F.unix_micros(F.col(time))
-    gap = micros - F.lag(micros).over(w)
+    tolerance; an equal gap stays together, and gaps chain. Messages without a pair or a closest approach are left out. The cuts come from one
+    row per pair and cell of time, so a pair costs its span of time and not its number of messages."""
+    placed = rows.filter(F.col(pair).isNotNull() & F.col(time).isNotNull()).withColumns({"__pair_of": F.col(pair), "low_s": F.unix_micros(F.col(time)) / 1e6, "high_s": F.unix_micros(F.col(time)) / 1e6})
     return (
-        rows.withColumn("cluster_no", F.sum(F.when(gap > tolerance_s * 1e6, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+        stretches(placed, tolerance_s, "__pair_of").withColumn("cluster_no", F.col("stretch").cast("int")).drop("__pair_of", "low_s", "high_s", "stretch")
         .withColumn("cluster_id", F.concat(F.lit("ext-"), F.substring(F.sha2(F.concat_ws("|", pair, F.col("cluster_no").cast("string")), 256), 1, 24)))
     )

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import cohort_key, event_key, message_key
-from skysieve.functions.checks import finite
 
 
 def grouping_review(messages: DataFrame, tolerance_s: float = 1800.0) -> DataFrame:
@@ -86,10 +85,14 @@ def chained(ledger: DataFrame, number: str, content: tuple[str, ...]) -> DataFra
     return ledger.withColumn("entry_sha256", entry).withColumn("previous_sha256", F.coalesce(F.lag("entry_sha256").over(w), F.lit("")))
 
 
-def chain_breaks(chain: DataFrame, number: str) -> DataFrame:
-    """Entries whose previous_sha256 is not the hash of the entry before, or whose number does not follow it."""
+def chain_breaks(chain: DataFrame, number: str, content: tuple[str, ...]) -> DataFrame:
+    """Entries whose own hash is not that of their number and content, whose previous_sha256 is not the hash of the entry before, or whose number
+    does not follow it."""
     w = Window.orderBy(number)
-    return chain.withColumn("__p", F.coalesce(F.lag("entry_sha256").over(w), F.lit(""))).withColumn("__n", F.lag(number).over(w)).filter((F.col("__p") != F.col("previous_sha256")) | (F.col(number) != F.col("__n") + 1)).drop("__p", "__n")
+    again = chained(chain.select(number, *content), number, content).select(F.col(number).alias("__no"), F.col("entry_sha256").alias("__e"))
+    rows = chain.withColumn("__p", F.coalesce(F.lag("entry_sha256").over(w), F.lit(""))).withColumn("__n", F.lag(number).over(w)).join(again, F.col(number) == F.col("__no"))
+    wrong = (F.col("__e") != F.col("entry_sha256")) | (F.col("__p") != F.col("previous_sha256")) | (F.col(number) != F.col("__n") + 1)
+    return rows.filter(wrong).drop("__p", "__n", "__no", "__e")
 
 
 def roster_digest(events: DataFrame, ranges: int = 65536) -> DataFrame:
@@ -109,5 +112,12 @@ def unmatched(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataF
     return a.join(b, list(keys), "full_outer").filter("l is null or r is null").select(*keys, F.when(F.col("r").isNull(), "left_only").otherwise("right_only").alias("side"))
 
 
-def usable_scores(rows: DataFrame, score: str) -> DataFrame:
-    return rows.filter(finite(F.col(score)) & F.col(score).between(0, 1))
+def period_faults(records: DataFrame, ledger: DataFrame) -> DataFrame:
+    """record_no, fault of records (record_no, collection_batch, received_at, source_export_sha256) against their batch's entry in the ledger: no_entry,
+    before_opening, after_end (a batch's period ends when the next one opens) or other_export. The ledger has one row per batch."""
+    periods = ledger.select(F.col("collection_batch").alias("__b"), F.col("source_export_sha256").alias("__sha"), "opened_at", F.lead("opened_at").over(Window.orderBy("collection_batch")).alias("__end"))
+    fault = (
+        F.when(F.col("__b").isNull(), "no_entry").when(F.col("received_at") < F.col("opened_at"), "before_opening").when(F.col("received_at") >= F.col("__end"), "after_end")
+        .when(~F.col("source_export_sha256").eqNullSafe(F.col("__sha")), "other_export")
+    )
+    return records.join(periods, F.col("collection_batch") == F.col("__b"), "left").select("record_no", fault.alias("fault")).filter("fault is not null")

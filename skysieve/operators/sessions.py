@@ -73,18 +73,18 @@ def _assign(tolerance_s: float):
     return assign
 
 
-def stretches(rows: DataFrame, tolerance_s: float) -> DataFrame:
-    """Add stretch to rows of event_pair, low_s, high_s: the rows of a pair by low_s, cut wherever the next begins more than the tolerance after
+def stretches(rows: DataFrame, tolerance_s: float, pair: str = "event_pair") -> DataFrame:
+    """Add stretch to rows of `pair`, low_s, high_s: the rows of a pair by low_s, cut wherever the next begins more than the tolerance after
     all before it have ended. What lies in different stretches is further apart than the tolerance, so no rule that looks no further
     sees across a cut. The cuts are found from one row per pair and cell of time as wide as the tolerance, made in map tasks first, so
     a pair costs its span of time and not its number of rows."""
     placed = rows.withColumn("__cell", F.floor(F.col("low_s") / max(tolerance_s, 1e-6)))
-    cells = placed.groupBy("event_pair", "__cell").agg(F.min("low_s").alias("low"), F.max("high_s").alias("high"))
-    order = Window.partitionBy("event_pair").orderBy("__cell")
+    cells = placed.groupBy(F.col(pair).alias("__pair"), "__cell").agg(F.min("low_s").alias("low"), F.max("high_s").alias("high"))
+    order = Window.partitionBy("__pair").orderBy("__cell")
     reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = cells.withColumn("begins", F.coalesce((F.col("low") - reached > tolerance_s).cast("int"), F.lit(0)))
-    numbered = begun.select(F.col("event_pair").alias("__pair"), F.col("__cell").alias("__at"), F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
-    return placed.join(numbered, F.col("event_pair").eqNullSafe(F.col("__pair")) & (F.col("__cell") == F.col("__at"))).drop("__pair", "__cell", "__at")
+    numbered = begun.select("__pair", F.col("__cell").alias("__at"), F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
+    return placed.join(numbered, F.col(pair).eqNullSafe(F.col("__pair")) & (F.col("__cell") == F.col("__at"))).drop("__pair", "__cell", "__at")
 
 
 def persistent_events(messages: DataFrame, known: DataFrame, tolerance_s: float = 1800.0) -> DataFrame:

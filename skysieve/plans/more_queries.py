@@ -47,20 +47,47 @@ def parse_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("source_message_id").cast("bigint").alias("cdm_no"), "miss_distance", "relative_speed", "t_obs_used", "c_obs_used", F.round("time_to_tca", 6).alias("days"))
 
 
+#: Entries of full covariances and positions, made from columns of a message so that no entry is zero: the field and its expression.
+_ENTRIES = {
+    "relative_position_r": "miss_distance / 1000", "relative_position_t": "relative_speed / 1000", "relative_position_n": "max_risk_scaling",
+    "sat1_cr_r": "t_obs_used + 10", "sat1_ct_r": "t_weighted_rms * 0.3", "sat1_ct_t": "t_obs_available + 20", "sat1_cn_r": "c_weighted_rms * -0.2", "sat1_cn_t": "max_risk_scaling * 0.1", "sat1_cn_n": "c_obs_available + 5",
+    "sat2_cr_r": "c_obs_used + 10", "sat2_ct_r": "c_weighted_rms * -0.4", "sat2_ct_t": "c_obs_available + 20", "sat2_cn_r": "t_weighted_rms * 0.1", "sat2_cn_t": "max_risk_scaling * -0.3", "sat2_cn_n": "t_obs_available + 5",
+}
+
+
+def adapt_covariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Determinants and Mahalanobis distance of messages with full covariances, read from JSON lines."""
+    rows = _texts(spark, sf_dir).withColumns({name: F.expr(entry) for name, entry in _ENTRIES.items()})
+    record = F.to_json(F.struct(F.col("creation_date").cast("string").alias("creation_date"), F.col("tca").cast("string").alias("tca"), F.col("cdm_no").cast("string").alias("message_id"), *(_present(name).alias(name) for name in _ENTRIES)))
+    out = cdm.adapt(cdm.parse_ndjson(rows.select(record.alias("value"))))
+    return out.select(F.col("source_message_id").cast("bigint").alias("cdm_no"), F.round("t_position_covariance_det", 2).alias("t_det"), F.round("c_position_covariance_det", 2).alias("c_det"), F.round("mahalanobis_distance", 6).alias("distance"))
+
+
 def persistent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages of all batches after the first, assigned to the events of the first and to new ones."""
+    """The messages of all batches after the first, assigned to the events of the first and to new ones; a missing batch is the first."""
     rows = with_pair_key(table(spark, sf_dir, "external_collection"), table(spark, sf_dir, "object_alias"))
-    rows = rows.select("record_no", "collection_batch", F.col("pair_key").alias("event_pair"), F.col("record_no").alias("message_id"), F.try_to_timestamp("tca").alias("tca"), F.col("record_no").alias("order_no"), "event_id")
+    rows = rows.select("record_no", F.coalesce("collection_batch", F.lit(1)).alias("collection_batch"), F.col("pair_key").alias("event_pair"), F.col("record_no").alias("message_id"), F.try_to_timestamp("tca").alias("tca"), F.col("record_no").alias("order_no"), "event_id")
     rows = rows.filter("event_pair is not null and tca is not null")
     first = rows.filter("collection_batch = 1 and event_id is not null").groupBy("event_id", "event_pair").agg(F.min("tca").alias("tca_min"), F.max("tca").alias("tca_max"))
     return sessions.persistent_events(rows.filter("collection_batch > 1"), first)
 
 
+_MODEL_COLUMNS = tuple(f"{c}{k}" for c in features.PREFIX_COLUMNS for k in ("", "_min_so_far", "_delta_prev")) + ("time_to_tca", "n_cdm_so_far")
+
+
+def _out_of_fold(spark: SparkSession, sf_dir: str, scorer: model.Scorer) -> DataFrame:
+    rows = features.prefix_features(messages.scored(table(spark, sf_dir, "history_gate_diagnostics"))).drop("score")
+    return model.out_of_fold(rows, scorer).select("diag_no", "event_id", "time_to_tca", "fold", F.round("score", 6).alias("score"))
+
+
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of a logistic model on the prefix features of scored messages."""
-    rows = features.prefix_features(messages.scored(table(spark, sf_dir, "history_gate_diagnostics"))).drop("score")
-    columns = tuple(f"{c}{k}" for c in features.PREFIX_COLUMNS for k in ("", "_min_so_far", "_delta_prev")) + ("time_to_tca", "n_cdm_so_far")
-    return model.out_of_fold(rows, model.ml_scorer(columns)).select("diag_no", "event_id", "time_to_tca", "fold", F.round("score", 6).alias("score"))
+    return _out_of_fold(spark, sf_dir, model.ml_scorer(_MODEL_COLUMNS, contract=model.feature_contract(_MODEL_COLUMNS)))
+
+
+def oof_tail_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of models whose weights lie on the messages that models of the inner folds score lowest."""
+    return _out_of_fold(spark, sf_dir, model.tail_aligned_scorer(_MODEL_COLUMNS, iterations=5))
 
 
 def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +131,7 @@ def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "parse_kvn": parse_kvn, "parse_ndjson": parse_ndjson, "persistent_events": persistent_events, "oof_scores": oof_scores, "delivered_once": delivered_once, "planning_table": planning_table,
+    "adapt_covariances": adapt_covariances, "parse_kvn": parse_kvn, "parse_ndjson": parse_ndjson, "persistent_events": persistent_events, "oof_scores": oof_scores, "oof_tail_scores": oof_tail_scores, "delivered_once": delivered_once, "planning_table": planning_table,
     "subgroup_heterogeneity": subgroup_heterogeneity, "stream_triage": stream_triage,
 }
 
@@ -113,7 +140,23 @@ _READ = """
         CASE WHEN isfinite(t_obs_used) THEN t_obs_used END AS t_obs_used, CASE WHEN isfinite(c_obs_used) THEN c_obs_used END AS c_obs_used, round((epoch_us(tca) - epoch_us(creation_date)) / 86400000000.0::DOUBLE, 6) AS days
     FROM external_cdm WHERE creation_date <= tca AND event_pair IS NOT NULL
 """
+
+
+def _det_sql(m: str) -> str:
+    return f"({m}rr * ({m}tt * {m}nn - {m}nt * {m}nt) - {m}tr * ({m}tr * {m}nn - {m}nt * {m}nr) + {m}nr * ({m}tr * {m}nt - {m}tt * {m}nr))"
+
+
+_TRIANGLE = ("rr", "tr", "tt", "nr", "nt", "nn")
+
 SQL = {
+    "adapt_covariances": f"""
+        WITH v AS (SELECT cdm_no, {', '.join(f'({entry})::DOUBLE AS {name}' for name, entry in _ENTRIES.items())} FROM external_cdm WHERE creation_date <= tca AND event_pair IS NOT NULL),
+        f AS (SELECT cdm_no, {', '.join(f'CASE WHEN isfinite({name}) THEN {name} END AS {name}' for name in _ENTRIES)} FROM v),
+        m AS (SELECT cdm_no, relative_position_r AS x, relative_position_t AS y, relative_position_n AS z, {', '.join(f'sat{i}_c{k[0]}_{k[1]} AS {s}{k}' for i, s in ((1, 'a'), (2, 'b')) for k in _TRIANGLE)}, {', '.join(f'sat1_c{k[0]}_{k[1]} + sat2_c{k[0]}_{k[1]} AS {k}' for k in _TRIANGLE)} FROM f),
+        d AS (SELECT *, {_det_sql('a')} AS da, {_det_sql('b')} AS db, {_det_sql('')} AS dd, x * x * (tt * nn - nt * nt) + y * y * (rr * nn - nr * nr) + z * z * (rr * tt - tr * tr)
+            + 2 * (x * y * (nr * nt - tr * nn) + x * z * (tr * nt - nr * tt) + y * z * (nr * tr - rr * nt)) AS form FROM m)
+        SELECT cdm_no, CASE WHEN da > 0 THEN round(da, 2) END AS t_det, CASE WHEN db > 0 THEN round(db, 2) END AS c_det, CASE WHEN form / dd IS NOT NULL THEN round(sqrt(greatest(form / dd, 0)), 6) END AS distance FROM d
+    """,
     "planning_table": f"""
         WITH {S}, n AS (SELECT fold, count(DISTINCT event_id) AS n FROM s WHERE y = 1 GROUP BY 1), ks AS (SELECT unnest(range(0, 20000)) AS k),
         c AS (SELECT fold, n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({ALPHA}::DOUBLE) + (n - k) * ln(1 - {ALPHA}::DOUBLE))) OVER (PARTITION BY fold ORDER BY k) AS p FROM n, ks WHERE k <= n),

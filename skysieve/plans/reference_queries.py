@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skysieve.functions.keys import event_key
 from skysieve.functions.stats import rank_column
-from skysieve.operators import calibrate, experiments, features, gate, messages, review
+from skysieve.operators import calibrate, contracts, experiments, features, gate, messages, review
 from skysieve.plans.core_queries import usable_sql
 from skysieve.plans.tables import table
 from skysieve.streaming import triage
@@ -631,7 +631,7 @@ def planning_max_failures(spark, d):
 # --- collections -------------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {M}, g AS (SELECT cdm_no, event_pair, epoch_us(tca) - lag(epoch_us(tca)) OVER (PARTITION BY event_pair ORDER BY tca, cdm_no) AS gap, tca FROM m)
+@query(f"""WITH {M}, g AS (SELECT cdm_no, event_pair, epoch_us(tca) - lag(epoch_us(tca)) OVER (PARTITION BY event_pair ORDER BY tca, cdm_no) AS gap, tca FROM m WHERE event_pair IS NOT NULL)
     SELECT cdm_no, CAST(sum(CASE WHEN gap > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY event_pair ORDER BY tca, cdm_no ROWS UNBOUNDED PRECEDING) AS INTEGER) AS cluster_no FROM g""")
 def tca_clusters(spark, d):
     return messages.tca_clusters(_messages(spark, d)).select("cdm_no", "cluster_no")
@@ -691,24 +691,42 @@ def out_of_order_updates(spark, d):
     return review.out_of_order(rows, "record_no").select("record_no", "event_id")
 
 
-@query("""WITH c AS (SELECT *, sha256(concat_ws('|', collection_batch::VARCHAR, coalesce(source_export_sha256, ''), coalesce(received_messages::VARCHAR, ''))) AS entry_sha256 FROM collection_ledger)
-    SELECT collection_batch, entry_sha256, coalesce(lag(entry_sha256) OVER (ORDER BY collection_batch), '') AS previous_sha256 FROM c""")
-def chain_verify(spark, d):
+_CHAIN = """c AS (SELECT *, sha256(concat_ws('|', collection_batch::VARCHAR, coalesce(source_export_sha256, ''), coalesce(received_messages::VARCHAR, ''))) AS entry_sha256 FROM collection_ledger),
+    h AS (SELECT *, coalesce(lag(entry_sha256) OVER (ORDER BY collection_batch), '') AS previous_sha256 FROM c)"""
+
+
+@query(f"WITH {_CHAIN} SELECT collection_batch, entry_sha256, previous_sha256 FROM h")
+def chain_entries(spark, d):
     chain = review.chained(table(spark, d, "collection_ledger"), "collection_batch", ("source_export_sha256", "received_messages"))
     return chain.select("collection_batch", "entry_sha256", "previous_sha256")
 
 
+@query(f"""WITH {_CHAIN}, t AS (SELECT *, lag(collection_batch) OVER (ORDER BY collection_batch) AS p FROM h WHERE collection_batch % 5 <> 4) SELECT collection_batch FROM t WHERE collection_batch % 7 = 2 OR p <> collection_batch - 1""")
+def chain_verify(spark, d):
+    """What verification finds in a chain of which entries were forged (numbers 2, 9, 16, ...: one message more) and others removed (4, 9, 14, ...)."""
+    chain = review.chained(table(spark, d, "collection_ledger"), "collection_batch", ("source_export_sha256", "received_messages"))
+    forged = chain.withColumn("received_messages", F.when(F.col("collection_batch") % 7 == 2, F.coalesce("received_messages", F.lit(0)) + 1).otherwise(F.col("received_messages")))
+    return review.chain_breaks(forged.filter("collection_batch % 5 <> 4"), "collection_batch", ("source_export_sha256", "received_messages")).select("collection_batch")
+
+
 @query("""SELECT l.collection_batch, l.received_messages, count(x.record_no) AS found FROM collection_ledger l LEFT JOIN external_collection x ON l.collection_batch = x.collection_batch GROUP BY 1, 2""")
 def ledger_counts(spark, d):
     counts = table(spark, d, "external_collection").groupBy("collection_batch").agg(F.count(F.lit(1)).alias("c"))
     return table(spark, d, "collection_ledger").join(counts, "collection_batch", "left").select("collection_batch", "received_messages", F.coalesce("c", F.lit(0)).alias("found"))
 
 
-@query("""SELECT x.record_no FROM external_collection x JOIN collection_ledger l ON x.collection_batch = l.collection_batch WHERE x.received_at < l.opened_at OR x.source_export_sha256 IS DISTINCT FROM l.source_export_sha256""")
+@query("""WITH f AS (SELECT collection_batch, CASE WHEN collection_batch % 6 = 5 THEN 'other' ELSE source_export_sha256 END AS sha, opened_at + CASE collection_batch % 4 WHEN 2 THEN INTERVAL 3 HOURS WHEN 0 THEN -INTERVAL 600 HOURS ELSE INTERVAL 0 HOURS END AS opened_at FROM collection_ledger),
+    l AS (SELECT *, lead(opened_at) OVER (ORDER BY collection_batch) AS ends_at FROM f),
+    r AS (SELECT x.record_no, CASE WHEN l.collection_batch IS NULL THEN 'no_entry' WHEN x.received_at < l.opened_at THEN 'before_opening' WHEN x.received_at >= l.ends_at THEN 'after_end' WHEN x.source_export_sha256 IS DISTINCT FROM l.sha THEN 'other_export' END AS fault
+        FROM external_collection x LEFT JOIN l ON x.collection_batch = l.collection_batch)
+    SELECT record_no, fault FROM r WHERE fault IS NOT NULL""")
 def period_violations(spark, d):
-    x, ledger = table(spark, d, "external_collection").alias("x"), table(spark, d, "collection_ledger").alias("l")
-    wrong = (F.col("x.received_at") < F.col("l.opened_at")) | ~F.col("x.source_export_sha256").eqNullSafe(F.col("l.source_export_sha256"))
-    return x.join(ledger, F.col("x.collection_batch") == F.col("l.collection_batch")).filter(wrong).select("x.record_no")
+    """Records against a ledger in which periods were moved (of batches 2, 6, 10, ... three hours later and of 4, 8, 12, ... 25 days earlier) and digests
+    forged (5, 11, 17, ...)."""
+    n = F.col("collection_batch")
+    hours = F.when(n % 4 == 2, 3).when(n % 4 == 0, -600).otherwise(0)
+    moved = table(spark, d, "collection_ledger").select(n, F.when(n % 6 == 5, "other").otherwise(F.col("source_export_sha256")).alias("source_export_sha256"), (F.col("opened_at") + F.make_dt_interval(hours=hours)).alias("opened_at"))
+    return review.period_faults(table(spark, d, "external_collection"), moved)
 
 
 @query(f"WITH {_C} SELECT DISTINCT event_id FROM co WHERE event_id IS NOT NULL AND time_to_tca BETWEEN 2.0 AND 7.0")
@@ -748,12 +766,29 @@ def audit_log(spark, d):
     return _audit(spark, d).select("event_id", "sequence_number", "reason", "decision", "shift_gate_allowed", "decision_window_eligible")
 
 
-@query(f"WITH {S}, {AUDIT} SELECT event_id, time_to_tca FROM ad WHERE decision = 'ESCALATE' AND sequence_number = 1")
+@query(f"""WITH {S}, {AUDIT}, n AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM ad)
+    SELECT event_id, time_to_tca, CASE WHEN n = 1 OR n >= 6 AND sequence_number = n THEN 'missing' ELSE 'differs' END AS fault FROM n WHERE n = 1 OR n >= 6 AND sequence_number = n OR decision = 'ESCALATE' AND sequence_number = 1""")
 def audit_reverify(spark, d):
-    """Mismatches of an audit in which the first escalations were forged to exclusions: exactly these come out."""
+    """Faults of an audit in which the first escalations were forged to exclusions, events with one message removed, and the last message of
+    events with six and more: exactly these come out."""
     forged = (F.col("decision") == "ESCALATE") & (F.col("sequence_number") == 1)
-    audit = _audit(spark, d).withColumn("decision", F.when(forged, "SAFE-EXCLUDE").otherwise(F.col("decision")))
-    return triage.audit_mismatches(audit, POLICY).select("event_id", "time_to_tca")
+    audit = features.with_sizes(_audit(spark, d).withColumn("decision", F.when(forged, "SAFE-EXCLUDE").otherwise(F.col("decision"))), "n")
+    kept = audit.filter("n > 1 and not (n >= 6 and sequence_number = n)")
+    updates = _scored(spark, d).select("event_id", "time_to_tca", "score", F.coalesce(F.col("risk") < -8, F.lit(False)).alias("gate_allowed"))
+    return triage.audit_faults(kept, POLICY, updates)
+
+
+@query(f"""WITH {S}, {AUDIT}, r AS (SELECT decision, sha256(concat_ws('|', event_id, sequence_number::VARCHAR, eligible_history_count::VARCHAR, reason, decision)) AS r FROM ad),
+    p AS (SELECT decision, substr(r, 1, 3) AS k, count(*) AS n, sha256(string_agg(r, chr(10) ORDER BY r)) AS d FROM r GROUP BY 1, 2)
+    SELECT decision AS delivery, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(k || d, chr(10) ORDER BY k)) AS content_sha256 FROM p GROUP BY 1""")
+def audit_digests(spark, d):
+    """Digests of the audit's rows, with decisions standing for deliveries."""
+    return triage.batch_digests(_audit(spark, d).withColumn("delivery", F.col("decision")), "delivery")
+
+
+@query(f"WITH {S}, {AUDIT} SELECT event_id, max(sequence_number) AS sequence_number, max(eligible_history_count) AS eligible_history_count, min(time_to_tca) AS last_time_to_tca FROM ad GROUP BY 1")
+def triage_state(spark, d):
+    return triage.counters_of(_audit(spark, d))
 
 
 @query(f"WITH {S}, {AUDIT} SELECT event_id, sequence_number, time_to_tca, decision, reason FROM cu")
@@ -793,3 +828,45 @@ def showcase_gate_blocked(spark, d):
 @query(f"WITH {S}, {FS} SELECT round(1000.0::DOUBLE * count(*) FILTER (WHERE y = 0 AND first_safe_tca IS NOT NULL) / count(*), 6) AS safe_per_1000 FROM f")
 def safe_per_1000(spark, d):
     return _decisions(spark, d).agg(F.round(F.lit(1000.0) * F.count_if(F.col("safe_exclude") & (F.col("y") == 0)) / F.count(F.lit(1)), 6).alias("safe_per_1000"))
+
+
+# --- contracts -----------------------------------------------------------------------------------------------------------------------------
+
+
+def _keyed_diagnostics(spark, d):
+    return table(spark, d, "history_gate_diagnostics").select("diag_no", event_key(F.col("event_id")).alias("event_id"), "time_to_tca", "score", "y", "fold")
+
+
+_G = f"g AS (SELECT {_event_sql('event_id')} AS event_id, time_to_tca, score, y, fold FROM history_gate_diagnostics)"
+
+
+@query(f"""WITH {_G}, v AS (SELECT event_id, 'y' AS column_name, y AS v FROM g UNION SELECT event_id, 'fold', fold FROM g)
+    SELECT event_id, column_name, count(v) AS n_values FROM v WHERE event_id IS NOT NULL GROUP BY 1, 2 HAVING count(v) > 1""")
+def one_value_conflicts(spark, d):
+    """Events with several labels or in several folds."""
+    return contracts.one_value_conflicts(_keyed_diagnostics(spark, d), ("y", "fold"))
+
+
+@query(f"""WITH {_G}, a AS (SELECT DISTINCT event_id FROM g WHERE event_id IS NOT NULL), b AS (SELECT {_event_sql('event_id')} AS event_id, min(y) AS lo, max(y) AS hi, count(*) FILTER (WHERE y IS NULL OR y NOT IN (0, 1)) AS bad FROM event_labels GROUP BY 1 HAVING event_id IS NOT NULL),
+    f AS (SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN b.event_id IS NULL THEN 'unlabelled' WHEN a.event_id IS NULL THEN 'unscored' WHEN bad > 0 THEN 'bad_label' WHEN lo < hi THEN 'conflict' END AS fault FROM a FULL JOIN b ON a.event_id = b.event_id)
+    SELECT event_id, fault FROM f WHERE fault IS NOT NULL""")
+def roster_faults(spark, d):
+    labels = table(spark, d, "event_labels").select(event_key(F.col("event_id")).alias("event_id"), "y")
+    return contracts.roster_faults(_keyed_diagnostics(spark, d), labels)
+
+
+@query(f"""WITH {_G}, {_C}, k AS (SELECT DISTINCT event_id FROM co WHERE c = 'calibration'), u AS (SELECT count(*) - 1 AS n FROM g WHERE event_id IS NOT NULL AND time_to_tca IS NOT NULL GROUP BY event_id, time_to_tca)
+    SELECT 'event_missing' AS rule, count(*) FILTER (WHERE event_id IS NULL) AS violations FROM g
+    UNION ALL SELECT 'time_invalid', count(*) FILTER (WHERE NOT coalesce(isfinite(time_to_tca) AND time_to_tca >= 0, false)) FROM g
+    UNION ALL SELECT 'score_not_finite', count(*) FILTER (WHERE NOT coalesce(isfinite(score), false)) FROM g
+    UNION ALL SELECT 'score_out_of_range', count(*) FILTER (WHERE isfinite(score) AND NOT score BETWEEN 0 AND 1) FROM g
+    UNION ALL SELECT 'fold_missing', count(*) FILTER (WHERE fold IS NULL) FROM g
+    UNION ALL SELECT 'fold_differs', greatest(0, count(DISTINCT fold) - 1) FROM g
+    UNION ALL SELECT 'repeated_update', CAST(coalesce(sum(n), 0) AS BIGINT) FROM u
+    UNION ALL SELECT 'calibration_event', count(*) FROM g WHERE event_id IN (SELECT event_id FROM k WHERE event_id IS NOT NULL)""")
+def stream_contract(spark, d):
+    """What a replay of the raw diagnostics would break; fold stands for a column that must be one in all rows."""
+    from skysieve.functions.keys import cohort_key
+
+    calibration = table(spark, d, "external_collection").filter(cohort_key(F.col("study_cohort")) == "calibration").select(event_key(F.col("event_id")).alias("event_id"))
+    return contracts.stream_faults(_keyed_diagnostics(spark, d), calibration=calibration, one_valued=("fold",))

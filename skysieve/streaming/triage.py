@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skysieve.operators.contracts import demand, stream_faults
 from skysieve.operators.features import LARGE_EVENT, large_events
 from skysieve.operators.ranking import ranked_within
+from skysieve.operators.review import chain_breaks, chained
 
 #: Decision reasons (fixed values).
 ESCALATED = "score_at_or_above_escalation_threshold"
@@ -120,15 +122,15 @@ def _counters_before(spark: SparkSession, path: str, batch: int) -> DataFrame:
     return _merged(spark.read.schema(_COUNTERS).parquet(*[f"{path}/after-{i}" for i in range(whole, batch)]))
 
 
-def replay(source: DataFrame, policy: TriagePolicy, audit_path: str, checkpoint_path: str, gate_allowed: Column | None = None, on_late: str = "quarantine", limit: int = LARGE_EVENT):
+def replay(source: DataFrame, policy: TriagePolicy, audit_path: str, checkpoint_path: str, gate_allowed: Column | None = None, on_late: str = "quarantine", limit: int = LARGE_EVENT, on_invalid: str = "pass"):
     """Run a stream of event_id, time_to_tca, score (and gate features) to its end into an append-only audit with one folder per
     micro-batch (batch_id); restarts go on where they stopped, and a micro-batch that is run again replaces its own folders, so each is written
     once. State per event is two counters and a time, in tables beside the checkpoint. Updates of one event within a micro-batch are taken
     by falling time_to_tca, whatever their number and order. An update that does not lower its event's time_to_tca is late: on_late="fail" stops
     the query before the micro-batch changes anything, "quarantine" passes it on with late = true, no counters, no decision and no effect
-    on the state."""
-    if on_late not in ("fail", "quarantine"):
-        raise ValueError("on_late must be fail or quarantine")
+    on the state. With on_invalid="fail" a micro-batch in which an event, a time or a score is missing or impossible stops it likewise."""
+    if on_late not in ("fail", "quarantine") or on_invalid not in ("fail", "pass"):
+        raise ValueError("on_late must be fail or quarantine, and on_invalid fail or pass")
     allowed = F.coalesce(gate_allowed, F.lit(False)) if gate_allowed is not None else F.lit(True)
     number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
     updates = source.select(F.col("event_id").cast("string").alias("event_id"), number("time_to_tca"), number("score"), allowed.alias("gate_allowed"))
@@ -136,6 +138,8 @@ def replay(source: DataFrame, policy: TriagePolicy, audit_path: str, checkpoint_
 
     def write(rows: DataFrame, batch: int) -> None:
         spark, rows = rows.sparkSession, rows.persist()
+        if on_invalid == "fail":
+            demand(stream_faults(rows).filter("rule <> 'repeated_update'"), f"micro-batch {batch}")
         before = _counters_before(spark, state, batch)
         audit = audited_updates(rows, before, policy, limit)
         if on_late == "fail" and (late := audit.filter("late").first()):
@@ -155,15 +159,60 @@ def current_decisions(audit: DataFrame) -> DataFrame:
     return last.select("r.*")
 
 
-def audit_mismatches(audit: DataFrame, policy: TriagePolicy) -> DataFrame:
-    """Rows of an audit in which any counter, flag, reason or decision differs from what its messages give."""
-    again = batch_audit(audit.select("event_id", "time_to_tca", "score", "shift_gate_allowed"), policy, F.col("shift_gate_allowed"))
-    fields = ("sequence_number", "eligible_history_count", "decision_window_eligible", "reason", "decision")
-    a, b = audit.alias("a"), again.alias("b")
+def audit_faults(audit: DataFrame, policy: TriagePolicy, updates: DataFrame | None = None) -> DataFrame:
+    """event_id, time_to_tca, fault of an audit against what the messages give: differs (a counter, flag, reason or decision), missing (an
+    update without an audit row), unknown (an audit row without an update), repeated. `updates` are the messages (event_id, time_to_tca, score,
+    gate_allowed); without them the audit's own rows stand for them, and only numbers that do not run from 1 without a gap tell of rows that
+    are gone."""
+    own = audit.select("event_id", "time_to_tca", "score", F.col("shift_gate_allowed").alias("gate_allowed"))
+    again = batch_audit((own if updates is None else updates).dropDuplicates(["event_id", "time_to_tca"]), policy, F.col("gate_allowed"))
+    fields = ("score", "sequence_number", "eligible_history_count", "decision_window_eligible", "shift_gate_allowed", "reason", "decision")
+    kept = audit.groupBy("event_id", "time_to_tca").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*fields)).alias("a"))
+    b = again.select("event_id", "time_to_tca", F.struct(*fields).alias("b"))
     wrong = F.lit(False)
     for f in fields:
         wrong = wrong | ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
-    return a.join(b, (F.col("a.event_id") == F.col("b.event_id")) & (F.col("a.time_to_tca") == F.col("b.time_to_tca"))).filter(wrong).select("a.*")
+    fault = F.when(F.col("a").isNull(), "missing").when(F.col("b").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(wrong, "differs")
+    return kept.join(b, ["event_id", "time_to_tca"], "full_outer").select("event_id", "time_to_tca", fault.alias("fault")).filter("fault is not null")
+
+
+def batch_digests(audit: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """`batch`, n_rows, content_sha256 of each delivery of an audit, whatever the order of its rows: rows are hashed, their hashes sorted and hashed
+    within each of 4096 ranges of the hash, and these in order."""
+    row = F.sha2(F.concat_ws("|", "event_id", F.col("sequence_number").cast("string"), F.col("eligible_history_count").cast("string"), "reason", "decision"), 256)
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = audit.select(batch, row.alias("r")).groupBy(batch, F.substring("r", 1, 3).alias("range")).agg(F.count(F.lit(1)).alias("n"), joined("r").alias("d"))
+    return parts.groupBy(batch).agg(F.sum("n").alias("n_rows"), joined(F.concat("range", "d")).alias("content_sha256"))
+
+
+def counters_of(audit: DataFrame) -> DataFrame:
+    """event_id, sequence_number, eligible_history_count, last_time_to_tca: the state that an audit leaves, one row per event."""
+    rows = audit.filter("sequence_number is not null").select("event_id", "sequence_number", "eligible_history_count", F.col("time_to_tca").alias("last_time_to_tca"))
+    return _merged(rows)
+
+
+def export_checkpoint(audit: DataFrame, path: str, batch: str = "batch_id") -> None:
+    """Write state, audit and the chain of its deliveries' digests as tables under a new `path`."""
+    counters_of(audit).write.mode("errorifexists").parquet(f"{path}/counters")
+    audit.write.mode("errorifexists").parquet(f"{path}/audit")
+    chained(batch_digests(audit, batch), batch, ("n_rows", "content_sha256")).coalesce(1).write.mode("errorifexists").parquet(f"{path}/chain")
+
+
+def checkpoint_faults(spark: SparkSession, path: str, batch: str = "batch_id") -> DataFrame:
+    """what, key: deliveries whose rows or place in the chain are not what the checkpoint says, and events whose counters are not what the audit gives."""
+    audit, chain = spark.read.parquet(f"{path}/audit"), spark.read.parquet(f"{path}/chain")
+    now = batch_digests(audit, batch).withColumnsRenamed({"n_rows": "n", "content_sha256": "c"})
+    moved = chain.join(now, batch, "full_outer").filter(~(F.col("n").eqNullSafe(F.col("n_rows")) & F.col("c").eqNullSafe(F.col("content_sha256")))).select(batch)
+    broken = chain_breaks(chain, batch, ("n_rows", "content_sha256")).select(batch)
+    stored, given = spark.read.parquet(f"{path}/counters"), counters_of(audit)
+    columns = ("event_id", "sequence_number", "eligible_history_count", "last_time_to_tca")
+    events = stored.select(*columns).exceptAll(given.select(*columns)).unionByName(given.select(*columns).exceptAll(stored.select(*columns))).select("event_id").distinct()
+    return moved.union(broken).distinct().select(F.lit("delivery").alias("what"), F.col(batch).cast("string").alias("key")).union(events.select(F.lit("event"), "event_id"))
+
+
+def without_events(counters: DataFrame, events: DataFrame) -> DataFrame:
+    """Counters with the state of `events` (event_id) forgotten, so that their next update counts as the first."""
+    return counters.join(events.select("event_id").distinct(), "event_id", "left_anti")
 
 
 def operator_queue(audit: DataFrame, limit: int = 100) -> DataFrame:

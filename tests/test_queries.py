@@ -23,4 +23,4 @@ def test_query(spark, sf_dir, con, module, name):
     if name in module.SQL:
         same(df, con, module.SQL[name])
     else:
-        assert df.count() >= 0 and df.columns
+        assert df.count() > 0 and df.columns

@@ -192,8 +192,9 @@ def test_delivery_classes_and_chain(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "A", 1.0), (3, "a", 2.0), (4, None, 1.0), (5, "b", None), (6, "b", None)], "record_no bigint, source_message_id string, v double")
     assert {r[0]: r[1] for r in review.delivery_classes(df, ("v",)).collect()} == {1: "new", 2: "duplicate", 3: "conflict", 4: "unidentified", 5: "new", 6: "duplicate"}
     chain = review.chained(spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "n int, c string"), "n", ("c",))
-    assert review.chain_breaks(chain, "n").count() == 0
-    assert [r["n"] for r in review.chain_breaks(chain.filter("n <> 2"), "n").collect()] == [3]
+    assert review.chain_breaks(chain, "n", ("c",)).count() == 0
+    assert [r["n"] for r in review.chain_breaks(chain.filter("n <> 2"), "n", ("c",)).collect()] == [3]
+    assert [r["n"] for r in review.chain_breaks(chain.withColumn("c", F.when(F.col("n") == 2, "w").otherwise(F.col("c"))), "n", ("c",)).collect()] == [2]
 
 
 def test_log_probability(spark):

@@ -28,7 +28,7 @@ def test_stream_and_batch_agree_over_a_restart(spark, sf_dir, tmp_path):
     want = triage.batch_audit(rows, POLICY, gate).select(*columns)
     assert got.filter("late").count() == 0 and got.count() == rows.count()
     assert got.select(*columns).exceptAll(want).count() == 0
-    assert triage.audit_mismatches(got.drop("late"), POLICY).count() == 0
+    assert triage.audit_faults(got.drop("late"), POLICY).count() == 0
 
 
 @pytest.mark.parametrize("on_late", ["quarantine", "fail"])
