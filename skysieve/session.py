@@ -37,8 +37,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session. Only where that is unset (tests, a single
-    machine) a temporary folder is made and set as the checkpoint folder."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only on a local master, where that is unset, a temporary
+    folder is made and set as the checkpoint folder; on a cluster its absence is an error, as executors share no local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -46,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = "file://" + os.path.join(tempfile.gettempdir(), "spark-" + uuid.uuid4().hex[:8])
         spark.sparkContext.setCheckpointDir(own)
         current = spark.sparkContext.getCheckpointDir()
