@@ -46,18 +46,29 @@ def kvn_documents(text: str) -> list[dict[str, str]]:
     return documents
 
 
-def parse_kvn(texts: DataFrame, column: str = "value") -> DataFrame:
-    """record (map) of every document in a column of KVN texts."""
+#: Begins a document on a line of its own.
+_VERSION = "CCSDS_CDM_VERS"
+
+
+def _bare(text: str) -> bool:
+    return all(not line or line.startswith(("COMMENT", "#")) for line in map(str.strip, text.splitlines()))
+
+
+def parse_kvn(texts: DataFrame, column: str = "value", pieces: bool = False) -> DataFrame:
+    """record (map) of every document in a column of KVN texts. `pieces` are what lies between the version keys of a file: they get their key
+    back, and what comes before the first one may hold comments only."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"record": [d for t in batch["t"] if t for d in kvn_documents(t)]})
+            texts = [_VERSION + t if pieces and t.lstrip().startswith("=") else t for t in batch["t"] if t and not (pieces and _bare(t))]
+            yield pd.DataFrame({"record": [d for t in texts for d in kvn_documents(t)]})
 
     return texts.select(F.col(column).alias("t")).mapInPandas(parse, f"record {_RECORD}")
 
 
 def read_kvn(spark: SparkSession, path: str) -> DataFrame:
-    return parse_kvn(spark.read.text(path, wholetext=True))
+    """record (map) of every document of the files; split at version lines, so files of any size are read in parallel, document by document."""
+    return parse_kvn(spark.read.text(path, lineSep="\n" + _VERSION), pieces=True)
 
 
 def _clean(record: Column) -> Column:
