@@ -104,11 +104,20 @@ def tables(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lang_samples.parquet"), spark.read.parquet(f"{sf_dir}/language_codes.parquet")
 
 
+def test_calibration_error_of_known_cases():
+    sure, torn = [0.9, 0.1], [0.5, 0.5]
+    assert langid.calibration_error(np.array([sure] * 10), np.array([0] * 9 + [1])) == pytest.approx(0)
+    assert langid.calibration_error(np.array([sure] * 10 + [torn] * 10), np.array([0] * 20)) == pytest.approx((0.1 + 0.5) / 2)
+    scores = np.array([[2.0, 0.0]] * 10)
+    assert langid.temperature_of(scores, np.array([0] * 9 + [1])) == pytest.approx(2 / np.log(9), rel=0.05)
+
+
 def test_held_out_accuracy(spark, tables):
     samples, codes = tables
     names = sorted(r["lang_code"] for r in codes.collect())
-    model, accuracy = langid.train(samples, np.ones(langid.BUCKETS), names)
-    assert accuracy >= 0.97 and 0 < (model.weights != 0).mean() < 0.5 and 0 < model.temperature
+    model, report = langid.train(samples, np.ones(langid.BUCKETS), names)
+    assert report["accuracy"] >= 0.97 and 0 < (model.weights != 0).mean() < 0.5
+    assert langid.GRID[0] < model.temperature < langid.GRID[-1] and report["calibration_error"] < 0.05
 
 
 def test_documents(spark, tables):
