@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import cohort_key, event_key
-from skysieve.session import cut, scratch_path
+from skysieve.session import cut, scratch_path, stored
 
 NUMBERS = "event_id string, study_cohort string, uniform_value double, first_batch int"
 LIMITS = "study_cohort string, share double, plan_no int"
@@ -41,15 +41,12 @@ class PermanentNumbers:
 
     def observe(self, records: DataFrame) -> None:
         """Register the events of a delivery that are not registered yet; deliveries come in order."""
-        cohort = cohort_key(F.col("study_cohort"))
-        seen = (
-            records.select(event_key(F.col("event_id")).alias("event_id"), cohort.alias("cohort"), "record_no", F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("batch"))
-            .filter(F.col("event_id").isNotNull())
-            .groupBy("event_id", "batch")
-            .agg(F.min(F.when(F.col("cohort").isNotNull(), F.struct("record_no", "cohort"))).alias("c"))
-            .groupBy("event_id").agg(F.min(F.struct("batch", F.col("c.cohort").alias("cohort"))).alias("first"))
-        )
-        fresh = seen.join(self._read("numbers", NUMBERS), "event_id", "left_anti")
+        self.observe_seen(seen_events(records))
+
+    def observe_seen(self, seen: DataFrame) -> None:
+        """As `observe`, for rows of `seen_events`."""
+        first = seen.groupBy("event_id").agg(F.min(F.struct("batch", F.col("c.cohort").alias("cohort"))).alias("first"))
+        fresh = first.join(self._read("numbers", NUMBERS), "event_id", "left_anti")
         cut(fresh.select("event_id", F.col("first.cohort").alias("study_cohort"), uniform(F.col("event_id"), self.seed).alias("uniform_value"), F.col("first.batch").alias("first_batch"))) \
             .write.mode("append").parquet(f"{self.path}/numbers")
 
@@ -68,11 +65,22 @@ class PermanentNumbers:
         )
 
 
-def stable_sample(collection: DataFrame, plan: DataFrame, path: str | None = None, seed: str = "permanent-1") -> DataFrame:
-    """The sample of a whole collection: all batches but the newest are observed first, then the newest, as deliveries."""
+def seen_events(records: DataFrame) -> DataFrame:
+    """event_id, batch, c: the events of each batch, with the lowest record_no that has a usable cohort, and that cohort; map tasks combine first."""
+    return (
+        records.select(event_key(F.col("event_id")).alias("event_id"), cohort_key(F.col("study_cohort")).alias("cohort"), "record_no", F.coalesce(F.col("collection_batch").cast("int"), F.lit(0)).alias("batch"))
+        .filter(F.col("event_id").isNotNull())
+        .groupBy("event_id", "batch")
+        .agg(F.min(F.when(F.col("cohort").isNotNull(), F.struct("record_no", "cohort"))).alias("c"))
+    )
+
+
+def stable_sample(collection: DataFrame, plan: DataFrame, path: str | None = None, seed: str = "permanent-1", deliveries: int | None = 6) -> DataFrame:
+    """The sample of a whole collection: its batches are observed in turn, consecutive ones together in so many deliveries (None: each by itself)."""
     registry = PermanentNumbers(collection.sparkSession, path, seed)
-    newest = collection.agg(F.max("collection_batch")).first()[0]
-    late = F.coalesce(F.col("collection_batch") >= newest, F.lit(False)) if newest is not None else F.lit(True)
-    registry.observe(collection.filter(~late))
-    registry.observe(collection.filter(late))
+    seen = stored(seen_events(collection), "seen-events")
+    batches = sorted(r["batch"] for r in seen.select("batch").distinct().collect())
+    size = max(1, -(-len(batches) // deliveries)) if deliveries else 1
+    for at in range(0, len(batches), size):
+        registry.observe_seen(seen.filter(F.col("batch").isin(batches[at : at + size])))
     return registry.selected(plan)
