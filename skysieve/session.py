@@ -65,13 +65,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> bool:
+    """Delete a scratch table that nothing will read any more."""
+    if path in _scratch:
+        _scratch.remove(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+
+
 def release(spark: SparkSession) -> int:
     """Delete the scratch tables written so far, once the results that read them are written; the number deleted. Tables at paths of
     the caller's own stay."""
     deleted = 0
     while _scratch:
-        where = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        deleted += bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True))
+        deleted += discard(spark, _scratch[-1])
     return deleted
 
 
