@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skysieve.functions.keys import finite_or_null, message_key, with_pair_key
 from skysieve.llm.forest import spanning_forest
 from skysieve.operators.messages import MESSAGE_FIELDS
-from skysieve.session import cut, scratch_path, stored
+from skysieve.session import cut, discard, scratch_path, stored
 
 #: Readings that two reports of one message must agree on where both have them.
 READINGS = MESSAGE_FIELDS
@@ -237,21 +237,28 @@ class MessageHistory:
         sent = F.broadcast if small else lambda df: df
         history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
         found: dict[str, DataFrame] = {}
+        paths = {name: scratch_path(self.spark, f"delivery-{name}") for name in ("contents", "identifiers")}
 
         def compare_contents() -> None:
-            contents = found["contents"] = stored(self._contents(rows), "delivery-contents")
+            contents = found["contents"] = stored(self._contents(rows), "contents", path=paths["contents"])
             known = history.select("h1", "h2").join(sent(contents.select("h1", "h2")), ["h1", "h2"], "left_semi")
             fresh = contents.join(sent(known), ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
             self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a"))
 
         def compare_identifiers() -> None:
-            identifiers = found["identifiers"] = stored(self._identifiers(rows, sent), "delivery-identifiers")
+            identifiers = found["identifiers"] = stored(self._identifiers(rows, sent), "identifiers", path=paths["identifiers"])
             self._append("identifiers", identifiers.filter("known_no is null"))
 
         _together(compare_contents, compare_identifiers, *waiting)
         links = self._identifier_links(rows, found["identifiers"], sent).unionByName(self._copy_links(rows, found["contents"], sent))
         links = links.unionByName(_near_links(self._members(found["contents"], history, sent)))
-        return [lambda: self._append("links", links.filter("record_no <> to_no"))]
+
+        def link() -> None:
+            self._append("links", links.filter("record_no <> to_no"))
+            for path in paths.values():
+                discard(self.spark, path)
+
+        return [link]
 
     def _identifiers(self, rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The delivery's identifiers: first and last record in it, and first record in the history."""
@@ -299,7 +306,7 @@ class MessageHistory:
         )
 
 
-def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None, deliveries: int | None = 6) -> DataFrame:
+def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None, deliveries: int | None = 4) -> DataFrame:
     """The repeats of a whole collection: its batches are accepted in turn, consecutive ones together in so many deliveries (None: each batch by
     itself), so that each batch is compared with itself and all earlier ones."""
     history = MessageHistory(collection.sparkSession, path, aliases)
