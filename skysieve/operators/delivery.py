@@ -8,18 +8,33 @@ from pyspark.sql import functions as F
 from skysieve.functions.keys import message_key
 
 
+def _rank(records: DataFrame, columns: list[str]) -> Column:
+    """What min_by orders by. Spark aggregates by hash only where buffers have a fixed width, so one whole number or time stays as it is, and a time (or
+    whole number) with a whole number to break ties is packed into one decimal; any other order is a struct, aggregated after a sort."""
+    kinds = [records.schema[c].dataType.typeName() for c in columns]
+    whole = {"byte", "short", "integer", "long"}
+    if len(columns) == 1 and kinds[0] in whole | {"timestamp", "timestamp_ntz", "date"}:
+        return F.col(columns[0])
+    if len(columns) == 2 and kinds[0] in whole | {"timestamp"} and kinds[1] in whole:
+        first = F.unix_micros(F.col(columns[0])) if kinds[0] == "timestamp" else F.col(columns[0])
+        # Nulls come first, as in a struct.
+        parts = [F.coalesce(x.cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).cast("decimal(19,0)") for x in (first, F.col(columns[1]))]
+        return (parts[0] * F.lit(str(1 << 63)).cast("decimal(19,0)")).cast("decimal(38,0)") + parts[1]
+    return F.struct(*(F.col(c) for c in columns))
+
+
 def first_deliveries(records: DataFrame, key: Column, row_id: str, order: tuple[str, ...]) -> DataFrame:
     """One row per usable key: message_key, kept (the `row_id` delivered first), copies.
 
-    The aggregation keeps, by min_by over a struct of the delivery order and `row_id` as the deterministic tie-break, one
+    The aggregation keeps, by min_by over the delivery order and `row_id` as the deterministic tie-break, one
     row per key in a bounded buffer, so map tasks combine before the shuffle and a key with a third of all rows
     costs no more than any other. Rows whose key is null are no messages of this table and give nothing."""
-    rank = F.struct(*(F.col(c) for c in dict.fromkeys((*order, row_id))))
+    columns = list(dict.fromkeys((*order, row_id)))
     return (
-        records.select(key.alias("message_key"), F.col(row_id), *(F.col(c) for c in dict.fromkeys(order) if c != row_id))
+        records.select(key.alias("message_key"), F.col(row_id), _rank(records, columns).alias("__rank"))
         .filter(F.col("message_key").isNotNull())
         .groupBy("message_key")
-        .agg(F.min_by(row_id, rank).alias("kept"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.min_by(row_id, "__rank").alias("kept"), F.count(F.lit(1)).alias("copies"))
     )
 
 

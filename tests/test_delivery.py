@@ -1,6 +1,11 @@
 from __future__ import annotations
 
-from skysieve.operators.delivery import exactly_once, surplus_deliveries
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from skysieve.operators.delivery import exactly_once, first_deliveries, surplus_deliveries
 
 SCHEMA = "record_no bigint, source_message_id string, message_key string"
 
@@ -34,3 +39,28 @@ def test_repeated_rows_and_empty_table(spark):
 def test_hot_identifier(spark):
     df = spark.range(30_000).selectExpr("id as record_no", "if(id % 3 = 0, 'hot', concat('m', id)) as source_message_id")
     assert surplus_deliveries(df).count() == 9_999
+
+
+def test_orders_of_one_two_and_other_columns_agree(spark):
+    rows = [(i, f"m{i % 7}", None if i % 11 == 0 else datetime(2031, 1, 1) + timedelta(minutes=(i * 37) % 5), -i % 3, float(i % 2)) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "record_no bigint, source_message_id string, received_at timestamp, batch int, x double")
+    kept = lambda *order: {r["message_key"]: r["kept"] for r in first_deliveries(df, F.col("source_message_id"), "record_no", order).collect()}
+
+    def least(key):
+        first = {}
+        for r in sorted(rows, key=key, reverse=True):
+            first[r[1]] = r[0]
+        return first
+
+    early = datetime(1, 1, 1)
+    assert kept("record_no") == least(lambda r: r[0])
+    assert kept("received_at") == least(lambda r: (r[2] or early, r[0]))
+    assert kept("batch") == least(lambda r: (r[3], r[0]))
+    assert kept("x", "batch") == least(lambda r: (r[4], r[3], r[0]))
+
+
+@pytest.mark.parametrize("order", [("record_no",), ("received_at",)])
+def test_hash_aggregation(spark, order):
+    df = spark.createDataFrame([(1, "a", datetime(2031, 1, 1))], "record_no bigint, source_message_id string, received_at timestamp")
+    plan = first_deliveries(df, F.col("source_message_id"), "record_no", order)._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
