@@ -128,16 +128,19 @@ def _nullable(function):
     return call
 
 
-def _udf(function, kind: str):
+def _udf(function, kind: str, inputs: int = 2):
     call = _nullable(function)
 
     def batch(*columns: pd.Series) -> pd.Series:
         return pd.Series([call(*(None if pd.isna(v) else v for v in row)) for row in zip(*columns)])
 
-    def typed(first: pd.Series, second: pd.Series) -> pd.Series:
+    def two(first: pd.Series, second: pd.Series) -> pd.Series:
         return batch(first, second)
 
-    return F.pandas_udf(typed, kind)
+    def three(first: pd.Series, second: pd.Series, third: pd.Series) -> pd.Series:
+        return batch(first, second, third)
+
+    return F.pandas_udf(two if inputs == 2 else three, kind)
 
 
 def cp_upper_column(k: Column, n: Column, confidence: float) -> Column:
@@ -155,16 +158,20 @@ def mcnemar_column(gained: Column, lost: Column) -> Column:
     return _udf(lambda a, b: mcnemar_p(int(a), int(b)), "double")(gained.cast("double"), lost.cast("double"))
 
 
+def net_change_column(gained: Column, lost: Column, n: Column) -> Column:
+    """[low, high]: the bootstrap interval of the net change; null where n is 0."""
+    return _udf(lambda a, b, c: [float(x) for x in net_change_interval(int(a), int(b), int(c))] if c > 0 else None, "array<double>", 3)(gained.cast("double"), lost.cast("double"), n.cast("double"))
+
+
 def pass_column(n: Column, rate: Column, alpha: float, confidence: float) -> Column:
     """Chance that n events of a true rate pass the bound."""
     return _udf(lambda a, b: pass_probability(int(a), b, alpha, confidence), "double")(n.cast("double"), rate)
 
 
 def register(spark: SparkSession) -> None:
-    """binom_cdf, cp_upper, calibration_rank and mcnemar_p for use in SQL text."""
-    spark.udf.register("binom_cdf", lambda k, n, p: None if None in (k, n, p) else float(binom_cdf(int(k), int(n), float(p))), "double")
-    spark.udf.register("cp_upper", lambda k, n, c: None if None in (k, n, c) or n == 0 else float(cp_upper(int(k), int(n), float(c))), "double")
-    spark.udf.register("pac_rank", lambda n, a, c: None if None in (n, a, c) else pac_rank(int(n), float(a), float(c)), "int")
-    spark.udf.register("mcnemar_p", lambda g, l: None if None in (g, l) else float(mcnemar_p(int(g), int(l))), "double")  # noqa: E741
-
-
+    """binom_cdf(k, n, p), cp_upper(k, n, confidence), pac_rank(n, alpha, confidence) and mcnemar_p(gained, lost) for use in SQL text, in Arrow
+    batches; null where an argument is."""
+    spark.udf.register("binom_cdf", _udf(lambda k, n, p: float(binom_cdf(int(k), int(n), float(p))), "double", 3))
+    spark.udf.register("cp_upper", _udf(lambda k, n, c: float(cp_upper(int(k), int(n), float(c))) if n else None, "double", 3))
+    spark.udf.register("pac_rank", _udf(lambda n, a, c: pac_rank(int(n), float(a), float(c)), "int", 3))
+    spark.udf.register("mcnemar_p", _udf(lambda g, l: float(mcnemar_p(int(g), int(l))), "double"))  # noqa: E741

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import event_key
-from skysieve.functions.stats import rank_column
+from skysieve.functions.stats import net_change_column, rank_column
 from skysieve.operators import calibrate, contracts, experiments, features, gate, messages, review
 from skysieve.plans.core_queries import usable_sql
 from skysieve.plans.tables import table
@@ -595,6 +595,14 @@ def robustness_grouping_sets(spark, d):
     return experiments.subgroup_metrics(_grouped(spark, d), ("fold", "history_group")).select("grouping", "value", "n_events", "danger", "safe_negative")
 
 
+@query()
+def paired_interval(spark, d):
+    """Net change of safe negatives by history, with its bootstrap interval; the interval is drawn, so there is no SQL twin."""
+    groups = features.event_groups(_eligible(spark, d), ("risk",)).select("event_id", "history_group")
+    change = experiments.paired_change(_pairs(spark, d).join(groups, "event_id"), ("history_group",), test=False).withColumn("interval", net_change_column(F.col("gained"), F.col("lost"), F.col("n_negative")))
+    return change.select("history_group", "n_negative", "gained", "lost", F.round(F.col("interval")[0], 6).alias("low"), F.round(F.col("interval")[1], 6).alias("high"))
+
+
 _STABLE = f"""WITH {S}, ev AS (SELECT event_id, min(y) AS y, coalesce(min(score) FILTER (WHERE eligible_history_count >= 1), 'infinity'::DOUBLE) AS v FROM e GROUP BY 1),
     ha AS (SELECT *, CASE WHEN 2 * row_number() OVER (PARTITION BY repeat, y ORDER BY hash, event_id) > count(*) OVER (PARTITION BY repeat, y) THEN 1 ELSE 0 END AS half
         FROM (SELECT event_id, y, v, r AS repeat, sha256('stability:' || r || ':' || event_id) AS hash FROM ev, (SELECT unnest(range(0, 20))::INTEGER AS r))),
