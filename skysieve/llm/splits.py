@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skysieve.functions.keys import event_key, message_key, with_pair_key
@@ -18,14 +18,19 @@ def keyed_records(collection: DataFrame, aliases: DataFrame | None = None) -> Da
     return rows.select("record_no", event_key(F.col("event_id")).alias("event"), "pair_key", message_key(F.col("source_message_id")).alias("message_key"))
 
 
-def relation_links(keyed: DataFrame) -> DataFrame:
-    """a, b: for each pair of objects and each message identifier with several events, its least event with each other one; not
-    all pairs of events within a key."""
+def key_uses(keyed: DataFrame) -> DataFrame:
+    """key, event: which events use each pair of objects and each message identifier, each once."""
     keys = F.array(F.when(F.col("pair_key").isNotNull(), F.concat(F.lit("p:"), "pair_key")), F.when(F.col("message_key").isNotNull(), F.concat(F.lit("m:"), "message_key")))
-    uses = (
+    return (
         keyed.filter(F.col("event").isNotNull()).select("event", F.explode(F.array_compact(keys)).alias("key"))
         .groupBy("key", "event").agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def relation_links(keyed: DataFrame) -> DataFrame:
+    """a, b: for each pair of objects and each message identifier with several events, its least event with each other one; not
+    all pairs of events within a key."""
+    uses = key_uses(keyed)
     shared = uses.groupBy("key").agg(F.min("event").alias("a"), F.max("event").alias("last")).filter("a <> last").select("key", "a")
     return uses.select("key", F.col("event").alias("b")).join(shared, "key").filter("a <> b").select("a", "b").distinct()
 
@@ -39,9 +44,53 @@ def related_groups(collection: DataFrame, aliases: DataFrame | None = None, path
     repeated rows change nothing; an empty table gives no groups; other columns are not read."""
     links = relation_links(keyed_records(collection, aliases))
     forest, members = spanning_forest(links, "a", "b", path)
+    return _grouped(members), forest
+
+
+def _grouped(members: DataFrame) -> DataFrame:
+    """event, group_id: the least event of each component."""
     members = cut(members)
     least = members.groupBy("root").agg(F.min("node").alias("group_id"))
-    return members.join(least, "root").select(F.col("node").alias("event"), "group_id"), forest
+    return members.join(least, "root").select(F.col("node").alias("event"), "group_id")
+
+
+class RelatedEvents:
+    """Related events over deliveries, in two tables that outlast the session: keys (each pair of objects and identifier with the event that first
+    used it) and the forest of links that hold the groups together, of which each delivery writes a new generation. A delivery reads keys and
+    links, and never the records of earlier ones. The rules are those of `related_groups`."""
+
+    def __init__(self, spark: SparkSession, path: str, aliases: DataFrame | None = None) -> None:
+        self.spark, self.path, self.aliases = spark, path, aliases
+        for name, schema in (("keys", "key string, event string"), ("forest/generation=0", "u string, v string")):
+            if not self._exists(name):
+                spark.createDataFrame([], schema).coalesce(1).write.mode("append").parquet(f"{path}/{name}")
+
+    def _exists(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def _generation(self) -> int:
+        number = 0
+        while self._exists(f"forest/generation={number + 1}/_SUCCESS"):
+            number += 1
+        return number
+
+    def forest(self) -> DataFrame:
+        return self.spark.read.schema("u string, v string").parquet(f"{self.path}/forest/generation={self._generation()}")
+
+    def accept(self, records: DataFrame) -> None:
+        """Link the events of a delivery with each other and with those of earlier ones. A delivery that is accepted again changes nothing."""
+        uses = key_uses(keyed_records(records, self.aliases))
+        known = self.spark.read.schema("key string, event string").parquet(f"{self.path}/keys").withColumnRenamed("event", "owner")
+        first = stored(uses.groupBy("key").agg(F.min("event").alias("a")).join(known, "key", "left"), "first-uses")
+        owners = first.select("key", F.coalesce("owner", "a").alias("a"))
+        links = uses.select("key", F.col("event").alias("b")).join(owners, "key").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        spanning_forest(self.forest().unionByName(links), "u", "v", f"{self.path}/forest/generation={self._generation() + 1}")
+        first.filter("owner is null").select("key", F.col("a").alias("event")).write.mode("append").parquet(f"{self.path}/keys")
+
+    def groups(self) -> DataFrame:
+        """event, group_id of every event related to another one."""
+        return _grouped(spanning_forest(self.forest(), "u", "v")[1])
 
 
 def _edges(lack: dict[str, float]) -> list[tuple[str, float]]:

@@ -6,7 +6,7 @@ import pytest
 
 from skysieve.llm.forest import spanning_forest
 from skysieve.llm.sample import PermanentNumbers, stable_sample
-from skysieve.llm.splits import assign_parts, related_groups, split_records
+from skysieve.llm.splits import RelatedEvents, assign_parts, related_groups, split_records
 
 RECORDS = "record_no bigint, collection_batch int, event_id string, study_cohort string, source_message_id string, event_pair string, uniform_value double"
 
@@ -130,3 +130,16 @@ def test_words_without_digits_name_no_object(spark):
     a, b = (f"ext-{hexes(i)}" for i in (1, 2))
     rows = [(1, 1, a, None, None, "A-1|UNCATALOGUED", 0.0), (2, 1, b, None, None, "A-1|uncatalogued", 0.0), (3, 1, a, None, None, "A-1|to be named", 0.0), (4, 1, b, None, None, "A-1|TO BE NAMED", 0.0)]
     assert related_groups(spark.createDataFrame(rows, RECORDS))[0].count() == 0
+
+
+def test_groups_grow_with_deliveries(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i, 1 + i // 40, f"ext-{hexes(r.randint(1, 60))}", None, r.choice([None, f"m{r.randint(1, 70)}"]), r.choice([None, f"A-{r.randint(1, 9)}|{900 + r.randint(1, 9)}"]), 0.0) for i in range(120)]
+    df = spark.createDataFrame(rows, RECORDS)
+    grown = RelatedEvents(spark, f"file://{tmp_path}/related")
+    for batch in (1, 2, 2, 3, 4):
+        grown.accept(df.filter(f"collection_batch = {batch}"))
+    pairs = lambda members: {(x["event"], x["group_id"]) for x in members.collect()}
+    want = pairs(related_groups(df)[0])
+    assert pairs(RelatedEvents(spark, f"file://{tmp_path}/related").groups()) == want and len(want) > 20
+    assert RelatedEvents(spark, f"file://{tmp_path}/none").groups().count() == 0
