@@ -32,8 +32,8 @@ REACH, REACH_READINGS = 2 + 1e-6, 4.01
 #: approach) into which the files of the history are parted.
 RANGE, BAND = 32, 1 << 18
 
-#: Deliveries of at most so many records are sent to the tasks that read the history, as 64-bit keys (under 100 MB); larger ones are joined by a shuffle.
-SENT_KEYS = 500_000
+#: Deliveries of at most so many records are sent to the tasks that read the history, as 64-bit keys (under 20 MB each); larger ones are joined by a shuffle.
+SENT_KEYS = 200_000
 
 #: A delivery that spans more bands than this reads the history without looking at the bands.
 MOST_BANDS = 5000
@@ -241,7 +241,7 @@ class MessageHistory:
 
         def compare_contents() -> None:
             contents = found["contents"] = stored(self._contents(rows), "contents", path=paths["contents"])
-            known = history.select("h1", "h2").join(sent(contents.select("h1", "h2")), ["h1", "h2"], "left_semi")
+            known = history.select("h1", "h2").join(sent(contents.select("h1")), "h1", "left_semi")
             fresh = contents.join(sent(known), ["h1", "h2"], "left_anti").withColumn("cell", _cell("d_a", "d_b"))
             self._append("pivots", fresh.sortWithinPartitions("band", "d_a") if small else fresh.repartitionByRange("band", "d_a"))
 
@@ -264,8 +264,9 @@ class MessageHistory:
         """The delivery's identifiers: first and last record in it, and first record in the history."""
         keys = ["k1", "k2"]
         new = rows.filter("k1 is not null").groupBy(*keys).agg(F.min("record_no").alias("first_no"), F.min("collection_batch").alias("first_batch"), F.max("record_no").alias("last_no"))
-        met = self.read("identifiers").join(sent(rows.filter("k1 is not null").select(*keys)), keys, "left_semi").select(*keys, F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
-        return new.join(sent(met), keys, "left")
+        # One of the two hashes is sent to the tasks that read the history; the join then tells apart what agrees in it alone.
+        met = self.read("identifiers").join(sent(rows.filter("k1 is not null").select("k1")), "k1", "left_semi").select(*keys, F.col("first_no").alias("known_no"), F.col("first_batch").alias("known_batch"))
+        return new.join(met, keys, "left")
 
     def _contents(self, rows: DataFrame) -> DataFrame:
         """The delivery's distinct contents with first and last record; copies are counted in map tasks first."""
