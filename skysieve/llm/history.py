@@ -307,7 +307,7 @@ class MessageHistory:
         )
 
 
-def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None, deliveries: int | None = 4) -> DataFrame:
+def repeated_messages(collection: DataFrame, aliases: DataFrame | None = None, path: str | None = None, deliveries: int | None = 3) -> DataFrame:
     """The repeats of a whole collection: its batches are accepted in turn, consecutive ones together in so many deliveries (None: each batch by
     itself), so that each batch is compared with itself and all earlier ones."""
     history = MessageHistory(collection.sparkSession, path, aliases)
