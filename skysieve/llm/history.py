@@ -33,7 +33,7 @@ REACH, REACH_READINGS = 2 + 1e-6, 4.01
 RANGE, BAND = 32, 1 << 18
 
 #: Deliveries of at most so many records are sent to the tasks that read the history, as 64-bit keys (under 20 MB each); larger ones are joined by a shuffle.
-SENT_KEYS = 200_000
+SENT_KEYS = 250_000
 
 #: A delivery that spans more bands than this reads the history without looking at the bands.
 MOST_BANDS = 5000
