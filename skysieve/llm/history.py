@@ -75,6 +75,13 @@ def _cell(a: str, b: str) -> Column:
     return F.expr(f"xxhash64(pair_key, bigint(floor({a} / {RANGE})), bigint(floor({b} / {RANGE})))")
 
 
+def _reach(counts: list) -> tuple[list[int] | None, bool]:
+    """The bands that a delivery touches, None where they are too many to name, and whether its keys are few enough to be sent; from rows of band and
+    count."""
+    bands = sorted({c["band"] for c in counts}) if len(counts) <= MOST_BANDS else None
+    return bands, bands is not None and sum(c["count"] for c in counts) <= SENT_KEYS
+
+
 #: What a content carries through the comparison.
 BODY = ("pair_key", "first_no", "first_batch", "creation_us", "tca_us", "d_a", "d_b", "d_c", "d_d", "readings")
 
@@ -199,7 +206,8 @@ class MessageHistory:
 
     def accept(self, batch: DataFrame) -> None:
         """Find what the records of a delivery repeat, among themselves and in the history, and add them to the history."""
-        self._accept_all([(rows := self._placed(stored(self.keyed(batch), "delivery")), _bands(rows).groupBy("band").count().limit(MOST_BANDS + 1).collect())])
+        rows = self._placed(stored(self.keyed(batch), "delivery"))
+        self._accept(rows, *_reach(_bands(rows).groupBy("band").count().limit(MOST_BANDS + 1).collect()))
 
     def accept_batches(self, records: DataFrame, deliveries: int | None = None) -> None:
         """Accept the batches of `records` in turn, each as a delivery of its own, or consecutive ones together in so many deliveries of about as
@@ -216,23 +224,18 @@ class MessageHistory:
         if groups:
             self._points(keyed.filter(F.col("collection_batch").isin(groups[0])))
             rows = self._placed(keyed)
-            counts = _bands(rows, "collection_batch").groupBy("collection_batch", "band").count().limit((MOST_BANDS + 1) * len(sizes)).collect()
-            self._accept_all([(rows.filter(F.col("collection_batch").isin(group)), [c for c in counts if c["collection_batch"] in group]) for group in groups])
-
-    def _accept_all(self, deliveries: list[tuple[DataFrame, list]]) -> None:
-        """Accept deliveries in turn. A delivery's links are written while the next one is compared, which does not read them."""
-        links: list[Callable[[], object]] = []
-        for rows, counts in deliveries:
-            bands = sorted({c["band"] for c in counts}) if len(counts) <= MOST_BANDS else None
-            small = bands is not None and sum(c["count"] for c in counts) <= SENT_KEYS
-            links = self._accept(rows, bands, small, links)
-            # Shuffle files and sent keys of past deliveries go once the driver has collected what named them.
-            self.spark._jvm.System.gc()
-        _together(*links)
-
-    def _accept(self, rows: DataFrame, bands: list[int] | None, small: bool, waiting: list[Callable[[], object]]) -> list[Callable[[], object]]:
-        """Append the identifiers and contents of a delivery that the history lacks, and run what the one before it left to do meanwhile; what this one
-        leaves to do, from the history as it was before."""
+            most = (MOST_BANDS + 1) * len(sizes)
+            counts = _bands(rows, "collection_batch").groupBy("collection_batch", "band").count().limit(most).collect()
+            for group in groups:
+                own = [c for c in counts if c["collection_batch"] in group]
+                self._accept(rows.filter(F.col("collection_batch").isin(group)), *(_reach(own) if len(counts) < most else (None, False)))
+
+    def _tidy(self) -> None:
+        """Let Spark delete the shuffle files and sent keys of what is done: they go once the driver has collected what named them."""
+        self.spark._jvm.System.gc()
+
+    def _accept(self, rows: DataFrame, bands: list[int] | None, small: bool) -> None:
+        """Append the identifiers and contents of a delivery that the history lacks, and its links to itself and to the history as it was before."""
         sent = F.broadcast if small else lambda df: df
         history = self.read("pivots") if bands is None else self.read("pivots").filter(F.col("band").isin(bands))
         found: dict[str, DataFrame] = {}
@@ -248,16 +251,14 @@ class MessageHistory:
             identifiers = found["identifiers"] = stored(self._identifiers(rows, sent), "identifiers", path=paths["identifiers"])
             self._append("identifiers", identifiers.filter("known_no is null"))
 
-        _together(compare_contents, compare_identifiers, *waiting)
+        _together(compare_contents, compare_identifiers)
+        self._tidy()
         links = self._identifier_links(rows, found["identifiers"], sent).unionByName(self._copy_links(rows, found["contents"], sent))
         links = links.unionByName(_near_links(self._members(found["contents"], history, sent)))
-
-        def link() -> None:
-            self._append("links", links.filter("record_no <> to_no"))
-            for path in paths.values():
-                discard(self.spark, path)
-
-        return [link]
+        self._append("links", links.filter("record_no <> to_no"))
+        for path in paths.values():
+            discard(self.spark, path)
+        self._tidy()
 
     def _identifiers(self, rows: DataFrame, sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The delivery's identifiers: first and last record in it, and first record in the history."""
