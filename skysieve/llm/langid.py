@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -12,15 +13,12 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed n-gram buckets, and the lengths of n-grams (of letters, with a mark at either end of a word).
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3, 4)
 
-#: The classifier is fitted on at most so many labelled lines, those with the least hash.
-MAX_SAMPLES = 20_000
-
 #: A line counts from so many characters on, if at least this share of them, as repaired and without outer blanks, are letters
 #: of words.
 LINE_CHARS, LETTER_SHARE = 80, 0.5
@@ -110,12 +108,19 @@ def _softmax(scores: np.ndarray) -> np.ndarray:
 
 
 def fit(lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray, epochs: int = 8, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 7) -> Model:
-    """FTRL-proximal over the lines in a fixed random order; weights within l1 of nothing are zero."""
+    """FTRL-proximal over the lines in a fixed random order; weights within l1 of nothing are zero. The lines' features, which take many times their
+    room, wait in a file."""
     model, k = Model(codes, idf), len(codes)
     z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
     zb, nb = np.zeros(k), np.zeros(k)
     index = {c: i for i, c in enumerate(codes)}
-    data = [(*model.features(line), index[label]) for line, label in zip(lines, labels) if label in index]
+    data, end = [], 0
+    store = tempfile.TemporaryFile()
+    for line, label in zip(lines, labels):
+        if label in index:
+            buckets, value = model.features(line)
+            data.append((end, len(buckets), index[label]))
+            end += store.write(value.astype("<f8").tobytes() + buckets.astype("<u2").tobytes())
 
     def weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
@@ -123,9 +128,12 @@ def fit(lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray,
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(data)):
-            buckets, value, label = data[i]
-            if not len(buckets):
+            start, size, label = data[i]
+            if not size:
                 continue
+            store.seek(start)
+            raw = store.read(10 * size)
+            value, buckets = np.frombuffer(raw, "<f8", size), np.frombuffer(raw, "<u2", size, 8 * size)
             w, b = weights(z[buckets], n[buckets], l1), weights(zb, nb, 0.0)
             error = _softmax(value @ w + b)
             error[label] -= 1.0
@@ -134,6 +142,7 @@ def fit(lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray,
             n[buckets] += g * g
             zb += error - (np.sqrt(nb + error * error) - np.sqrt(nb)) / alpha * b
             nb += error * error
+    store.close()
     model.weights, model.bias = weights(z, n, l1), weights(zb, nb, 0.0)
     return model
 
@@ -151,56 +160,79 @@ CUTS = (6, 12, 24, 48, 96, 1 << 30)
 GRID = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
 
 
-def _fit_fold(lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray, fold: int, folds: int) -> Iterator[tuple]:
-    """(truth, scores, None) of a cut of every length from each line of a fold, by the model of the other folds; of fold number `folds`, which has
-    no lines, (None, bias, weights) of the model of all lines."""
-    model = fit([x for i, x in enumerate(lines) if i % folds != fold or fold == folds], [y for i, y in enumerate(labels) if i % folds != fold or fold == folds], codes, idf)
-    if fold == folds:
-        yield None, model.bias.tolist(), model.weights.astype("<f8").tobytes()
-        return
-    where = np.random.default_rng(fold)
-    for line, label in zip(lines[fold::folds], labels[fold::folds]):
-        for size in CUTS:
-            start = int(where.integers(0, max(0, len(line) - size) + 1))
-            yield codes.index(label), line_scores(model, line[start : start + size]).tolist(), None
+def _losses(scores: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Negative log-likelihood of the truth under each temperature of GRID, summed."""
+    return np.array([-np.log(np.maximum(_softmax(scores / g)[np.arange(len(truth)), truth], 1e-12)).sum() for g in GRID])
 
 
 def temperature_of(scores: np.ndarray, truth: np.ndarray) -> float:
     """The temperature of GRID under which the truth is likeliest."""
-    loss = [-np.log(np.maximum(_softmax(scores / g)[np.arange(len(truth)), truth], 1e-12)).mean() for g in GRID]
-    return float(GRID[int(np.argmin(loss))])
+    return float(GRID[int(np.argmin(_losses(scores, truth)))])
 
 
-def calibration_error(chance: np.ndarray, truth: np.ndarray, bins: int = 15) -> float:
-    """Expected calibration error: mean difference of confidence and accuracy over bins of confidence, weighted by their size."""
+def _binned(chance: np.ndarray, truth: np.ndarray, bins: int = 15) -> np.ndarray:
+    """Sum of confidences, right answers and answers per bin of confidence."""
     sure, right = chance.max(1), chance.argmax(1) == truth
     at = np.minimum((sure * bins).astype(int), bins - 1)
-    return float(sum(abs(sure[at == k].mean() - right[at == k].mean()) * (at == k).mean() for k in np.unique(at)))
+    return np.array([np.bincount(at, x, bins) for x in (sure, right, np.ones(len(at)))])
 
 
-def calibrated(spark: SparkSession, lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray, folds: int = 5) -> tuple[Model, dict[str, float]]:
-    """The model of all lines with the temperature that suits the held-out cuts of `folds` folds best, and a report: accuracy of whole lines,
-    and calibration error of one half of the cuts under the temperature of the other half. The folds and the model of all lines are fitted as
-    tasks."""
-    if len(lines) < 10 * folds:
-        return fit(lines, labels, codes, idf), {"accuracy": float("nan"), "calibration_error": float("nan")}
-    shared = spark.sparkContext.broadcast((lines, labels, codes, idf))
+def _gap(binned: np.ndarray) -> float:
+    sure, right, n = binned
+    return float(np.abs(sure - right).sum() / max(n.sum(), 1))
 
-    def fitted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            for fold in batch.column(0).to_pylist():
-                truth, scores, weights = zip(*_fit_fold(*shared.value, fold, folds))
-                yield pa.RecordBatch.from_arrays([pa.array([fold] * len(truth), pa.int32()), pa.array(truth, pa.int32()), pa.array(scores, pa.list_(pa.float64())), pa.array(weights, pa.binary())], ["fold", "truth", "scores", "weights"])
 
-    rows = spark.range(0, folds + 1, 1, folds + 1).mapInArrow(fitted, "fold int, truth int, scores array<double>, weights binary").collect()
+def calibration_error(chance: np.ndarray, truth: np.ndarray, bins: int = 15) -> float:
+    """Expected calibration error: mean difference of confidence and accuracy over bins of confidence, weighted by their size."""
+    return _gap(_binned(chance, truth, bins))
+
+
+def _fit_fold(lines: list[str], labels: list[str], codes: list[str], idf: np.ndarray, fold: int, folds: int) -> tuple[np.ndarray, bytes | None]:
+    """From a cut of every length of each line of a fold, by the model of the other folds: losses under each temperature of GRID in two halves of the
+    lines, bins of the first half under each of them, right answers and answers on whole lines; these are sums, so many numbers whatever the lines. Of
+    fold number `folds`, which has no lines: bias and weights of the model of all lines."""
+    model = fit([x for i, x in enumerate(lines) if i % folds != fold or fold == folds], [y for i, y in enumerate(labels) if i % folds != fold or fold == folds], codes, idf)
+    if fold == folds:
+        return model.bias, model.weights.astype("<f8").tobytes()
+    where, scores = np.random.default_rng(fold), []
+    for line in lines[fold::folds]:
+        for size in CUTS:
+            start = int(where.integers(0, max(0, len(line) - size) + 1))
+            scores.append(line_scores(model, line[start : start + size]))
+    s, t = np.array(scores), np.repeat([codes.index(label) for label in labels[fold::folds]], len(CUTS))
+    half, uncut = np.arange(len(t)) // len(CUTS) % 2 == 0, np.arange(len(t)) % len(CUTS) == len(CUTS) - 1
+    bins = np.array([_binned(_softmax(s[half] / g), t[half]) for g in GRID])
+    return np.concatenate([_losses(s[half], t[half]), _losses(s[~half], t[~half]), bins.ravel(), [(s.argmax(1) == t)[uncut].sum(), uncut.sum()]]), None
+
+
+def calibrated(samples: DataFrame, codes: list[str], idf: np.ndarray, folds: int = 5) -> tuple[Model, dict[str, float]]:
+    """The model of all lines of samples (lang_code, sample_text) with the temperature that suits the held-out cuts of `folds` folds best, and a
+    report: accuracy of whole lines, and calibration error of one half of the cuts under the temperature of the other half; of fewer than ten lines a
+    fold no temperature. The folds and the model of all lines are fitted as tasks, to each of which all lines are sent; the driver gets weights and sums."""
+    shared = samples.sparkSession.sparkContext.broadcast((codes, idf))
+
+    def fitted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in source for row in zip(*(column.to_pylist() for column in batch.columns))]
+        if not rows:
+            return
+        fold = rows[0][0]
+        if fold < folds and len(rows) < 10 * folds:
+            return
+        rows.sort(key=lambda row: row[1:])
+        numbers, weights = _fit_fold([row[2] for row in rows], [row[3] for row in rows], *shared.value, fold, folds)
+        yield pa.RecordBatch.from_arrays([pa.array([fold], pa.int32()), pa.array([numbers.tolist()], pa.list_(pa.float64())), pa.array([weights], pa.binary())], ["fold", "numbers", "weights"])
+
+    every = samples.select(F.explode(F.array(*map(F.lit, range(folds + 1)))).alias("fold"), F.xxhash64("sample_text", "lang_code").alias("place"), "sample_text", "lang_code")
+    rows = every.repartitionById(folds + 1, F.col("fold")).mapInArrow(fitted, "fold int, numbers array<double>, weights binary").collect()
+    if not rows:
+        return fit([], [], codes, idf), {"accuracy": float("nan"), "calibration_error": float("nan")}
     whole = next(r for r in rows if r["fold"] == folds)
-    model = Model(codes, idf, np.frombuffer(whole["weights"], "<f8").reshape(BUCKETS, len(codes)), np.array(whole["scores"]))
-    held = [r for r in rows if r["fold"] < folds]
-    s, t, uncut = np.array([r["scores"] for r in held]), np.array([r["truth"] for r in held]), np.arange(len(held)) % len(CUTS) == len(CUTS) - 1
-    model.temperature = temperature_of(s, t)
-    half = np.arange(len(t)) // len(CUTS) % 2 == 0
-    error = calibration_error(_softmax(s[half] / temperature_of(s[~half], t[~half])), t[half])
-    return model, {"accuracy": float((s.argmax(1) == t)[uncut].mean()), "calibration_error": error}
+    model = Model(codes, idf, np.frombuffer(whole["weights"], "<f8").reshape(BUCKETS, len(codes)), np.array(whole["numbers"]))
+    if len(rows) == 1:
+        return model, {"accuracy": float("nan"), "calibration_error": float("nan")}
+    first, second, bins, (right, lines) = np.split(sum(np.array(r["numbers"]) for r in sorted(rows) if r["fold"] < folds), np.cumsum([len(GRID), len(GRID), len(GRID) * 45]))
+    model.temperature = float(GRID[int(np.argmin(first + second))])
+    return model, {"accuracy": float(right / lines), "calibration_error": _gap(bins.reshape(len(GRID), 3, -1)[int(np.argmin(second))])}
 
 
 class TokenTable:
@@ -253,8 +285,9 @@ def _reader(text: str) -> Callable[[str], list[str]]:
     return tokens_of if "&" in text or _misread.search(text) else str.split
 
 
-def _classify(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document row: line_no 0 with the language of the document, and each counted line in another one."""
+def _classify(shared: Broadcast, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per document row: line_no 0 with the language of the document, and each counted line in another one. With `every`, line_no 0 also of the
+    documents without a counted line."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, name = shared.value
@@ -263,6 +296,7 @@ def _classify(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             _tables[name] = TokenTable(model)
         table, k = _tables[name], len(model.codes)
         docs, numbers, sizes, widths, sums, flat, starts = [], [], [], [], [], [], []
+        judged_docs: set[int] = set()
 
         def reduce_tokens() -> None:
             """Sums of the token rows of each line so far; afterwards the table may start anew."""
@@ -283,6 +317,7 @@ def _classify(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             best = chance.argmax(1)
             sure = chance[np.arange(len(best)), best]
             seen, at = np.unique(doc, return_inverse=True)
+            judged_docs.update(seen.tolist())
             chars, mass = np.zeros((len(seen), k)), np.zeros((len(seen), k))
             np.add.at(chars, (at, best), size)
             np.add.at(mass, (at, best), size * sure)
@@ -298,7 +333,33 @@ def _classify(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 ["row_no", "label", "line_no", "code_no", "confidence"],
             )
 
+        def of_words(text: str | None) -> tuple[int | None, float | None]:
+            """Language and confidence of all words of a text, read as one line."""
+            total, read = np.zeros(k + 2), _reader(text or "")
+            for line in (text or "").split("\n"):
+                if at := [j if (j := table.index.get(t)) is not None else table.add(t) for t in read(line)]:
+                    total += table.rows[at].sum(axis=0, dtype=np.float64)
+                if len(table.index) >= CACHED_TOKENS:
+                    table.reset()
+            if not total[k + 1]:
+                return None, None
+            chance = _softmax((total[:k] * (SCALE / max(total[k], 1e-9)) + model.bias) / model.temperature)
+            return int(chance.argmax()), float(chance.max())
+
+        def others(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rest = [i for i in range(batch.num_rows) if i not in judged_docs]
+            found = [of_words(batch.column(1)[i].as_py()) for i in rest]
+            which = pa.array(rest, pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(which), batch.column(2).take(which), pa.array([0] * len(rest), pa.int32()),
+                    pa.array([code for code, _ in found], pa.int32()), pa.array([sure for _, sure in found], pa.float64()),
+                ],
+                ["row_no", "label", "line_no", "code_no", "confidence"],
+            )
+
         for batch in source:
+            judged_docs.clear()
             for i, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 lines = _counted(text) if text else ()
@@ -322,6 +383,8 @@ def _classify(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     yield judged(batch)
             if docs:
                 yield judged(batch)
+            if every:
+                yield others(batch)
 
     return batches
 
@@ -366,14 +429,10 @@ def corpus_idf(documents: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((1 + n[-1]) / (1 + n[:-1])) + 1
 
 
-def train(samples: DataFrame, idf: np.ndarray, codes: list[str], max_samples: int = MAX_SAMPLES) -> tuple[Model, dict[str, float]]:
-    """The model fitted on at most max_samples labelled lines (lang_code, sample_text), and its held-out report. Lines without text or
-    with a code that is not in `codes` are left out."""
-    rows = (
-        samples.filter(F.col("sample_text").isNotNull() & F.col("lang_code").isin(codes)).select("lang_code", "sample_text").distinct()
-        .orderBy(F.xxhash64("sample_text", "lang_code"), "sample_text", "lang_code").limit(max_samples).toPandas()
-    )
-    return calibrated(samples.sparkSession, rows["sample_text"].tolist(), rows["lang_code"].tolist(), codes, idf)
+def train(samples: DataFrame, idf: np.ndarray, codes: list[str]) -> tuple[Model, dict[str, float]]:
+    """The model fitted on all labelled lines (lang_code, sample_text), and its held-out report. Repeated lines count once; lines without text or
+    with a code that is not in `codes` say nothing."""
+    return calibrated(samples.filter(F.col("sample_text").isNotNull() & F.col("lang_code").isin(codes)).select("lang_code", "sample_text").distinct(), codes, idf)
 
 
 def label_code(label: Column, codes: DataFrame) -> Column:
@@ -391,25 +450,26 @@ def label_code(label: Column, codes: DataFrame) -> Column:
     return F.coalesce(F.try_element_at(lookup, plain), F.try_element_at(lookup, base))
 
 
-def document_languages(documents: DataFrame, samples: DataFrame, codes: DataFrame, max_samples: int = MAX_SAMPLES) -> DataFrame:
+def document_languages(documents: DataFrame, samples: DataFrame, codes: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, line_no, lang_code, confidence, relabelled. line_no 0: the language of the document, the one with most characters
     in its counted lines (the first by code on a tie), with the mean confidence of those characters; relabelled says whether
     the label is missing, unusable or another language. Other rows: each counted line in another language than its document.
 
     One pass over the corpus counts documents per n-gram, a second one classifies; neither moves texts between tasks.
-    Null, empty and blank texts, and texts without a counted line, give no row. Repeated rows each give their rows.
+    Null, empty and blank texts, and texts without a counted line, give no row; with `every` these documents too have their row at line_no 0: the
+    language of all their words, read as one line, with its confidence, or nulls where there is no word. Repeated rows each give their rows.
     Very long lines are read whole. An empty table, of documents, codes or samples, gives an empty result; other columns are not
     read."""
     names = sorted(r["lang_code"] for r in codes.filter("lang_code is not null").select("lang_code").distinct().collect())
     if not names or samples.filter(F.col("sample_text").isNotNull() & F.col("lang_code").isin(names)).isEmpty():
         return documents.limit(0).select("doc_id", F.lit(0).alias("line_no"), F.lit("").alias("lang_code"), F.lit(0.0).alias("confidence"), F.lit(True).alias("relabelled"))
     idf = corpus_idf(documents)
-    model, _ = train(samples, idf, names, max_samples)
+    model, _ = train(samples, idf, names)
     shared = documents.sparkSession.sparkContext.broadcast((model, f"{crc32(idf.tobytes())}-{crc32(model.weights.tobytes())}"))
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select(F.col("doc_id").alias("row_no"), "text", F.col("lang").cast("string").alias("label")).mapInArrow(
-        _classify(shared), f"row_no {kind}, label string, line_no int, code_no int, confidence double"
+        _classify(shared, every), f"row_no {kind}, label string, line_no int, code_no int, confidence double"
     )
     code = F.get(F.array(*map(F.lit, names)), F.col("code_no"))
     right = F.coalesce(label_code(F.col("label"), codes) == code, F.lit(False)) & (F.col("line_no") == 0)
-    return rows.select(F.col("row_no").alias("doc_id"), "line_no", code.alias("lang_code"), "confidence", (~right).alias("relabelled"))
+    return rows.select(F.col("row_no").alias("doc_id"), "line_no", code.alias("lang_code"), "confidence", (code.isNotNull() & ~right).alias("relabelled"))

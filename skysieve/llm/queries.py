@@ -37,8 +37,8 @@ def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "language_codes"))
+def _languages(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    return langid.document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), table(spark, sf_dir, "language_codes"), every)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _languages(spark, sf_dir).drop("relabelled")
+    return _languages(spark, sf_dir, every=True).drop("relabelled")
 
 
 QUERIES = {

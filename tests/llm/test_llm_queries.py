@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from skysieve.llm import queries
+from skysieve.llm import langid, queries
 
 from ..oracle import connection, same
 
@@ -19,3 +19,12 @@ def test_query(spark, sf_dir, name):
     else:
         assert df.count() > 0
     assert df.columns == COLUMNS.get(name, df.columns)
+
+
+def test_every_document_has_its_language(spark, sf_dir):
+    rows = queries.p8_languages(spark, sf_dir).toPandas()
+    main = rows[rows.line_no == 0].set_index("doc_id")
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas().set_index("doc_id").text
+    assert sorted(main.index) == sorted(texts.index)
+    worded = texts.map(lambda t: any(map(langid.words_of, langid.tokens_of(t or ""))))
+    assert (main.lang_code.notna() == worded[main.index]).all() and (main.confidence.notna() == main.lang_code.notna()).all()

@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,3 +138,52 @@ def test_documents(spark, tables):
     assert langid.document_languages(spark.createDataFrame([], DOCS), samples, codes).count() == 0
     some = spark.createDataFrame(data[:1], DOCS)
     assert langid.document_languages(some, samples, codes.limit(0)).count() == 0 == langid.document_languages(some, samples.limit(0), codes).count()
+
+
+def test_every_document(spark, tables):
+    samples, codes = tables
+    line = {c: t for c, t in sorted((r["lang_code"], r["sample_text"]) for r in samples.collect()) if len(t) >= 80}
+    short = "\n".join(line["de"].split()[i] for i in range(10))
+    data = [
+        (1, line["de"], "de", "", None), (2, short, "German", "", None), (2, short, "fr", "", None), (3, line["pl"][:60], None, "", None), (4, "1.25 ; 2.50\n" * 9 + line["en"][:79] + "\r", "en", "", None),
+        (5, None, "en", "", None), (6, "", "en", "", None), (7, " \n\t", "en", "", None), (8, " ; ".join(f"{i}.25" for i in range(40)), "en", "", None), (9, "QCUX/" * 60, None, "", None),
+        (10, "\n".join([line["en"], line["ru"], line["en"], "Über uns"]), "en", "", None), (None, line["ja"][:30], "jpn", "", None),
+    ]
+    documents = spark.createDataFrame(data, DOCS)
+    out = langid.document_languages(documents, samples, codes, every=True).collect()
+    assert sorted(((r["doc_id"], r["line_no"], r["lang_code"], r["relabelled"]) for r in out), key=str) == sorted([
+        (1, 0, "de", False), (2, 0, "de", False), (2, 0, "de", True), (3, 0, "pl", True), (4, 0, "en", False), (5, 0, None, False), (6, 0, None, False), (7, 0, None, False), (8, 0, None, False), (9, 0, None, False),
+        (10, 0, "en", False), (10, 2, "ru", True), (None, 0, "ja", False),
+    ], key=str)
+    assert all((r["confidence"] is None) == (r["lang_code"] is None) and 0 < (r["confidence"] or 1) <= 1 for r in out)
+    counted = langid.document_languages(documents, samples, codes).collect()
+    assert len(counted) == 3 and set(counted) < set(out)
+
+
+def test_every_document_with_full_table(spark, tables, monkeypatch):
+    samples, codes = tables
+    texts = [t[:70] for t in sorted(r["sample_text"] for r in samples.collect())][::7]
+    model, _ = langid.train(samples, np.ones(langid.BUCKETS), sorted(r["lang_code"] for r in codes.collect()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(texts)], ["row_no", "text", "label"])
+
+    def found(name):
+        class Shared:
+            value = (model, name)
+
+        return [r for b in langid._classify(Shared, True)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    whole = found("roomy")
+    monkeypatch.setattr(langid, "CACHED_TOKENS", 5 - 65_536)
+    small = found("small")
+    assert len(whole) == len(texts) and [r[:4] for r in small] == [r[:4] for r in whole]
+    assert np.allclose([r[4] for r in small], [r[4] for r in whole], atol=1e-5)
+
+
+def test_every_labelled_line_is_fitted(spark, tables):
+    samples, codes = tables
+    names, idf = sorted(r["lang_code"] for r in codes.collect()), np.ones(langid.BUCKETS)
+    many = samples.select("lang_code", "sample_text").union(spark.range(25_000).selectExpr("'en'", "cast(id as string)"))
+    rows = many.selectExpr("xxhash64(sample_text, lang_code) as place", "sample_text", "lang_code").distinct().orderBy("place", "sample_text", "lang_code").collect()
+    model, _ = langid.train(many, idf, names)
+    fitted = langid.fit([r["sample_text"] for r in rows], [r["lang_code"] for r in rows], names, idf)
+    assert np.array_equal(model.weights, fitted.weights) and np.array_equal(model.bias, fitted.bias)
